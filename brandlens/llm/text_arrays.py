@@ -74,12 +74,15 @@ def _power(exponents: np.ndarray) -> np.ndarray:
     return table[low] * np.array([pow(int(step), int(h), 1 << 64) for h in np.unique(high)], np.uint64)[np.unique(high, return_inverse=True)[1]]
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (a run of letters, digits or ``_``) of the texts in order, and its text's number."""
+def words(texts: list[str], stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hash of every word (a run of letters, digits or ``_``) of the texts in order, and its text's number.
+
+    Then, for each of ``stems``, the hash of every word's first so many letters.
+    """
     codes, owner = code_points(texts)
     at = np.flatnonzero(class_table("word")[codes])
     if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
+        return np.empty(0, np.uint64), np.empty(0, np.int32), *[np.empty(0, np.uint64) for _ in stems]
     begins = np.empty(len(at), bool)
     begins[0] = True
     begins[1:] = (np.diff(at) > 1) | (np.diff(owner[at]) > 0)
@@ -87,7 +90,8 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
     with np.errstate(over="ignore"):
         each = mix(codes[at].astype(np.uint64) + _U(0x632BE59BD9B4E019)) * _power(place)
-        return mix(np.add.reduceat(each, starts)), owner[at[starts]]
+        cut = [mix(np.add.reduceat(np.where(place < k, each, _U(0)), starts) + _U(k)) for k in stems]
+        return mix(np.add.reduceat(each, starts)), owner[at[starts]], *cut
 
 
 def grams(hashes: np.ndarray, owner: np.ndarray, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct hashes of words, word pairs and pairs around one skipped word. Learning has a rate for each
-coordinate and an L1 penalty, which leaves few weights; these go to the tasks as index and value.
+Features are the distinct hashes of words, word pairs and pairs around one skipped word, and of words cut to a stem, as
+inflected words would else be learnt one by one. A feature counts only if enough learning texts hold it. Learning has a
+rate for each coordinate and an L1 penalty, which leaves few weights; these go to the tasks as index and value.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from brandlens.llm.text_arrays import by_text, grams, slices, words
 BITS = 20
 #: Words, neighbours, neighbours but one.
 PATTERNS = ((0,), (0, 1), (0, 2))
+#: Letters of the stems.
+STEMS = (4, 5, 6)
 
 
 def features(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For some texts at a time: their number, hashed features (with repeats) and the text of each, in no order."""
     for _, part in slices(texts):
-        hashes, owner = words(part)
-        found = [grams(hashes, owner, p) for p in PATTERNS]
+        hashes, owner, *stems = words(part, STEMS)
+        found = [grams(hashes, owner, p) for p in PATTERNS] + [(h, owner) for h in stems]
         yield len(part), np.concatenate([h >> np.uint64(64 - BITS) for h, _ in found]).astype(np.int64), np.concatenate([o for _, o in found])
 
 
@@ -44,11 +47,15 @@ class ToxicityModel:
         return out
 
 
-def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, prior: float, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> ToxicityModel:
+def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, prior: float, min_texts: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 8) -> ToxicityModel:
     """FTRL-proximal over the rows (distinct feature indexes) in the given order; ``prior``: share of label 1 in the data.
 
+    Features of fewer than ``min_texts`` rows are left out.
+
     The bias has no penalty; at the end it moves by the log-odds between the sample's share of label 1 and ``prior``.
     """
+    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS) >= min_texts
+    rows = [i[often[i]] for i in rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
 
@@ -73,7 +80,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, prior: float, alpha: fl
     return ToxicityModel(index, every[index], float(bias + np.log(prior / (1 - prior)) - np.log(share / (1 - share))))
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> ToxicityModel:
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
     """Fit on a bounded sample: about ``per_class`` labelled documents of each class, drawn by a hash of doc_id.
 
     Learns from rows whose crc32(doc_id as text) mod 5 is not 0 and whose label is not null. A document with several
