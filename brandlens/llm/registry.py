@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from brandlens.llm import chat_format, language_id, toxicity, url_filter
+from brandlens.llm import byte_bpe, chat_format, exact_topk, language_id, toxicity, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
+    "op7_exact_topk": exact_topk.OP7_SQL,
 }
