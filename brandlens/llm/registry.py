@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brandlens.llm import byte_bpe, chat_format, exact_topk, language_id, toxicity, url_filter
+from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, language_id, toxicity, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_ann": ann.op10_ann,
 }
 ORACLE_SQL = {
     "op4_chat_formatting": chat_format.OP4_SQL,
