@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, language_id, toxicity, url_filter
+from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, language_id, near_duplicates, source_mix, toxicity, url_filter
 
 QUERIES = {
+    "op1_mixing_sources": source_mix.op1_mixing_sources,
     "op2_language_id": language_id.op2_language_id,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_exact_topk": exact_topk.op7_exact_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_ngram_jaccard": near_duplicates.op9_ngram_jaccard,
     "op10_ann": ann.op10_ann,
 }
 ORACLE_SQL = {
+    "op1_mixing_sources": source_mix.OP1_SQL,
     "op4_chat_formatting": chat_format.OP4_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
     "op7_exact_topk": exact_topk.OP7_SQL,
+    "op9_ngram_jaccard": near_duplicates.OP9_SQL,
 }
