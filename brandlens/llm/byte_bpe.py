@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of texts that are encoded together; a longer text makes a chunk of its own.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, language_id, near_duplicates, source_mix, toxicity, url_filter
+from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, html_text, language_id, near_duplicates, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing_sources": source_mix.op1_mixing_sources,
     "op2_language_id": language_id.op2_language_id,
+    "op3_html_extraction": html_text.op3_html_extraction,
     "op4_chat_formatting": chat_format.op4_chat_formatting,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
