@@ -246,13 +246,14 @@ def decode_bpe(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return source.mapInArrow(decode, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents, decoded again for the purpose."""
-    return decode_bpe(encoded.select("doc_id", "ids")).select(
+def digests(encoded: DataFrame, *also: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents, decoded again for the purpose; then ``also``."""
+    return decode_bpe(encoded.select("doc_id", "ids", *[c for c in also if c not in ("doc_id", "ids")])).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *also,
     )
 
 
