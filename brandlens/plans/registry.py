@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from brandlens.plans import analytics
+from brandlens.plans import analytics, rules
 
-QUERIES = {**analytics.QUERIES}
-ORACLE_SQL = {**analytics.ORACLE_SQL}
+#: The plan modules register their queries on import.
+MODULES = (analytics, rules)
+QUERIES, ORACLE_SQL = analytics.QUERIES, analytics.ORACLE_SQL
