@@ -236,7 +236,7 @@ def candidate_scores(candidates: DataFrame, providers_seen: Column) -> DataFrame
         "competitor_language": (F.coalesce(F.try_divide(F.col("language_hits"), F.col("observations")), F.lit(0.0)), 0.20),
         "cross_provider": (F.coalesce(F.try_divide(F.col("providers"), providers_seen), F.lit(0.0)), 0.15),
     }
-    # nine decimals first: a tie must not hang on the order of floating-point sums
-    score = F.bround(F.bround(sum((w * F.bround(v, 3) for v, w in parts.values()), F.lit(0.0)), 9), 3)
+    # weights of two and components of three decimals: five are exact, and no tie hangs on the order of the sums
+    score = F.bround(sum((w * F.bround(v, 3) for v, w in parts.values()), F.lit(0.0)), 5)
     scored = candidates.where(n >= 2).withColumn("confidence", score)
     return scored.withColumn("label", F.when(F.col("confidence") >= 0.7, "high").when(F.col("confidence") >= 0.4, "medium").otherwise("low"))

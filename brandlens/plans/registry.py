@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brandlens.plans import analytics, rules
+from brandlens.plans import analytics, rules, sites, texts
 
 #: The plan modules register their queries on import.
-MODULES = (analytics, rules)
+MODULES = (analytics, rules, sites, texts)
 QUERIES, ORACLE_SQL = analytics.QUERIES, analytics.ORACLE_SQL

@@ -189,8 +189,8 @@ def _gap_scores(p: Projection) -> DataFrame:
     "discovery_scores",
     f"""{WITH}{_CITED}, cd AS (SELECT project_id, 'part' || (page_id % 200) AS name, count(DISTINCT run_id) AS responses, count(DISTINCT CASE WHEN is_competitor THEN run_id END) AS co_occurring, count(DISTINCT CASE WHEN {_COMMERCIAL} THEN prompt_id END) AS commercial_prompts,
     count(DISTINCT prompt_id) AS prompts, bool_or(is_brand) AS has_domain, count(*) AS observations, count(*) FILTER (WHERE strength = 'strong') AS language_hits, count(DISTINCT provider) AS providers FROM wc GROUP BY 1, 2),
-cs AS (SELECT *, round_even(round_even(0.30 * round_even(least(1.0, log10(responses + 1.0) / log10(11.0)), 3) + 0.20 * round_even(0.6 * co_occurring / responses + 0.4 * commercial_prompts / greatest(prompts, 1), 3) + 0.15 * CAST(has_domain AS INTEGER)
-    + 0.20 * round_even(language_hits / CAST(observations AS DOUBLE), 3) + 0.15 * round_even(providers / 5.0, 3), 9), 3) AS confidence FROM cd WHERE responses >= 2)
+cs AS (SELECT *, round_even(0.30 * round_even(least(1.0, log10(responses + 1.0) / log10(11.0)), 3) + 0.20 * round_even(CAST(0.6 AS DOUBLE) * co_occurring / responses + CAST(0.4 AS DOUBLE) * commercial_prompts / greatest(prompts, 1), 3) + 0.15 * CAST(has_domain AS INTEGER)
+    + 0.20 * round_even(language_hits / CAST(observations AS DOUBLE), 3) + 0.15 * round_even(CAST(providers AS DOUBLE) / 5, 3), 5) AS confidence FROM cd WHERE responses >= 2)
 SELECT *, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS label FROM cs""",
 )
 def _discovery(p: Projection) -> DataFrame:
