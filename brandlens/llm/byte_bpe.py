@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brandlens.llm.spark_files import small_batches
+
 #: Characters of texts that are encoded together; a longer text makes a chunk of its own.
 CHUNK_CHARS = 8_000_000
 _NONE = np.int32(np.iinfo(np.int32).max)
@@ -154,33 +156,40 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - shift, lengths)
 
 
-def encode_texts(texts: list[str | None], ranks: Ranks, pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For some texts at a time: ids in a row, and how many each text has."""
-    find = _pattern(pattern).findall
-    places = _Places()
-    chunk: list[np.ndarray] = []
-    size = 0
+class Chunk:
+    """Texts split into numbered words, to be encoded together."""
 
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        tokens, counts = replay([w.encode("utf-8", "replace") for w in places], ranks)
+    def __init__(self, pattern: str):
+        self.find = _pattern(pattern).findall
+        self.places, self.texts, self.size = _Places(), [], 0
+
+    def add(self, text: str | None) -> None:
+        pieces = self.find(text or "")
+        self.texts.append(np.fromiter(map(self.places.__getitem__, pieces), np.int32, len(pieces)))
+        self.size += len(text or "")
+
+    def encode(self, ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        tokens, counts = replay([w.encode("utf-8", "replace") for w in self.places], ranks)
         starts = np.cumsum(counts) - counts
-        used = np.concatenate(chunk)
+        used = np.concatenate([np.empty(0, np.int32), *self.texts])
         lengths = counts[used]
         upto = np.append(0, np.cumsum(lengths))
-        ends = np.cumsum([len(x) for x in chunk])
+        ends = np.cumsum([len(x) for x in self.texts], dtype=np.int64)
         ids = tokens[_gather(starts[used], lengths)]
-        return ids, upto[ends] - upto[np.append(0, ends[:-1])]
+        return ids, upto[ends] - upto[np.append(np.zeros(1, np.int64), ends)[: len(ends)]]
+
 
+def encode_texts(texts: list[str | None], ranks: Ranks, pattern: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts at a time: ids in a row, and how many each text has."""
+    chunk = Chunk(pattern)
     for text in texts:
-        text = text or ""
-        if chunk and size + len(text) > CHUNK_CHARS:
-            yield flush()
-            places, chunk, size = _Places(), [], 0
-        pieces = find(text)
-        chunk.append(np.fromiter(map(places.__getitem__, pieces), np.int32, len(pieces)))
-        size += len(text)
-    if chunk:
-        yield flush()
+        if chunk.texts and chunk.size + len(text or "") > CHUNK_CHARS:
+            yield chunk.encode(ranks)
+            chunk = Chunk(pattern)
+        chunk.add(text)
+    if chunk.texts:
+        yield chunk.encode(ranks)
 
 
 def _default_vocabulary() -> tuple[str, str]:
@@ -195,6 +204,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
     Each match of ``pattern`` is encoded on its own. A null or empty text has no ids. ``ranks_path`` is opened on the
     executors, so it must be a path of an installed package or shared folder. A narrow map, no shuffle.
     """
+    small_batches(docs.sparkSession)
     path, own = (ranks_path, pattern) if ranks_path and pattern else _default_vocabulary()
     kept = [c for c in docs.columns if c.lower() not in ("ids", "text")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
@@ -202,13 +212,26 @@ def encode_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
+        chunk, held = Chunk(own), []
+
+        def flush() -> pa.RecordBatch:
+            ids, counts = chunk.encode(ranks)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
+            rest = pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns if kept else []
+            return pa.RecordBatch.from_arrays([*rest, lists], names=[*kept, "ids"])
+
+        # a chunk gathers several batches; of a text only its words' numbers are kept
         for batch in batches:
-            first = 0
-            for ids, counts in encode_texts(batch.column(len(kept)).to_pylist(), ranks, own):
-                part = batch.slice(first, len(counts))
-                first += len(counts)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], names=[*kept, "ids"])
+            if not batch.num_rows:
+                continue
+            for text in batch.column(len(kept)).to_pylist():
+                chunk.add(text)
+            held.append(batch.select(range(len(kept))))
+            if chunk.size > CHUNK_CHARS:
+                yield flush()
+                chunk, held = Chunk(own), []
+        if chunk.texts:
+            yield flush()
 
     return source.mapInArrow(encode, schema)
 

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from brandlens.llm.spark_files import small_batches
+
 PATH_ROWS, WORD_ROWS, PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 4096, 32768, 24, 8, 8, 24
 #: Ancestors whose tags make up a path vector, nearest first.
 ANCESTORS = 32
@@ -465,6 +467,7 @@ def extract_text(pages: DataFrame, model: Labeller | None = None, id_col: str =
     A null or empty html has no block and empty text; repeated rows are read each; other columns are ignored; an empty
     table gives an empty result. The whole html is read. A narrow map, no shuffle.
     """
+    small_batches(pages.sparkSession)
     model = model or train_labeller()
     kind = pages.schema[id_col].dataType.simpleString()
     # a map, not a closure over numpy objects only: the labeller is some 250 KB and goes with the task

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandlens.llm.spark_files import with_checkpoint_dir
+from brandlens.llm.spark_files import small_batches, with_checkpoint_dir
 from brandlens.llm.text_arrays import mix, shingle_sets
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 160
@@ -179,6 +179,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, width:
     gives no rows; other columns are ignored. A node is a 64-bit hash of a set. A task holds the sets of two blocks.
     """
     with_checkpoint_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     keyed = with_row_key(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,4 +1,4 @@
-"""Where checkpoints go."""
+"""Where checkpoints go, and how many rows go to Python at once."""
 
 from __future__ import annotations
 
@@ -12,3 +12,10 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows to Python at once where the session has Spark's default of 10,000: texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))

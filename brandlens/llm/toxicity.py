@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandlens.llm.language_id import fold
+from brandlens.llm.spark_files import small_batches
 from brandlens.llm.text_arrays import by_text, grams, slices, words
 
 BITS = 20
@@ -117,6 +118,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     A null or empty text is scored by the bias alone. Only text is read; every text is read whole.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != "toxic_score"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = source.select("*", F.lit(0.0).alias("toxic_score")).schema
