@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brandlens.llm.spark_files import small_batches
 from brandlens.llm.text_arrays import class_table, slices
 
 #: (n, hash bits) of each spectrum.
@@ -72,22 +73,26 @@ class LanguageModel:
         return normalised(bits) @ self.weights[:-1] + self.weights[-1]
 
 
-def fit_kernel_ridge(bits: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
-    """One-versus-rest kernel ridge regression on Nyström features; rows of each language weigh the same in total."""
+def fit_kernel_ridge(packed: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
+    """One-versus-rest kernel ridge regression on Nyström features; rows of each language weigh the same in total.
+
+    ``packed``: presence bits of the sample, WIDTH / 8 bytes a row; only some rows at a time are unpacked.
+    """
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], dtype=np.int64)
-    phi = normalised(bits).astype(np.float64)
     per = max(1, landmarks // max(1, len(languages)))
     chosen = np.concatenate([np.flatnonzero(y == c)[:per] for c in range(len(languages))])
-    values, vectors = np.linalg.eigh(phi[chosen] @ phi[chosen].T)
-    root = vectors[:, values > 1e-9] / np.sqrt(values[values > 1e-9])  # K_mm ^ (-1/2)
-    z = np.hstack([phi @ phi[chosen].T @ root, np.ones((len(phi), 1))])
+    marks = normalised(np.unpackbits(packed[chosen], axis=1))
+    kernel = np.concatenate([normalised(np.unpackbits(packed[a : a + 128], axis=1)) @ marks.T for a in range(0, len(packed), 128)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((kernel[chosen] + kernel[chosen].T) / 2)
+    root = vectors[:, values > 1e-5] / np.sqrt(values[values > 1e-5])  # K_mm ^ (-1/2)
+    z = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
     weight = 1 / np.bincount(y)[y] / len(languages)
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 0
     w = np.linalg.solve(z.T @ (z * weight[:, None]) + penalty + 1e-12 * np.eye(z.shape[1]), z.T @ (target * weight[:, None]))
-    return LanguageModel(languages, np.vstack([phi[chosen].T @ (root @ w[:-1]), w[-1:]]).astype(np.float32))
+    return LanguageModel(languages, np.vstack([marks.T @ (root @ w[:-1]).astype(np.float32), w[-1:]]).astype(np.float32))
 
 
 def fold(doc_id, modulus: int):
@@ -95,7 +100,7 @@ def fold(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def train_language_model(docs: DataFrame, per_language: int = 400, max_languages: int = 64) -> LanguageModel | None:
+def train_language_model(docs: DataFrame, per_language: int = 300, max_languages: int = 64) -> LanguageModel | None:
     """Fit on a bounded sample: at most ``per_language`` texts of each of the ``max_languages`` most frequent languages.
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1. The sample is drawn by a hash of
@@ -128,7 +133,7 @@ def train_language_model(docs: DataFrame, per_language: int = 400, max_languages
     if not kept:
         return None
     packed = np.frombuffer(b"".join(r["bits"] for r in kept), np.uint8).reshape(len(kept), -1)
-    return fit_kernel_ridge(np.unpackbits(packed, axis=1), [r["lang"] for r in kept])
+    return fit_kernel_ridge(packed, [r["lang"] for r in kept])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -137,6 +142,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     ``und`` with score 0 where text is null or has no letter, or where there is no model. Only text is read. The score is
     the winning one-versus-rest value, (value + 1) / 2 held to 0..1; ties go to the alphabetically first language.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = source.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
