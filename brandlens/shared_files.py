@@ -12,3 +12,10 @@ def new_shared_folder(spark: SparkSession) -> str:
     """A new folder's path under spark.checkpoint.dir; only where the session names none (a local run), a temporary one."""
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brandlens-")
     return f"{root}/{uuid.uuid4().hex}"
+
+
+def use_shared_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the folder of spark.checkpoint.dir; only where none is named, to a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brandlens-"))
