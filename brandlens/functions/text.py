@@ -35,14 +35,33 @@ def text_metrics(text: Column) -> dict[str, Column]:
 
 def detect_language(text: Column) -> Column:
     """struct<code, confidence> by stop words among the first 5000 words; null code if there is no clear winner."""
-    words = F.transform(F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([a-zA-ZÀ-ÿ']+)"), F.lit(1)), 1, SAMPLE_WORDS), lambda w: F.lower(w))
-    enough = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([a-zA-ZÀ-ÿ']+)"), F.lit(1))) >= MIN_WORDS
-    # counts as (hits, order): equal counts rank in the order of the table
-    hits = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop)))
-    ranked = F.sort_array(F.array(*[F.struct(hits(stop).alias("hits"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, stop) in enumerate(R.STOP_WORDS.items())]), asc=False)
-    best, second = F.get(ranked, 0), F.get(ranked, 1)
-    clear = enough & (best["hits"] >= MIN_HITS) & (best["hits"] >= second["hits"] * MIN_MARGIN)
-    return F.when(clear, F.struct(best["code"].alias("code"), F.bround(best["hits"] / F.greatest(F.size(words), F.lit(1)), 4).alias("confidence")))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([a-zA-ZÀ-ÿ']+)"), F.lit(1))
+    every = sorted({w for stop in R.STOP_WORDS.values() for w in stop})
+
+    def judged(words: Column) -> Column:
+        sample = F.slice(words, 1, SAMPLE_WORDS)
+        stopped = F.filter(F.transform(sample, lambda w: F.lower(w)), lambda w: w.isin(*every))
+        return F.struct(F.size(words).alias("n"), F.size(sample).alias("sample"), stopped.alias("stopped"))
+
+    def hits(stopped: Column, stop: list[str]) -> Column:
+        return F.size(F.filter(stopped, lambda w: w.isin(*stop)))
+
+    def decided(c: Column) -> Column:
+        # counts as (hits, order): equal counts rank in the order of the table
+        counts = F.array(*[F.struct(hits(c["stopped"], stop).alias("hits"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, stop) in enumerate(R.STOP_WORDS.items())])
+        return F.struct(c["n"].alias("n"), c["sample"].alias("sample"), F.sort_array(counts, asc=False).alias("ranked"))
+
+    def result(r: Column) -> Column:
+        best, second = F.get(r["ranked"], F.lit(0)), F.get(r["ranked"], F.lit(1))
+        clear = (r["n"] >= MIN_WORDS) & (best["hits"] >= MIN_HITS) & (best["hits"] >= second["hits"] * MIN_MARGIN)
+        return F.when(clear, F.struct(best["code"].alias("code"), F.bround(best["hits"] / F.greatest(r["sample"], F.lit(1)), 4).alias("confidence")))
+
+    return F.get(_let(_let(_let(F.array(found), judged), decided), result), F.lit(0))
+
+
+def _let(values: Column, f) -> Column:
+    """f over an array of one value: what f uses several times is worked out once."""
+    return F.transform(values, lambda x: f(x))
 
 
 def classify_prompt(text: Column) -> dict[str, Column]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +59,9 @@ def insights(facts: DataFrame) -> DataFrame:
     n = F.col("sample_size")
     at_least_one = lambda x: F.greatest(x, F.lit(1))
 
-    def rule(name: str, holds: Column, supporting: Column, r: Column, strength: Column) -> DataFrame:
-        return facts.where(holds).select("project_id", "competitor", F.lit(name).alias("insight_type"), confidence(n, supporting).alias("confidence"), impact(r).alias("impact"), F.bround(F.least(F.lit(100.0), strength), 1).alias("strength"))
+    def rule(name: str, holds: Column, supporting: Column, r: Column, strength: Column) -> Column:
+        found = F.struct(F.lit(name).alias("insight_type"), confidence(n, supporting).alias("confidence"), impact(r).alias("impact"), F.bround(F.least(F.lit(100.0), strength), 1).alias("strength"))
+        return F.when(holds, found)
 
     domains = ratio(c("citing_domains"), b("citing_domains"))
     coverage = ratio(c("prompts_appearing"), b("prompts_appearing"))
@@ -82,7 +82,8 @@ def insights(facts: DataFrame) -> DataFrame:
         rule("positioning_advantage", rec.isNotNull() & ((rec >= 15) | better), c("mentions"), position, rec + F.when(better, 20.0).otherwise(0.0)),
         rule("evidence_advantage", research | specific, c("research_citations") + c("specifics"), evidence, 10.0 * (c("research_domains") + c("specifics"))),
     ]
-    return reduce(DataFrame.unionByName, rules)
+    # one pass: each row makes the array of what holds for it
+    return facts.select("project_id", "competitor", F.explode(F.array_compact(F.array(*rules))).alias("i")).select("project_id", "competitor", "i.*")
 
 
 def entity_insights(facts: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -143,23 +144,24 @@ def period_alerts(measures: DataFrame, t: AlertThresholds = AlertThresholds()) -
     enough = (F.col("sample_size_c") >= t.min_responses) & (F.col("sample_size_p") >= t.min_responses)
     m = measures.where(enough)
     brand = m.where(F.col("entity") == BRAND)
-    rivals = m.where(F.col("entity") != BRAND).join(brand.select("project_id", *[F.col(f"{c}_{p}").alias(f"b_{c}_{p}") for c in ("score", "cited") for p in "cp"]), "project_id")
+    rows = m.join(brand.select("project_id", *[F.col(f"{c}_{p}").alias(f"b_{c}_{p}") for c in ("score", "cited") for p in "cp"]), "project_id")
 
-    def rule(rows: DataFrame, name: str, subject: Column, magnitude: Column, base: str, threshold: float, a: Column, b: Column) -> DataFrame:
-        return rows.select("project_id", F.lit(name).alias("alert_type"), subject.alias("subject"), F.bround(magnitude, 2).alias("magnitude"), escalate(base, magnitude, threshold).alias("severity"), fingerprint(F.rint(a).cast("int"), F.rint(b).cast("int")).alias("fingerprint"))
+    def rule(holds: Column, name: str, magnitude: Column, base: str, threshold: float, a: Column, b: Column) -> Column:
+        mark = fingerprint(F.rint(a).cast("int"), F.rint(b).cast("int"))
+        return F.when(holds, F.struct(F.lit(name).alias("alert_type"), F.bround(magnitude, 2).alias("magnitude"), escalate(base, magnitude, threshold).alias("severity"), mark.alias("fingerprint")))
 
+    ours, rival = F.col("entity") == BRAND, F.col("entity") != BRAND
     drop, jump = F.col("share_p") - F.col("share_c"), F.col("share_c") - F.col("share_p")
     margin = F.col("score_c") - F.col("b_score_c")
     gap_c, gap_p = F.col("cited_c") - F.col("b_cited_c"), F.col("cited_p") - F.col("b_cited_p")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            rule(brand.where(drop >= t.brand_drop_points), "visibility_drop", F.lit(BRAND), drop, "high", t.brand_drop_points, F.col("share_p"), F.col("share_c")),
-            rule(rivals.where(jump >= t.competitor_jump_points), "competitor_visibility_jump", F.col("entity"), jump, "medium", t.competitor_jump_points, F.col("share_p"), F.col("share_c")),
-            rule(rivals.where((F.col("score_p") <= F.col("b_score_p")) & (margin >= t.overtake_margin_points)), "competitor_overtakes_brand", F.col("entity"), margin, "high", t.overtake_margin_points, F.col("score_c"), F.col("b_score_c")),
-            rule(rivals.where((gap_c - gap_p >= t.citation_gap_increase_points) & (gap_c > 0)), "citation_gap_increase", F.col("entity"), gap_c - gap_p, "medium", t.citation_gap_increase_points, gap_p, gap_c),
-        ],
-    )
+    rules = [
+        rule(ours & (drop >= t.brand_drop_points), "visibility_drop", drop, "high", t.brand_drop_points, F.col("share_p"), F.col("share_c")),
+        rule(rival & (jump >= t.competitor_jump_points), "competitor_visibility_jump", jump, "medium", t.competitor_jump_points, F.col("share_p"), F.col("share_c")),
+        rule(rival & (F.col("score_p") <= F.col("b_score_p")) & (margin >= t.overtake_margin_points), "competitor_overtakes_brand", margin, "high", t.overtake_margin_points, F.col("score_c"), F.col("b_score_c")),
+        rule(rival & (gap_c - gap_p >= t.citation_gap_increase_points) & (gap_c > 0), "citation_gap_increase", gap_c - gap_p, "medium", t.citation_gap_increase_points, gap_p, gap_c),
+    ]
+    found = rows.select("project_id", F.col("entity").alias("subject"), F.explode(F.array_compact(F.array(*rules))).alias("a"))
+    return found.select("project_id", "a.alert_type", "subject", "a.magnitude", "a.severity", "a.fingerprint")
 
 
 def new_sources(cited: DataFrame, start: Column, least: int = 2, source: str = "domain_id") -> DataFrame:
