@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -425,8 +426,9 @@ def generated(n: int, seed: int) -> tuple[list[Page], list[np.ndarray]]:
     return pages, labels
 
 
+@lru_cache(maxsize=2)
 def train_labeller(n_pages: int = 2400, epochs: int = 6, batch: int = 32, seed: int = 5) -> Labeller:
-    """Adam on cross-entropy over ``n_pages`` generated pages; the same on every call."""
+    """Adam on cross-entropy over ``n_pages`` generated pages; the same on every call, so it is kept."""
     pages, labels = generated(n_pages, seed)
     model, rng = Labeller(seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in model.p.items()}, {k: np.zeros_like(x) for k, x in model.p.items()}, 0
