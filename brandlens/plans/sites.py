@@ -118,3 +118,18 @@ def _conflicts(p: Projection) -> DataFrame:
 @query("jsonld_issues", None)
 def _issues(p: Projection) -> DataFrame:
     return entities.validate_blocks(_blocks(p)).groupBy("code", "severity").agg(F.count("*").alias("issues"))
+
+
+@query("site_readiness", None)
+def _site_readiness(p: Projection) -> DataFrame:
+    from brandlens.operators import readiness
+
+    return readiness.site_readiness(readiness.page_aspects(site_audit.page_snapshot(_facts(p))))
+
+
+@query("page_content_reviews", None)
+def _reviews(p: Projection) -> DataFrame:
+    from brandlens.operators import readiness
+
+    host = F.regexp_extract("url", r"([a-z0-9-]+)\.[a-z]+(?:[/:?#]|$)", 1)
+    return readiness.page_reviews(site_audit.page_snapshot(_facts(p)), host)
