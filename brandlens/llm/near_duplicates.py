@@ -87,15 +87,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node of ``edges`` (a, b: bigint).
 
     Alternates the large-star and the small-star step until nothing changes; every step aggregates before it shuffles
-    and adds at most as many links as it has. Each round is a checkpoint.
+    and adds at most as many links as it has. Each round is a checkpoint; so are the least neighbours, which leaves plain
+    joins whose crowded partitions (a node with very many neighbours) Spark splits.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = large.checkpoint()
+        below = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         joined = large.join(below, "a")
         small = joined.select("a", F.col("m").alias("b")).unionAll(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = small.distinct().checkpoint()
@@ -190,9 +192,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, width:
         .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("_k1", "_k2")).alias("key"), F.first("bands").alias("bands"))
     )
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # small sides are checkpoints: the joins with them stay plain, and Spark splits the partitions of very common keys
+    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").checkpoint()
     candidates = components(banded.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    candidates = candidates.join(candidates.groupBy("root").agg(F.count("*").alias("n")), "root")
+    candidates = candidates.join(candidates.groupBy("root").agg(F.count("*").alias("n")).checkpoint(), "root")
     members = candidates.join(nodes.select("node", "copies", F.col("key._k1").alias("_k1"), F.col("key._k2").alias("_k2")), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = members.select("_k1", "_k2", "node", "copies", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
@@ -209,7 +212,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, width:
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = nodes.select("node", "copies", "least_id").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    of_class = placed.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_class = placed.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")).checkpoint()
     facts = placed.join(of_class, "class").select("node", "class_id", "class_size", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = F.col("node").isNull()
     return signed.select("doc_id", "_k1", "_k2", "node").join(facts, "node", "left").select(
@@ -230,7 +233,7 @@ def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
     """
     classes = near_duplicate_classes(docs, **parameters)
     crowded = classes.where("class_size > 1").select("_class", "doc_id", "_k1", "_k2").checkpoint()
-    first = crowded.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("kept"))
+    first = crowded.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("kept")).checkpoint()
     gone = crowded.join(first, "_class").where("_k1 <> kept._k1 OR _k2 <> kept._k2").select("_k1", "_k2").distinct()
     rest = with_row_key(docs).join(gone, ["_k1", "_k2"], "left_anti")
     return rest.dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
