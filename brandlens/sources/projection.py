@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandlens.functions.ladders import STRENGTHS
+from brandlens.functions.ladders import STRENGTHS, folded_sentiment, strength_of, strength_rank
 
 #: The moment of analysis; the data end the day before.
 NOW = "2001-08-02"
@@ -109,20 +109,16 @@ class Projection:
 
         Mentions and citations are pre-aggregated to the response before they join it.
         """
-        from brandlens.functions.ladders import folded_sentiment, strength_of, strength_rank
-
-        c = self.citations
-        placed = F.when(F.col("position") <= 6, F.col("position"))
-        brand = c.where("is_brand").groupBy("run_id").agg(
-            F.min(placed).alias("brand_position"),
-            strength_of(F.max(strength_rank(F.col("strength")))).alias("brand_strength"),
-            folded_sentiment(F.col("sentiment")).alias("brand_sentiment"),
-            F.count("*").alias("brand_citations"),
+        ours, theirs = F.col("is_brand"), F.col("is_competitor")
+        per_run = self.citations.where(ours | theirs).groupBy("run_id").agg(
+            F.min(F.when(ours & (F.col("position") <= 6), F.col("position"))).alias("brand_position"),
+            strength_of(F.max(F.when(ours, strength_rank(F.col("strength"))))).alias("brand_strength"),
+            folded_sentiment(F.when(ours, F.col("sentiment"))).alias("brand_sentiment"),
+            F.count_if(ours).alias("brand_citations"),
+            F.array_sort(F.collect_set(F.when(theirs, F.col("competitor")))).alias("competitors"),
         )
-        rivals = c.where("is_competitor").groupBy("run_id").agg(F.array_sort(F.collect_set("competitor")).alias("competitors"))
-        mentioned = F.col("brand_citations").isNotNull()
-        joined = self.eligible.join(brand, "run_id", "left").join(rivals, "run_id", "left")
-        return joined.withColumns(
+        mentioned = F.coalesce(F.col("brand_citations") > 0, F.lit(False))
+        return self.eligible.join(per_run, "run_id", "left").withColumns(
             {
                 "brand_mentioned": mentioned,
                 "brand_citations": F.coalesce("brand_citations", F.lit(0)),
@@ -135,13 +131,16 @@ class Projection:
 
     @cached_property
     def entity_views(self) -> DataFrame:
-        """Response by entity (the brand and every configured competitor): what the response says about it."""
-        from brandlens.functions.ladders import folded_sentiment, strength_of, strength_rank
+        """Response by entity (the brand and every configured competitor): what the response says about it.
 
-        c = self.citations
+        What a response says is gathered by entity before it joins, and the entities are unfolded after: one shuffle of
+        mentions and one of responses, both by response.
+        """
         entity = F.filter(F.array(F.when(F.col("is_brand"), F.lit(BRAND)), F.when(F.col("is_competitor"), F.col("competitor"))), lambda x: x.isNotNull())
         said = (
-            c.select("run_id", F.explode(entity).alias("entity"), "position", "strength", "sentiment")
+            self.citations.where("is_brand OR is_competitor")
+            .repartition("run_id")
+            .select("run_id", F.explode(entity).alias("entity"), "position", "strength", "sentiment")
             .groupBy("run_id", "entity")
             .agg(
                 F.min(F.when(F.col("position") <= 6, F.col("position"))).alias("position"),
@@ -150,9 +149,12 @@ class Projection:
                 F.count("*").alias("citations"),
             )
         )
-        every = self.eligible.withColumn("entity", F.explode(F.array(*[F.lit(e) for e in (BRAND, *COMPETITORS)])))
+        facts = F.struct("entity", F.struct("position", "strength", "sentiment", "citations").alias("v"))
+        per_run = said.groupBy("run_id").agg(F.map_from_entries(F.collect_list(facts)).alias("said"))
+        every = self.eligible.join(per_run, "run_id", "left").withColumn("entity", F.explode(F.array(*[F.lit(e) for e in (BRAND, *COMPETITORS)])))
+        v = F.try_element_at("said", F.col("entity"))
         mentioned = F.col("citations").isNotNull()
-        return every.join(said, ["run_id", "entity"], "left").withColumns(
+        return every.select("*", *[v[c].alias(c) for c in ("position", "strength", "sentiment", "citations")]).drop("said").withColumns(
             {
                 "mentioned": mentioned,
                 "recommended": mentioned & F.coalesce(F.col("strength").isin("moderate", "strong") & (F.col("sentiment") != "negative"), F.lit(False)),
