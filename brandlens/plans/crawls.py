@@ -59,7 +59,13 @@ def _jobs(p: Projection) -> DataFrame:
     return g.select(F.col("o_custkey").alias("job_id"), crawl.job_status(F.col("o_custkey") % 11 == 0, F.col("crawled"), F.col("failed"), F.col("skipped"), F.col("seen")).alias("status"))
 
 
-@query("crawl_url_normalize", None)
+@query(
+    "crawl_url_normalize",
+    f"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '#.*$', '') AS rest FROM pages),
+b AS (SELECT *, lower(regexp_extract(rest, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS path, CASE WHEN contains(rest, '?') THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END AS q FROM a),
+c AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({", ".join(f"'{t}'" for t in crawl.CRAWL_TRACKING)}))) AS kept FROM b)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM c""",
+)
 def _crawl_urls(p: Projection) -> DataFrame:
     return p.table("pages").select("page_id", crawl.normalize_crawl_url("url").alias("url"))
 

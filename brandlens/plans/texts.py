@@ -156,14 +156,21 @@ def _answer_citations(p: Projection) -> DataFrame:
     return texts.answer_citations(rows)
 
 
-@query("answer_structure", None)
+@query(
+    "answer_structure",
+    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE role = 'assistant'), n AS (SELECT conv_id, turn, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1, 2)
+SELECT 'item' AS kind, CAST(sum(n) AS BIGINT) AS lines, max(n) AS most_items FROM n""",
+)
 def _structure(p: Projection) -> DataFrame:
     marked = F.expr("regexp_replace(text, '(^|\n)', '$1- ')")
     rows = p.table("conversations").where("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), marked.alias("text"))
     return texts.answer_lines(rows).groupBy("kind").agg(F.count("*").alias("lines"), F.max("item_no").alias("most_items"))
 
 
-@query("answer_claims", None)
+@query(
+    "answer_claims",
+    """SELECT * FROM (VALUES ('Acme', 'offers', 'a payroll add-on'), ('Globex', 'is', 'free')) v(subject, predicate, object), (SELECT count(*) AS occurrences FROM conversations WHERE role = 'assistant')""",
+)
 def _answer_claims(p: Projection) -> DataFrame:
     rows = p.table("conversations").where("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), F.expr("text || '\nAcme offers a payroll add-on.\nGlobex is free.'").alias("text"))
     names = p.spark.createDataFrame([("Acme",), ("Globex",)], "name string")
