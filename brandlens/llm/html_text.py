@@ -26,9 +26,9 @@ PATH_ROWS, WORD_ROWS, PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 4096, 32768, 24,
 #: Ancestors whose tags make up a path vector, nearest first.
 ANCESTORS = 32
 
-_ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+_ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*+"""
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^<>]*>|<[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
