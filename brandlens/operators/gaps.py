@@ -133,3 +133,35 @@ def recommendations(gaps: DataFrame) -> DataFrame:
 def commercial_prompts(cited: DataFrame) -> DataFrame:
     """Per project and domain, how many of the prompts that cite it are commercial."""
     return cited.groupBy("project_id", "domain_id").agg(F.countDistinct("prompt_id").alias("prompts"), F.countDistinct(F.when(is_commercial(), F.col("prompt_id"))).alias("commercial_prompts"))
+
+
+# When original research is worth a recommendation.
+RESEARCH_MIN_COMPETITOR_CITATIONS, RESEARCH_MIN_RESPONSES, RESEARCH_MIN_COMMERCIAL_SHARE = 3, 2, 0.5
+
+
+def research_facts(cited: DataFrame, eligible: DataFrame, domains: DataFrame) -> DataFrame:
+    """Per project what research sources are cited for, whether original research is warranted, why not, and how sure.
+
+    Citations join nothing that fans them out: relationship flags are theirs already.
+    """
+    rows = cited.join(domains.where("domain_type = 'research'").select("domain_id"), "domain_id")
+    g = rows.groupBy("project_id").agg(
+        F.count_if("is_competitor").alias("competitor_citations"),
+        F.count_if("is_brand").alias("brand_citations"),
+        F.countDistinct("run_id").alias("responses"),
+        F.countDistinct("prompt_id").alias("prompts"),
+        F.countDistinct(F.when(is_commercial(), F.col("prompt_id"))).alias("commercial_prompts"),
+    )
+    joined = g.join(eligible.groupBy("project_id").agg(F.count("*").alias("eligible_responses")), "project_id")
+    share = F.coalesce(F.try_divide(F.col("commercial_prompts"), F.col("prompts")), F.lit(0.0))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("competitor_citations") < RESEARCH_MIN_COMPETITOR_CITATIONS, "few_competitor_citations"),
+            F.when(F.col("responses") < RESEARCH_MIN_RESPONSES, "few_responses"),
+            F.when(F.col("brand_citations") > 0, "brand_is_cited"),
+            F.when(share < RESEARCH_MIN_COMMERCIAL_SHARE, "not_commercial"),
+        )
+    )
+    r, n = F.col("responses"), F.col("eligible_responses")
+    level = F.when((r >= 20) & (n >= 50), "high").when((r >= 8) & (n >= 20), "medium").otherwise("low")
+    return joined.withColumn("reasons", F.array_join(reasons, ",")).withColumn("warranted", F.col("reasons") == "").withColumn("confidence", level)

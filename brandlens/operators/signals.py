@@ -242,3 +242,15 @@ def candidate_scores(candidates: DataFrame, providers_seen: Column) -> DataFrame
     score = F.bround(sum((w * F.bround(v, 3) for v, w in parts.values()), F.lit(0.0)), 5)
     scored = candidates.where(n >= 2).withColumn("confidence", score)
     return scored.withColumn("label", F.when(F.col("confidence") >= 0.7, "high").when(F.col("confidence") >= 0.4, "medium").otherwise("low"))
+
+
+def new_competitor_alerts(candidates: DataFrame, t: AlertThresholds = AlertThresholds()) -> DataFrame:
+    """Alerts for discovered names of at least the threshold's confidence; ``candidates`` as of candidate_scores."""
+    found = candidates.where(F.col("confidence") >= t.new_competitor_min_confidence)
+    return found.select("project_id", F.lit("new_competitor").alias("alert_type"), F.lower("name").alias("subject"), F.when(F.col("label") == "high", "medium").otherwise("low").alias("severity"), fingerprint(F.lower("name")).alias("fingerprint"))
+
+
+def content_gap_alerts(gaps: DataFrame, t: AlertThresholds = AlertThresholds()) -> DataFrame:
+    """Alerts for content gaps of at least the threshold's score."""
+    found = gaps.where(F.col("score") >= t.content_gap_min_score)
+    return found.select("project_id", F.lit("new_content_gap").alias("alert_type"), F.concat_ws(":", F.col("prompt_id").cast("string"), "gap_type").alias("subject"), F.when(F.col("score") >= 80, "high").otherwise("medium").alias("severity"), "score")

@@ -145,3 +145,38 @@ def classify_sources(sources: DataFrame, companies: DataFrame | None = None, thr
     decided = (best["score"] >= threshold) & (F.coalesce(best["score"] - second["score"], F.lit(1.0)) >= 0.05)
     out = hosts.join(ranked, "host", "left")
     return out.select("host", F.when(decided, best["type"]).otherwise("unknown").alias("domain_type"), F.when(decided, F.bround(best["score"], 3)).otherwise(0.0).alias("confidence"))
+
+
+# Language of rivalry around a name, and what stands between names of a list.
+RIVALRY = r"(?i)\b(alternative|alternatives|competitor|competitors|compet(?:e|ing)s? with|similar (?:to|companies|tools|products)|instead of|rival|rivals|vs\.?|versus|compared (?:to|with)|comparison)\b"
+ALTERNATIVES = r"(?i)\b(?:alternatives?|competitors?|similar (?:tools|products|companies))\s+(?:to|of|like|such as|include|including)\s+([^.\n]{2,120})"
+NAME = r"[A-Z][\w&.+-]{1,40}(?: [A-Z][\w&.+-]{1,40}){0,2}"
+VERSUS = rf"\b({NAME})\s+(?:vs\.?|versus)\s+({NAME})"
+LABEL = r"^\s*([A-Z][\w&.+'’-]{1,40}(?:\s+[A-Z0-9][\w&.+'’-]{0,40}){0,3})(?=\s*[:—–\-(|,]|\s*$)"
+BETWEEN = r"(?i),|\band\b|\bor\b|&|/|;|\binclud(?:e|es|ing)\b|\bsuch as\b|\blike\b"
+NO_NAMES = "the a an and or of for with to in on by at best top free cheap affordable popular other others more overview summary pros cons pricing features conclusion".split()
+
+
+def discovered_names(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """response_id, name, position and language (rivalry) of names that answers offer: list labels, "alternatives to" and "vs".
+
+    ``known`` (name) are the brand and configured rivals, left out by normalised name. A name has two to sixty characters,
+    at most four words, and starts with a capital or digit.
+    """
+    lines = answer_lines(answers).where("kind <> 'source'")
+    text = F.col("text")
+    label = F.when(F.col("kind") == "item", F.nullif(F.regexp_extract(text, LABEL, 1), F.lit("")))
+    lists = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ALTERNATIVES), F.lit(1)), lambda x: F.split(x, BETWEEN)))
+    pairs = F.concat(F.regexp_extract_all(text, F.lit(VERSUS), F.lit(1)), F.regexp_extract_all(text, F.lit(VERSUS), F.lit(2)))
+    entry = lambda n, language, position: F.struct(n.alias("raw"), language.alias("language"), position.alias("position"))
+    found = F.concat(
+        F.when(label.isNotNull(), F.array(entry(label, text.rlike(RIVALRY), F.col("item_no").cast("int")))).otherwise(F.expr("cast(array() as array<struct<raw:string,language:boolean,position:int>>)")),
+        F.transform(F.concat(lists, pairs), lambda n: entry(n, F.lit(True), F.lit(None).cast("int"))),
+    )
+    rows = lines.select("response_id", F.explode(found).alias("f")).select("response_id", F.trim(F.regexp_replace(F.regexp_replace("f.raw", r"\s+", " "), r"^[\s*_`\"'()\[\]]+|[\s*_`\"'()\[\]]+$", "")).alias("name"), "f.language", "f.position")
+    words = F.split(F.lower("name"), " ")
+    proper = F.col("name").rlike(r"^[\p{Lu}0-9]") & F.col("name").rlike(r"\p{L}") & F.length("name").between(2, 60) & (F.size(words) <= 4) & ~F.forall(words, lambda w: w.isin(*NO_NAMES))
+    key = F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "")
+    fresh = rows.where(proper).withColumn("key", key).where("key <> ''")
+    rest = fresh.join(known.select(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "").alias("key")).distinct(), "key", "left_anti")
+    return rest.groupBy("response_id", "key").agg(F.min("name").alias("name"), F.bool_or("language").alias("language"), F.min("position").alias("position"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brandlens.operators import competitive, operations, signals
 from brandlens.operators.visibility import with_period
-from brandlens.plans.analytics import _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query
+from brandlens.plans.analytics import ORACLE_SQL, _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query
 from brandlens.sources.projection import COMPETITORS, Projection
 
 # ---- insights ---------------------------------------------------------------------------------------------------
@@ -337,3 +337,28 @@ def _profile(p: Projection) -> DataFrame:
         F.count_if(F.col("project_id") == 1).alias("own_citations"),
         F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_competitor"), F.col("competitor")))), ","), F.lit("")).alias("competitors"),
     )
+
+
+@query(
+    "research_facts",
+    f"""{WITH}{_CITED}, g AS (SELECT project_id, count(*) FILTER (WHERE is_competitor) AS competitor_citations, count(*) FILTER (WHERE is_brand) AS brand_citations, count(DISTINCT run_id) AS responses, count(DISTINCT prompt_id) AS prompts,
+  count(DISTINCT CASE WHEN {_COMMERCIAL} THEN prompt_id END) AS commercial_prompts FROM wc JOIN domains USING (domain_id) WHERE domain_type = 'research' GROUP BY 1),
+n AS (SELECT project_id, count(*) AS eligible_responses FROM eligible WHERE completed_at >= {_NOW} - INTERVAL {LONG} DAY AND completed_at < {_NOW} GROUP BY 1),
+r AS (SELECT *, concat_ws(',', CASE WHEN competitor_citations < 3 THEN 'few_competitor_citations' END, CASE WHEN responses < 2 THEN 'few_responses' END, CASE WHEN brand_citations > 0 THEN 'brand_is_cited' END,
+  CASE WHEN commercial_prompts / CAST(prompts AS DOUBLE) < 0.5 THEN 'not_commercial' END) AS reasons FROM g JOIN n USING (project_id))
+SELECT *, reasons = '' AS warranted, CASE WHEN responses >= 20 AND eligible_responses >= 50 THEN 'high' WHEN responses >= 8 AND eligible_responses >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM r""",
+)
+def _research(p: Projection) -> DataFrame:
+    from brandlens.operators import gaps
+
+    return gaps.research_facts(_window(p), p.eligible_between(p.ago(LONG), p.now()), p.domains)
+
+
+@query("alerts_new_competitors", ORACLE_SQL["discovery_scores"].replace("SELECT *, CASE WHEN confidence >= 0.7", "SELECT project_id, 'new_competitor' AS alert_type, name AS subject, CASE WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS severity, substr(sha256(name), 1, 12) AS fingerprint FROM cs WHERE confidence >= 0.4 --"))
+def _new_competitors(p: Projection) -> DataFrame:
+    return signals.new_competitor_alerts(_discovery(p))
+
+
+@query("alerts_content_gaps", f"SELECT project_id, 'new_content_gap' AS alert_type, prompt_id || ':' || gap_type AS subject, CASE WHEN score >= 80 THEN 'high' ELSE 'medium' END AS severity, score FROM ({ORACLE_SQL['content_gap_scores']}) WHERE score >= 60")
+def _content_gap_alerts(p: Projection) -> DataFrame:
+    return signals.content_gap_alerts(_gap_scores(p))

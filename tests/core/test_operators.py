@@ -124,3 +124,11 @@ def test_jsonld(spark):
 def test_next_run(spark, cadence, weekday, now, expected):
     at = operations.next_run(F.lit(cadence), F.lit(9), F.lit(weekday).cast("int"), F.lit(now).cast("timestamp"))
     assert str(spark.range(1).select(at.cast("string").alias("x")).first().x) == expected
+
+
+def test_discovered_names(spark):
+    text = "# Options\n1. Globex: a rival of Acme\n2. **Initech** - fine\nAlternatives to Acme include Hooli, Big Co and the best.\nVandelay vs Globex is close.\n## Sources\n1. Wikipedia"
+    answers = spark.createDataFrame([("r", text), ("e", ""), ("n", None)], "response_id string, text string")
+    known = spark.createDataFrame([("ACME",)], "name string")
+    found = {r.name: (r.language, r.position) for r in texts.discovered_names(answers, known).collect()}
+    assert found == {"Globex": (True, 1), "Initech": (False, 2), "Hooli": (True, None), "Big Co": (True, None), "Vandelay": (True, None)}
