@@ -33,7 +33,7 @@ def limited(df: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offs
 def sources(cited: DataFrame, domains: DataFrame, view: str = "top", limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Most cited sources; view: top, competitor (cited for competitors) or gap (for competitors at least three times as often)."""
     c, b = F.col("competitor_citations"), F.col("brand_citations")
-    counts = domain_counts(cited).join(F.broadcast(domains) if view == "small" else domains, "domain_id")
+    counts = domain_counts(cited).join(domains, "domain_id")
     if view == "competitor":
         counts, order = counts.where(c > 0), [F.desc("competitor_citations"), F.desc("citations"), F.col("domain")]
     elif view == "gap":

@@ -46,7 +46,7 @@ class Projection:
     @cached_property
     def prompts(self) -> DataFrame:
         category = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-        return self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        return self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
             F.col("c_custkey").alias("prompt_id"),
             F.col("n_regionkey").alias("project_id"),
             F.element_at(category, F.col("c_mktsegment")).alias("category"),
