@@ -104,7 +104,8 @@ def train_language_model(docs: DataFrame, per_language: int = 300, max_languages
     """Fit on a bounded sample: at most ``per_language`` texts of each of the ``max_languages`` most frequent languages.
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1. The sample is drawn by a hash of
-    doc_id, at a rate from each language's row count; only presence bits (WIDTH / 8 bytes a text) reach the driver.
+    doc_id, at a rate from each language's row count; of several rows of one id and language the least text counts. Only
+    presence bits (WIDTH / 8 bytes a text) reach the driver.
     None if there is nothing to learn from.
     """
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
@@ -123,7 +124,8 @@ def train_language_model(docs: DataFrame, per_language: int = 300, max_languages
                 [batch.column("lang"), batch.column("key"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["lang", "key", "bits"]
             )
 
-    rows = picked.select("lang", key.alias("key"), "text").mapInArrow(bits, "lang string, key bigint, bits binary").toArrow().to_pylist()
+    single = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = single.select("lang", key.alias("key"), "text").mapInArrow(bits, "lang string, key bigint, bits binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["key"], r["lang"], r["bits"]))
     kept, seen = [], dict.fromkeys((r["lang"] for r in rows), 0)
     for r in rows:
