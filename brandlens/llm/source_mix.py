@@ -44,19 +44,22 @@ def source_quotas(docs: DataFrame, weights: dict[str | None, float] | None, expo
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(exponent))
     weighted = top.unionByName(pool).select("source", "pooled", "n", weight.alias("w"))
-    # at most max_sources + 1 rows from here on: largest remainders make the quotas whole
+    # at most max_sources + 1 rows from here on, in one array: largest remainders make the quotas whole
     return docs.sparkSession.sql(f"""
-        WITH numbered AS (
-          SELECT *, CAST(row_number() OVER (ORDER BY pooled, n DESC, source NULLS LAST) AS INT) AS source_no, count(*) OVER () AS many, sum(w) OVER (ORDER BY pooled, n DESC, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total
-          FROM {{weighted}}
+        WITH one AS (
+          SELECT array_sort(collect_list(named_struct('pooled', pooled, 'less', -n, 'none', source IS NULL, 'source', source, 'w', w))) AS a FROM {{weighted}}
+        ), totals AS (
+          SELECT a, size(a) AS many, aggregate(a, CAST(0 AS DOUBLE), (t, x) -> t + coalesce(x.w, CAST(0 AS DOUBLE))) AS total FROM one
         ), shared AS (
-          SELECT *, CASE WHEN total > 0 THEN ({cycle} - many) * w / total ELSE ({cycle} - many) / CAST(many AS DOUBLE) END AS share FROM numbered
-        ), floored AS (
-          SELECT *, 1 + CAST(floor(share) AS INT) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, source_no) AS remainder_no FROM shared
-        )
-        SELECT source_no, source, pooled, n,
-               base + CASE WHEN remainder_no <= {cycle} - sum(base) OVER () THEN 1 ELSE 0 END AS quota
-        FROM floored""", weighted=weighted)
+          SELECT transform(a, (x, i) -> named_struct('source_no', i + 1, 'x', x, 'share',
+                   CASE WHEN total > 0 THEN ({cycle} - many) * coalesce(x.w, CAST(0 AS DOUBLE)) / total ELSE ({cycle} - many) / CAST(many AS DOUBLE) END)) AS s FROM totals
+        ), whole AS (
+          SELECT s, slice(transform(array_sort(transform(s, x -> named_struct('less', floor(x.share) - x.share, 'source_no', x.source_no))), x -> x.source_no),
+                          1, {cycle} - aggregate(s, 0, (t, x) -> t + 1 + CAST(floor(x.share) AS INT))) AS more FROM shared
+        ), rows AS (SELECT explode(s) AS r, more FROM whole)
+        SELECT r.source_no, r.x.source AS source, r.x.pooled AS pooled, -r.x.less AS n,
+               1 + CAST(floor(r.share) AS INT) + CASE WHEN array_contains(more, r.source_no) THEN 1 ELSE 0 END AS quota
+        FROM rows""", weighted=weighted)
 
 
 def cycle_schedule(quotas: DataFrame, cycle: int) -> DataFrame:
