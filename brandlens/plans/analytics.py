@@ -320,7 +320,7 @@ rw AS (SELECT domain_id, count(*) AS total, count(DISTINCT project_id) AS projec
 ro AS (SELECT project_id, domain_id, count(*) AS own FROM cited GROUP BY 1, 2),
 rs AS (SELECT *, CAST(greatest(1, floor(date_diff('second', first_seen, {_NOW}) / 604800.0) + 1) AS DOUBLE) AS since FROM ro JOIN rw USING (domain_id) JOIN domains USING (domain_id)),
 rp AS (SELECT project_id, domain_id, domain, domain_type, least(100.0, 100.0 * log10(total + 1.0) / log10(1001.0)) AS frequency, least(100.0, 100.0 * projects / 20) AS breadth, 100.0 * least(weeks, since) / since AS consistency,
-  least(100.0, {_TYPE_POINTS} + CASE WHEN is_authority THEN 5.0 ELSE 0.0 END) AS source_type, least(100.0, 100.0 * log10(own + 1.0) / log10(101.0)) AS project_frequency FROM rs),
+  CAST(least(100.0, {_TYPE_POINTS} + CASE WHEN is_authority THEN 5.0 ELSE 0.0 END) AS DOUBLE) AS source_type, least(100.0, 100.0 * log10(own + 1.0) / log10(101.0)) AS project_frequency FROM rs),
 relevance AS (SELECT project_id, domain_id, domain, domain_type, round_even((30.0 * frequency + 20.0 * breadth + 15.0 * consistency + 20.0 * source_type + 15.0 * project_frequency) / 100.0, 1) AS source_relevance,
   round_even(frequency, 1) AS frequency, round_even(breadth, 1) AS breadth, round_even(consistency, 1) AS consistency, round_even(source_type, 1) AS source_type, round_even(project_frequency, 1) AS project_frequency FROM rp)"""
 
