@@ -50,7 +50,8 @@ def rising(cited_both: DataFrame, start: Column, domains: DataFrame, limit: int
     """Growth of citations of this window over the one before, of domains cited at least 3 times and more than before."""
     g = cited_both.groupBy("project_id", "domain_id").agg(F.count_if(F.col("cited_at") >= start).alias("citations"), F.count_if(F.col("cited_at") < start).alias("previous"))
     g = g.where("citations > 0").join(domains, "domain_id")
-    candidates = limited(g, [F.desc("citations"), F.col("domain")], MOST).drop("rank") if RISING_CANDIDATES < MOST else g.withColumn("c", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("citations"), "domain"))).where(F.col("c") <= RISING_CANDIDATES)
+    most_cited = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("citations"), "domain"))
+    candidates = g.withColumn("place", most_cited).where(F.col("place") <= RISING_CANDIDATES)
     growth = F.bround((F.col("citations") - F.col("previous")) / F.greatest(F.col("previous"), F.lit(1)), 3)
     kept = candidates.where((F.col("citations") >= 3) & (F.col("citations") > F.col("previous"))).withColumn("growth", growth)
     return limited(kept, [F.desc("growth"), F.desc("citations"), F.col("domain")], limit).select("project_id", "rank", "domain", "citations", "previous", "growth")
