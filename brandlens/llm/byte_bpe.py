@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from brandlens.llm.spark_files import small_batches
 
 #: Characters of texts that are encoded together; a longer text makes a chunk of its own.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 5_000_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -198,18 +198,17 @@ def _default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """All columns of ``docs`` but text, with ids array<int>: the text's ids without special tokens (replacing a column ids).
-
-    Each match of ``pattern`` is encoded on its own. A null or empty text has no ids. ``ranks_path`` is opened on the
-    executors, so it must be a path of an installed package or shared folder. A narrow map, no shuffle.
-    """
+def _encoding(docs: DataFrame, ranks_path: str | None, pattern: str | None, decoded: bool = False):
+    """Columns to encode, text last; the schema of the result; ranks and pattern."""
     small_batches(docs.sparkSession)
     path, own = (ranks_path, pattern) if ranks_path and pattern else _default_vocabulary()
-    kept = [c for c in docs.columns if c.lower() not in ("ids", "text")]
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "text", "decoded" if decoded else "ids")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
-    schema = source.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("array<int>").alias("ids")).schema
+    added = [F.lit(None).cast("array<int>").alias("ids")] + [F.lit(None).cast("binary").alias("decoded")] * decoded
+    return source, source.select(*[F.col(f"`{c}`") for c in kept], *added).schema, path, own
+
 
+def _encoder(path: str, own: str, kept: list[str]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         chunk, held = Chunk(own), []
@@ -233,18 +232,20 @@ def encode_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         if chunk.texts:
             yield flush()
 
-    return source.mapInArrow(encode, schema)
+    return encode
 
 
-def decode_bpe(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """All columns with decoded binary, the bytes of ids (replacing a column decoded). Null ids give no bytes.
+def encode_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but text, with ids array<int>: the text's ids without special tokens (replacing a column ids).
 
-    Unknown ids stand for no bytes; null ids inside an array are skipped.
+    Each match of ``pattern`` is encoded on its own. A null or empty text has no ids. ``ranks_path`` is opened on the
+    executors, so it must be a path of an installed package or shared folder. A narrow map, no shuffle.
     """
-    path = ranks_path or _default_vocabulary()[0]
-    kept = [c for c in encoded.columns if c.lower() != "decoded"]
-    source = encoded.select(*[F.col(f"`{c}`") for c in kept])
-    schema = source.select("*", F.lit(None).cast("binary").alias("decoded")).schema
+    source, schema, path, own = _encoding(docs, ranks_path, pattern)
+    return source.mapInArrow(_encoder(path, own, source.columns[:-1]), schema)
+
+
+def _decoder(path: str, kept: list[str]):
     at = kept.index("ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +267,32 @@ def decode_bpe(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
                 out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], names=[*kept, "decoded"])
 
-    return source.mapInArrow(decode, schema)
+    return decode
+
+
+def decode_bpe(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
+    """All columns with decoded binary, the bytes of ids (replacing a column decoded). Null ids give no bytes.
+
+    Unknown ids stand for no bytes; null ids inside an array are skipped.
+    """
+    path = ranks_path or _default_vocabulary()[0]
+    kept = [c for c in encoded.columns if c.lower() != "decoded"]
+    source = encoded.select(*[F.col(f"`{c}`") for c in kept])
+    schema = source.select("*", F.lit(None).cast("binary").alias("decoded")).schema
+    return source.mapInArrow(_decoder(path, kept), schema)
+
+
+def round_trip_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but text, with ids and decoded: decode_bpe of encode_bpe in one Python worker instead of two."""
+    source, schema, path, own = _encoding(docs, ranks_path, pattern, decoded=True)
+    kept = source.columns[:-1]
+    encode, decode = _encoder(path, own, kept), _decoder(path, [*kept, "ids"])
+    return source.mapInArrow(lambda batches: decode(encode(batches)), schema)
 
 
-def digests(encoded: DataFrame, *also: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents, decoded again for the purpose; then ``also``."""
-    return decode_bpe(encoded.select("doc_id", "ids", *[c for c in also if c not in ("doc_id", "ids")])).select(
+def digests(round_trip: DataFrame, *also: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents encoded and decoded again; then ``also``."""
+    return round_trip.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
@@ -281,4 +302,4 @@ def digests(encoded: DataFrame, *also: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return digests(round_trip_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandlens.llm.byte_bpe import digests, encode_bpe
+from brandlens.llm.byte_bpe import digests, round_trip_bpe
 from brandlens.llm.language_id import UND, predict_language, train_language_model
 from brandlens.llm.near_duplicates import keep_one_of_each_class
 from brandlens.llm.source_mix import mix_sources
@@ -57,8 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and the digests of the ids and of their decoded bytes."""
     ship_package(spark)
-    encoded = encode_bpe(docs.select("doc_id", "lang", "source", "text"))
-    return digests(encoded, "lang", "source", "ids")
+    return digests(round_trip_bpe(docs.select("doc_id", "lang", "source", "text")), "lang", "source", "ids")
 
 
 STAGES = [
