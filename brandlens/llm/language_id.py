@@ -4,6 +4,9 @@ A text is the set of its character n-grams, one hashed presence vector for each
 mean over n of the cosine of their presence vectors. Nyström landmarks (labelled texts of the sample) give an explicit
 feature map, and one-versus-rest kernel ridge regression on it gives a score for each language. The kernel is linear in
 the presence vectors, so landmarks and ridge weights fold into one matrix and scoring is a matrix product for each n.
+
+The scores of all languages add up to a constant, so the best one says nothing about texts in none of them. Such texts
+fall short in another measure: the share of their 3-grams that are usual in a learned language.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ WIDTH = sum(_SIZES)
 _ROWS = 192
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 UND = "und"
+#: A 3-gram is usual in a language if more than this share of its learning texts have it.
+USUAL = 0.02
+#: Least share of usual 3-grams, and the part of the share of held-out learning texts (5th percentile) that is enough.
+LEAST_USUAL, PART_OF_HELD_OUT = 0.55, 0.85
 
 
 def presence(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,14 +71,55 @@ def normalised(bits: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """languages, and the folded weights float32[WIDTH + 1, languages]; the last row is the bias."""
+    """languages, and the folded weights float32[WIDTH + 1, languages]; the last row is the bias.
+
+    ``usual``: float32[3-grams, languages], 1 where a 3-gram is usual; ``least``: the share of usual ones a text must have.
+    """
 
     languages: list[str]
     weights: np.ndarray
+    usual: np.ndarray | None = None
+    least: float = 0.0
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
         return normalised(bits) @ self.weights[:-1] + self.weights[-1]
 
+    def familiar(self, bits: np.ndarray) -> np.ndarray:
+        """Whether the 3-grams of each text are usual in some language; one unusual 3-gram is always forgiven."""
+        if self.usual is None:
+            return np.ones(len(bits), bool)
+        total = bits[:, -_SIZES[-1] :].sum(axis=1, dtype=np.int64)
+        return usual_share(bits, self.usual) * total + 1 >= self.least * total
+
+
+def usual_share(bits: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """The share of the present 3-grams that are usual, for the language where it is largest."""
+    present = bits[:, -_SIZES[-1] :].astype(np.float32)
+    return (present @ usual).max(axis=1) / np.maximum(present.sum(axis=1), 1)
+
+
+def usual_grams(packed: np.ndarray, y: np.ndarray, languages: int, folds: int = 5) -> tuple[np.ndarray, float]:
+    """float32[3-grams, languages], and the least share: it is set on texts held out of the counts, fold by fold."""
+    fold_no = np.zeros(len(y), np.int64)
+    for c in range(languages):
+        fold_no[y == c] = np.arange((y == c).sum()) % folds
+    texts = np.zeros((folds, languages))
+    np.add.at(texts, (fold_no, y), 1)
+    have = np.zeros((folds, languages, _SIZES[-1]), np.float32)
+    part = lambda rows: np.unpackbits(packed[rows], axis=1)
+    for f in range(folds):
+        for c in range(languages):
+            rows = np.flatnonzero((fold_no == f) & (y == c))
+            for a in range(0, len(rows), 128):
+                have[f, c] += part(rows[a : a + 128])[:, -_SIZES[-1] :].sum(axis=0)
+    usual = lambda h, n: (h > USUAL * n[:, None]).T.astype(np.float32)
+    shares = []
+    for f in range(folds):
+        known = usual(have.sum(axis=0) - have[f], texts.sum(axis=0) - texts[f])
+        rows = np.flatnonzero(fold_no == f)
+        shares += [usual_share(part(rows[a : a + 128]), known) for a in range(0, len(rows), 128)]
+    return usual(have.sum(axis=0), texts.sum(axis=0)), float(min(LEAST_USUAL, PART_OF_HELD_OUT * np.percentile(np.concatenate(shares), 5)))
+
 
 def fit_kernel_ridge(packed: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> LanguageModel:
     """One-versus-rest kernel ridge regression on Nyström features; rows of each language weigh the same in total.
@@ -92,7 +140,7 @@ def fit_kernel_ridge(packed: np.ndarray, labels: list[str], landmarks: int = 256
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 0
     w = np.linalg.solve(z.T @ (z * weight[:, None]) + penalty + 1e-12 * np.eye(z.shape[1]), z.T @ (target * weight[:, None]))
-    return LanguageModel(languages, np.vstack([marks.T @ (root @ w[:-1]).astype(np.float32), w[-1:]]).astype(np.float32))
+    return LanguageModel(languages, np.vstack([marks.T @ (root @ w[:-1]).astype(np.float32), w[-1:]]).astype(np.float32), *usual_grams(packed, y, len(languages)))
 
 
 def fold(doc_id, modulus: int):
@@ -141,8 +189,8 @@ def train_language_model(docs: DataFrame, per_language: int = 300, max_languages
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """All columns of ``docs`` with lang_pred and lang_score (replacing columns of these names); a narrow map, no shuffle.
 
-    ``und`` with score 0 where text is null or has no letter, or where there is no model. Only text is read. The score is
-    the winning one-versus-rest value, (value + 1) / 2 held to 0..1; ties go to the alphabetically first language.
+    ``und`` with score 0 where text is null or has no letter, where its 3-grams are usual in none of the learned languages
+    (foreign texts, gibberish), or where there is no model. Only text is read. The score is the winning one-versus-rest value, (value + 1) / 2 held to 0..1; ties go to the alphabetically first language.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
@@ -159,6 +207,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     names += [UND] * len(bits)
                     values.append(np.zeros(len(bits)))
                     continue
+                lettered = lettered & model.familiar(bits)
                 scores = model.scores(bits)
                 best = scores.argmax(axis=1)
                 names += [model.languages[k] if ok else UND for k, ok in zip(best, lettered, strict=True)]

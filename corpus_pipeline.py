@@ -20,14 +20,15 @@ from brandlens.llm.toxicity import score_toxicity, train_toxicity_model
 from brandlens.shipping import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows whose language no kernel is at least this sure of are rejected.
+#: Rows whose language no kernel is at least this sure of are rejected. The best of K scores is 1/K at least, so with few
+#: languages this alone rejects nothing: texts in none of them are told by their unusual 3-grams and come as UND, score 0.
 LEAST_LANGUAGE_SCORE = 0.1
 #: Rows of a shard of the mix: consecutive positions that are written together.
 SHARD_ROWS = 2048
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay: those without letters or below the least score go; lang is set to the prediction."""
+    """Documents in a known language stay: those without letters, in none of the learned languages or of gibberish go; lang is set to the prediction."""
     ship_package(spark)
     judged = predict_language(docs, train_language_model(docs))
     kept = judged.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
