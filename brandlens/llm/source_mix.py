@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL expressions alone.
 
-Rows of a source form blocks of ``block_rows``. With weights as whole slots of a cycle, the j-th block of a source with
+Rows of a source form blocks of ``block_rows``. With whole slots of a cycle as quotas, the j-th block of a source with
 quota a is released in slot floor((j - 1) * cycle / a) and due by slot ceil(j * cycle / a). In every slot the released
-block with the earliest deadline goes next, so each source stays within one block of its share at all times. All lags
-are 0 at the end of a cycle and the pattern repeats: one cycle of bounded size is scheduled, and every row computes its
-place from its rank within its source.
+block with the earliest deadline goes next, so each source stays within one block of its quota's share at all times.
+
+Quotas of a cycle are whole and weights are not, so each cycle has quotas of its own. With the sources in a row, let C be
+a source's weight and those before it. By the end of cycle c the sources up to it have had floor(c * cycle * C) slots in
+all: every source is then within one block of its weight, whatever c is, and within two blocks at all times. A cycle's
+quotas follow from its number alone, so cycles are scheduled side by side in many tasks.
 """
 
 from __future__ import annotations
@@ -12,14 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Slots of a cycle, rows of a block, sources with a weight of their own, hash buckets a source is ranked in.
-CYCLE, BLOCK_ROWS, MAX_SOURCES, BUCKET_DIGITS = 1000, 16, 200, 3
+#: Least slots of a cycle, rows of a block, sources with a weight of their own, hash buckets a source is ranked in.
+CYCLE, BLOCK_ROWS, MAX_SOURCES, BUCKET_DIGITS = 1000, 16, 2000, 3
+#: Weights are whole parts of this; cycles are scheduled in so many tasks.
+PARTS, CYCLE_TASKS = 1 << 30, 64
 
 
 def source_quotas(docs: DataFrame, weights: dict[str | None, float] | None, exponent: float, cycle: int, max_sources: int) -> DataFrame:
-    """source_no, source, pooled, n, quota: whole slots of the cycle for each source, at least 1, ``cycle`` in all.
+    """source_no, source, pooled, n, w, quota: whole slots of one cycle for each source, at least 1, ``cycle`` in all.
 
-    Weights are the given ones, or row counts to the power ``exponent``. Sources beyond the ``max_sources`` with most rows,
+    w is the weight itself, not normed. Weights are the given ones, or row counts to the power ``exponent``. Sources beyond the ``max_sources`` with most rows,
     and with given weights all sources not named, share one pool (pooled = true).
     """
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
@@ -57,55 +62,90 @@ def source_quotas(docs: DataFrame, weights: dict[str | None, float] | None, expo
           SELECT s, slice(transform(array_sort(transform(s, x -> named_struct('less', floor(x.share) - x.share, 'source_no', x.source_no))), x -> x.source_no),
                           1, {cycle} - aggregate(s, 0, (t, x) -> t + 1 + CAST(floor(x.share) AS INT))) AS more FROM shared
         ), rows AS (SELECT explode(s) AS r, more FROM whole)
-        SELECT r.source_no, r.x.source AS source, r.x.pooled AS pooled, -r.x.less AS n,
+        SELECT r.source_no, r.x.source AS source, r.x.pooled AS pooled, -r.x.less AS n, coalesce(r.x.w, CAST(0 AS DOUBLE)) AS w,
                1 + CAST(floor(r.share) AS INT) + CASE WHEN array_contains(more, r.source_no) THEN 1 ELSE 0 END AS quota
         FROM rows""", weighted=weighted)
 
 
-def cycle_schedule(quotas: DataFrame, cycle: int) -> DataFrame:
-    """source_no, block (0-based within the cycle), slot: earliest deadline first among the released blocks."""
-    picks = quotas.sparkSession.sql(f"""
-        WITH one AS (SELECT transform(array_sort(collect_list(struct(source_no, quota))), x -> x.quota) AS a FROM {{quotas}})
-        SELECT aggregate(
-            sequence(0, {cycle} - 1),
-            named_struct('served', transform(a, x -> 0), 'order', cast(array() AS array<int>)),
+def _picks(quotas: str, cycle: str) -> str:
+    """SQL: the index that each slot of a cycle goes to, earliest deadline first among the released blocks."""
+    return f"""aggregate(
+            sequence(0, CAST({cycle} AS INT) - 1),
+            named_struct('served', transform({quotas}, x -> 0), 'order', cast(array() AS array<int>)),
             (state, slot) -> transform(
-              array(array_min(filter(transform(a, (q, i) ->
+              array(array_min(filter(transform({quotas}, (q, i) ->
                 CASE WHEN state.served[i] < q AND (state.served[i] * {cycle}) div q <= slot
                      THEN struct(((state.served[i] + 1) * {cycle} + q - 1) div q AS due, i AS i) END), x -> x IS NOT NULL)).i),
               pick -> named_struct('served', transform(state.served, (c, i) -> c + CASE WHEN i = pick THEN 1 ELSE 0 END),
                                    'order', concat(state.order, array(pick))))[0]
-          ).order AS picks
-        FROM one""", quotas=quotas)
+          ).order"""
+
+
+def cycle_schedule(quotas: DataFrame, cycle: int) -> DataFrame:
+    """source_no, block (0-based within the cycle), slot: earliest deadline first among the released blocks."""
+    picks = quotas.sparkSession.sql(f"""
+        WITH one AS (SELECT transform(array_sort(collect_list(struct(source_no, quota))), x -> x.quota) AS a FROM {{quotas}})
+        SELECT {_picks("a", str(cycle))} AS picks FROM one""", quotas=quotas)
     # the schedule has ``cycle`` rows
     return quotas.sparkSession.sql("""
         SELECT source_no, CAST(row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS INT) AS block_in_cycle, slot
         FROM (SELECT posexplode(picks) AS (slot, pick), pick + 1 AS source_no FROM {picks})""", picks=picks)
 
 
+def whole_schedule(quotas: DataFrame, least_cycle: int, block_rows: int) -> DataFrame:
+    """source_no, block, slot of every block that the sources have, against the weights themselves.
+
+    A cycle is so long that the least weight has a slot in it. Weights below 1 / max(least_cycle, 5 * sources) of all are
+    raised to this.
+    """
+    spark = quotas.sparkSession
+    # at most max_sources + 1 rows in one array; ``parts`` and ``upto`` are whole, so that all sums are exact
+    cycles = spark.sql(f"""
+        WITH one AS (SELECT array_sort(collect_list(struct(source_no, w, n))) AS a FROM {{quotas}}),
+        summed AS (SELECT a, size(a) AS many, aggregate(a, CAST(0 AS DOUBLE), (t, x) -> t + x.w) AS total FROM one WHERE size(a) > 0),
+        parted AS (SELECT transform(a, x -> named_struct('blocks', (x.n + {block_rows - 1}) div {block_rows}, 'parts', CAST(greatest(
+                     round(CASE WHEN total > 0 THEN x.w / total ELSE 1D / many END * {PARTS}), ceil({PARTS}D / greatest({least_cycle}, 5 * many))) AS BIGINT))) AS a FROM summed),
+        placed AS (SELECT transform(a, (x, i) -> named_struct('blocks', x.blocks, 'parts', x.parts, 'upto', aggregate(slice(a, 1, i + 1), 0L, (t, y) -> t + y.parts))) AS a,
+                          aggregate(a, 0L, (t, x) -> t + x.parts) AS whole, array_min(transform(a, x -> x.parts)) AS least FROM parted),
+        sized AS (SELECT a, whole, greatest({least_cycle}L, (whole + least - 1) div least) AS cycle FROM placed),
+        bound AS (SELECT *, array_max(transform(a, x -> CAST(floor((x.blocks + 1) * CAST(whole AS DOUBLE) / (x.parts * CAST(cycle AS DOUBLE))) AS BIGINT))) + 1 AS last FROM sized)
+        SELECT a, whole, cycle, explode(sequence(0L, last)) AS c FROM bound""", quotas=quotas).repartition(CYCLE_TASKS, "c")
+    picks = spark.sql(f"""
+        WITH edges AS (SELECT c, cycle, transform(a, x -> named_struct('blocks', x.blocks,
+                         'first', (c * cycle * x.upto) div whole - (c * cycle * (x.upto - x.parts)) div whole,
+                         'next', ((c + 1) * cycle * x.upto) div whole - ((c + 1) * cycle * (x.upto - x.parts)) div whole)) AS e FROM {{cycles}}),
+        needed AS (SELECT c, cycle, e, transform(e, x -> x.next - x.first) AS q FROM edges WHERE exists(e, x -> x.first < x.blocks AND x.next > x.first))
+        SELECT c, cycle, e, {_picks("q", "cycle")} AS picks FROM needed""", cycles=cycles)
+    return spark.sql("""
+        SELECT source_no, block, slot FROM (
+          SELECT pick + 1 AS source_no, first + row_number() OVER (PARTITION BY c, pick ORDER BY place) - 1 AS block, c * cycle + place AS slot, blocks
+          FROM (SELECT c, cycle, place, pick, e[pick].first AS first, e[pick].blocks AS blocks FROM (SELECT c, cycle, e, posexplode(picks) AS (place, pick) FROM {picks})))
+        WHERE block < blocks""", picks=picks)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
     exponent: float = 0.5,
-    cycle: int = CYCLE,
+    cycle: int | None = None,
     block_rows: int = BLOCK_ROWS,
     max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """All columns of ``docs`` with mix_source_no, mix_block (0-based in its source), mix_slot and mix_position.
 
-    mix_position orders all rows; in every run of slots in which no source has ended, each source is within one block of
-    its share. Every row has exactly one place: when a source ends, its slots stay empty and the others keep theirs.
+    mix_position orders all rows; in every run of slots from the first in which no source has ended, each source is within
+    two blocks of its weight, however many slots there are. With a given ``cycle`` the pattern repeats after so many slots
+    instead, and each source is within one block of its quota of it, which only approximates the weight. Every row has exactly one place: when a source ends, its slots stay empty and the others keep theirs.
     Rows of a source come in the order of md5(doc_id), then doc_id; rows of one id are in no particular order. Null is a
     source like any other, a null id is ordered as an empty one; an empty table gives an empty result; columns named
     like the added ones are replaced. A source is ranked in hash buckets whose counts add up, so no task gets a whole one.
     """
     added = ("mix_source_no", "mix_block", "mix_slot", "mix_position")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    quotas = source_quotas(docs.select("source"), weights, exponent, cycle, max_sources)
-    schedule = cycle_schedule(quotas, cycle)
+    quotas = source_quotas(docs.select("source"), weights, exponent, cycle or CYCLE, max_sources)
     pool_no = quotas.where("pooled").select(F.col("pooled").alias("_pooled"), F.col("source_no").alias("_pool"), F.col("quota").alias("_pool_quota"))
     named = quotas.where("NOT pooled").select(F.col("source").alias("_source"), F.col("source_no").alias("_no"), F.col("quota").alias("_quota"))
-    # at most max_sources rows, one row and ``cycle`` rows: bounded broadcasts
+    # at most max_sources rows and one row: bounded broadcasts
     keyed = (
         docs.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
         .join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -122,16 +162,17 @@ def mix_sources(
         FROM {counts}""", counts=counts)
     ranked = docs.sparkSession.sql("SELECT *, row_number() OVER (PARTITION BY mix_source_no, _bucket ORDER BY _hash, doc_id) AS _in_bucket FROM {keyed}", keyed=keyed)
     rank = F.col("_before") + F.col("_in_bucket") - 1
-    return (
-        ranked.join(before, ["mix_source_no", "_bucket"])
-        .withColumn("_rank", rank)
-        .withColumn("mix_block", F.expr(f"_rank div {block_rows}"))
-        .withColumn("_block_in_cycle", F.expr("CAST(mix_block % _quota AS INT)"))
-        .join(F.broadcast(schedule.withColumnsRenamed({"source_no": "mix_source_no", "block_in_cycle": "_block_in_cycle", "slot": "_slot"})), ["mix_source_no", "_block_in_cycle"])
-        .withColumn("mix_slot", F.expr(f"(mix_block div _quota) * {cycle} + _slot"))
-        .withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + _rank % {block_rows}"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], *added)
-    )
+    placed = ranked.join(before, ["mix_source_no", "_bucket"]).withColumn("_rank", rank).withColumn("mix_block", F.expr(f"_rank div {block_rows}"))
+    if cycle is None:
+        # a row for each block: Spark decides by size
+        schedule = whole_schedule(quotas, CYCLE, block_rows).withColumnsRenamed({"source_no": "mix_source_no", "block": "mix_block", "slot": "mix_slot"})
+        slotted = placed.join(schedule, ["mix_source_no", "mix_block"])
+    else:
+        # the schedule has ``cycle`` rows
+        schedule = cycle_schedule(quotas, cycle).withColumnsRenamed({"source_no": "mix_source_no", "block_in_cycle": "_block_in_cycle", "slot": "_slot"})
+        placed = placed.withColumn("_block_in_cycle", F.expr("CAST(mix_block % _quota AS INT)"))
+        slotted = placed.join(F.broadcast(schedule), ["mix_source_no", "_block_in_cycle"]).withColumn("mix_slot", F.expr(f"(mix_block div _quota) * {cycle} + _slot"))
+    return slotted.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + _rank % {block_rows}")).select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

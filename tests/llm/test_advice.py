@@ -29,3 +29,23 @@ def test_language_stage_rejects_foreign_texts_and_gibberish(spark):
     assert not out & set(ids)
     held = {r.doc_id for r in docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1 AND text RLIKE '[A-Za-z]'").collect()}
     assert held and held <= out
+
+
+@pytest.mark.parametrize("weights", [[0.7, 0.1, 0.05, 0.05, 0.05, 0.05], [0.5] + [0.5 / 49] * 49, [0.3] + [0.7 / 230] * 230])
+def test_mix_follows_the_weights_themselves(spark, weights):
+    from brandlens.llm import source_mix
+
+    slots = 6000
+    rows = [(s, b) for s, w in enumerate(weights) for b in range(int(slots * w) + 3)]
+    docs = spark.createDataFrame(rows, "s int, doc_id int").selectExpr("doc_id", "concat('s', s) AS source")
+    given = {f"s{s}": w for s, w in enumerate(weights)}
+    out = source_mix.mix_sources(docs, given, block_rows=1).select("source", "mix_block", "mix_slot").collect()
+    assert len(out) == len(rows) == len({r.mix_slot for r in out})
+    at = {}
+    for r in sorted(out, key=lambda r: r.mix_slot):
+        at.setdefault(r.source, []).append(r.mix_slot)
+        assert r.mix_block == len(at[r.source]) - 1
+    for source, places in at.items():
+        for served, slot in enumerate(places):
+            if slot < slots:
+                assert abs(served - given[source] * slot) < 2 and abs(served + 1 - given[source] * (slot + 1)) < 2
