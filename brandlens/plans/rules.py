@@ -304,6 +304,21 @@ def _verification(p: Projection) -> DataFrame:
     return operations.verification(i.where("audit = 1").select("code", "url"), i.where("audit = 0").select("code", "url"))
 
 
+_ISSUE_URL = "CASE WHEN user_id % 5 <> 0 THEN 'u' || user_id || '/' || hour(ts) END"
+
+
+@query(
+    "audit_verification_all",
+    f"""WITH i AS (SELECT DISTINCT event_type AS code, {_ISSUE_URL} AS url, day(ts) > 15 AS latest FROM events),
+k AS (SELECT code, url, bool_or(latest) AS now, bool_or(NOT latest) AS before FROM i GROUP BY 1, 2)
+SELECT code, url, CASE WHEN now AND before THEN 'awaiting' WHEN now THEN 'new' ELSE 'verified' END AS state FROM k""",
+)
+def _verification_all(p: Projection) -> DataFrame:
+    """Two audits from all events: those of the first half of the month, and those after it."""
+    i = p.table("events").select(F.col("event_type").alias("code"), F.expr(_ISSUE_URL).alias("url"), (F.dayofmonth("ts") > 15).alias("latest")).distinct()
+    return operations.verification(i.where("latest").select("code", "url"), i.where("NOT latest").select("code", "url"))
+
+
 @query(
     "gap_merge_idempotent",
     f"""{WITH}, f AS (SELECT DISTINCT project_id, domain_id FROM cited WHERE cited_at >= {_NOW} - INTERVAL 365 DAY), e AS (SELECT DISTINCT project_id, domain_id FROM cited WHERE cited_at < {_NOW} - INTERVAL 2300 DAY),
