@@ -38,6 +38,12 @@ def _titles(p: Projection) -> DataFrame:
     return _facts(p).join(broken, "page_id").select("page_id", F.when(~F.col("broken"), F.col("title")).alias("title"))
 
 
+@query("page_titles_all", None)
+def _all_titles(p: Projection) -> DataFrame:
+    """The parsed title of every page, also where SQL can't decode it."""
+    return _facts(p).select("page_id", "title")
+
+
 @query("page_links", """SELECT page_id, u[1] AS href, CAST(n AS INTEGER) AS position FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)"', 1), range(1, 1000)[1:len(regexp_extract_all(html, '<a href="'))])) AS u, u[2] AS n FROM pages)""")
 def _links(p: Projection) -> DataFrame:
     return _facts(p).select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.href").alias("href"), F.col("l.position").alias("position"))
