@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows whose language no kernel is at least this sure of are rejected. The best of K scores is 1/K at least, so with few
 #: languages this alone rejects nothing: texts in none of them are told by their unusual 3-grams and come as UND, score 0.
 LEAST_LANGUAGE_SCORE = 0.1
-#: Rows of a shard of the mix: consecutive positions that are written together.
-SHARD_ROWS = 2048
+#: Ranges of positions that the mix is written in.
+MIX_FILES = 64
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,16 +49,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: each file holds whole runs of consecutive positions, in order."""
+    """All documents with mix_position, in its order: each file is a range of positions, and files follow each other in it."""
     ship_package(spark)
-    mixed = mix_sources(docs).withColumn("_shard", F.expr(f"mix_position div {SHARD_ROWS}"))
-    return mixed.repartition("_shard").sortWithinPartitions("mix_position").select(*COLUMNS)
+    return mix_sources(docs).repartitionByRange(MIX_FILES, "mix_position").sortWithinPartitions("mix_position").select(*COLUMNS, "mix_position")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens and the digests of the ids and of their decoded bytes."""
+    """doc_id, lang, source, mix_position, ids, n_tokens and the digests of the ids and of their decoded bytes."""
     ship_package(spark)
-    return digests(round_trip_bpe(docs.select("doc_id", "lang", "source", "text")), "lang", "source", "ids")
+    return digests(round_trip_bpe(docs.select("doc_id", "lang", "source", "mix_position", "text")), "lang", "source", "mix_position", "ids")
 
 
 STAGES = [

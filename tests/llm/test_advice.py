@@ -4,6 +4,7 @@ import importlib.util
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 pipeline_only = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is absent")
@@ -49,3 +50,21 @@ def test_mix_follows_the_weights_themselves(spark, weights):
         for served, slot in enumerate(places):
             if slot < slots:
                 assert abs(served - given[source] * slot) < 2 and abs(served + 1 - given[source] * (slot + 1)) < 2
+
+
+@pipeline_only
+def test_mix_orders_the_written_table_and_the_last_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "CASE WHEN id % 10 < 7 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source", "10L AS n_chars")
+    corpus_pipeline.mixing_stage(spark, docs, DATA).write.parquet(str(tmp_path / "mix"))
+    files = sorted((tmp_path / "mix").glob("part-*.parquet"))
+    order = [r for f in files for r in spark.read.parquet(str(f)).orderBy(F.monotonically_increasing_id()).collect()]
+    assert len(files) > 1 and len(order) == 6000
+    assert [r.mix_position for r in order] == sorted(r.mix_position for r in order)
+    root = {s: n**0.5 for s, n in {"a": 4200, "b": 1200, "c": 600}.items()}
+    for rows in (400, 800, 1200):
+        for s, w in root.items():
+            assert abs(sum(r.source == s for r in order[:rows]) - rows * w / sum(root.values())) < 3 * 16
+    out = corpus_pipeline.encoding_stage(spark, spark.read.parquet(str(tmp_path / "mix")), DATA).collect()
+    assert {r.doc_id: r.mix_position for r in out} == {r.doc_id: r.mix_position for r in order}
