@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brandlens.llm.spark_files import small_batches
@@ -148,42 +148,42 @@ def fold(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def train_language_model(docs: DataFrame, per_language: int = 300, max_languages: int = 64) -> LanguageModel | None:
-    """Fit on a bounded sample: at most ``per_language`` texts of each of the ``max_languages`` most frequent languages.
+def train_language_model(docs: DataFrame, per_language: int = 300, most_texts: int = 12_000) -> LanguageModel | None:
+    """Fit on a bounded sample: at most ``per_language`` texts of each language, and of every language the same part of
+    ``most_texts`` if there are more than most_texts / per_language (one text of each at least). No language is left out.
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1. The sample is drawn by a hash of
     doc_id, at a rate from each language's row count; of several rows of one id and language the least text counts. Only
     presence bits (WIDTH / 8 bytes a text) reach the driver.
     None if there is nothing to learn from.
     """
+    small_batches(docs.sparkSession)
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
+    per_language = max(1, min(per_language, most_texts // languages))
     spread = 1 << 30
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.2 * per_language / r["n"]) * spread)))])
     key = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    picked = usable.where(F.col("lang").isin([r["lang"] for r in counts]) & (key < F.element_at(rate, F.col("lang"))))
+    rate = counts.select("lang", (F.least(F.lit(1.0), 1.2 * (per_language + 20) / F.col("n")) * spread).cast("bigint").alias("rate"))
+    # one row for each language
+    picked = usable.join(F.broadcast(rate), "lang").where(key < F.col("rate"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [row for part, _ in presence(batch.column("text").to_pylist()) for row in np.packbits(part, axis=1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("key"), pa.array([x.tobytes() for x in packed], pa.binary())], names=["lang", "key", "bits"]
-            )
+            packed = [row.tobytes() for part, _ in presence(batch.column("text").to_pylist()) for row in np.packbits(part, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(packed, pa.binary())], names=["lang", "key", "bits"])
 
     single = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = single.select("lang", key.alias("key"), "text").mapInArrow(bits, "lang string, key bigint, bits binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["key"], r["lang"], r["bits"]))
-    kept, seen = [], dict.fromkeys((r["lang"] for r in rows), 0)
-    for r in rows:
-        seen[r["lang"]] += 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
-    if not kept:
+    drawn = single.select("lang", key.alias("key"), "text").mapInArrow(bits, "lang string, key bigint, bits binary")
+    # a window over the drawn rows, some 1.2 * per_language for a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "bits"))
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "key", "bits").toArrow().sort_by([("key", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+    if not rows.num_rows:
         return None
-    packed = np.frombuffer(b"".join(r["bits"] for r in kept), np.uint8).reshape(len(kept), -1)
-    return fit_kernel_ridge(packed, [r["lang"] for r in kept])
+    packed = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return fit_kernel_ridge(packed, rows.column("lang").to_pylist())
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -219,6 +219,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of documents; null texts and texts without letters are ``und``, 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train_language_model(docs)
     return predict_language(docs.select("doc_id", "text"), model).select(

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brandlens.llm.language_id import fold
-from brandlens.llm.spark_files import small_batches
+from brandlens.llm.spark_files import small_batches, with_checkpoint_dir
 from brandlens.llm.text_arrays import by_text, grams, slices, words
 
 BITS = 20
@@ -51,11 +51,12 @@ class ToxicityModel:
 def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, prior: float, min_texts: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 8) -> ToxicityModel:
     """FTRL-proximal over the rows (distinct feature indexes) in the given order; ``prior``: share of label 1 in the data.
 
-    Features of fewer than ``min_texts`` rows are left out.
-
-    The bias has no penalty; at the end it moves by the log-odds between the sample's share of label 1 and ``prior``.
+    Features of fewer than ``min_texts`` rows are left out. The bias has no penalty; at the end it moves by the log-odds between the sample's share of label 1 and ``prior``.
     """
-    often = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS) >= min_texts
+    seen = np.zeros(1 << BITS, np.int32)
+    for i in rows:
+        seen[i] += 1
+    often = seen >= min_texts
     rows = [i[often[i]] for i in rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
@@ -81,13 +82,17 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, prior: float, min_texts
     return ToxicityModel(index, every[index], float(bias + np.log(prior / (1 - prior)) - np.log(share / (1 - share))))
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ToxicityModel:
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_features: int = 4_000_000, min_texts: int = 3) -> ToxicityModel:
     """Fit on a bounded sample: about ``per_class`` labelled documents of each class, drawn by a hash of doc_id.
 
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 0 and whose label is not null. A document with several
-    labels takes the highest, one with several texts the least. Only hashed features reach the driver. Without any
-    labelled row the model has no weight and scores everything below one half.
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 0 and whose label is 0 or 1. A document with several
+    labels takes the highest, one with several texts the least. Texts are hashed and features of fewer than ``min_texts``
+    texts of the sample are dropped in tasks; then texts are taken in the order of the hash until a class has
+    ``most_features`` features (16 MB; one text at least), and only these come to the driver. Without any labelled row the
+    model has no weight and scores everything below one half.
     """
+    with_checkpoint_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     spread = 1 << 30
@@ -105,12 +110,39 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 25
                 out += [np.unique(x).astype(np.int32).tobytes() for x in by_text(found[order], owner[order], rows)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("key"), pa.array(out, pa.binary())], names=["toxic", "key", "features"])
 
-    rows = sample.select("toxic", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(hashed, "toxic int, key bigint, features binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: r["key"])
-    total = sum(counts.values())
-    if not rows:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts of this task have a feature, as one dense table a task."""
+        seen = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                seen[np.frombuffer(row, np.int32)] += 1
+        at = np.flatnonzero(seen)
+        for a in range(0, len(at), 1 << 16):
+            part = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], names=["feature", "n"])
+
+    sized = sample.select("toxic", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(hashed, "toxic int, key bigint, features binary").checkpoint()
+    often = sized.select("features").mapInArrow(counted, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts)
+    # at most one row for each hash: 4 MB
+    common = np.zeros(1 << BITS, bool)
+    common[often.select("feature").toArrow().column(0).to_numpy()] = True
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int32) for x in batch.column("features").to_pylist()]
+            kept = [x[common[x]] for x in rows]
+            columns = [batch.column("toxic"), batch.column("key"), pa.array([len(x) for x in kept], pa.int64()), pa.array([x.tobytes() for x in kept], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "key", "size", "features"])
+
+    # a window over the rows of the sample, bounded by per_class
+    upto = Window.partitionBy("toxic").orderBy("key", "features")
+    small = sized.mapInArrow(pruned, "toxic int, key bigint, size bigint, features binary").withColumn("upto", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(upto))
+    rows = small.where((F.col("upto") <= most_features) | (F.col("nth") == 1)).select("toxic", "key", "features").toArrow()
+    if not rows.num_rows:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -4.0)
-    return fit_ftrl([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), counts.get(1, 0) / total)
+    order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+    held = rows.column("features").combine_chunks()
+    return fit_ftrl([np.frombuffer(held[int(i)].as_buffer(), np.int32) for i in order], rows.column("toxic").to_numpy()[order].astype(float), counts.get(1, 0) / sum(counts.values()), min_texts)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -139,6 +171,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents, learnt from labels; null and empty texts are scored too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train_toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs.select("doc_id", "text"), model).select(
