@@ -1,11 +1,11 @@
 """N-gram Jaccard self-join of texts by MinHash banding, and near-duplicate classes.
 
 1. Every text becomes its set of hashed five-word shingles; equal sets are one node (copies are never paired).
-2. Band hashes of a node's MinHash signature are shuffled; nodes that share one are linked to the least of them, and
-   connected components of these links hold all candidate pairs.
-3. Every pair within a component is verified on the full sets. A component is cut into blocks of bounded size and block
-   meets block in one task, so neither pairs nor a whole component are ever brought together; a task returns sums and
-   at most one link a node.
+2. Band hashes of a node's MinHash signature are shuffled; nodes that share one are in a bucket. Buckets of the same
+   nodes are one bucket.
+3. Every pair within a bucket is verified on the full sets, once: in the least bucket that holds both. A bucket is cut
+   into blocks of bounded rows and bytes and block meets block in one task, so neither pairs nor a whole bucket are ever
+   brought together; a task returns sums and at most one link a node for each pair of blocks.
 4. Connected components of the verified links are the classes.
 """
 
@@ -15,17 +15,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandlens.llm.spark_files import small_batches, with_checkpoint_dir
 from brandlens.llm.text_arrays import mix, shingle_sets
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 160
-#: Nodes of a block; a task compares two blocks.
-BLOCK = 256
+#: Nodes and shingles of a block, on average; a task compares two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def bands_for(threshold: float, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -59,9 +58,11 @@ def _signed(width: int, bands: int, rows: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes: list[int | None] = []
+            sizes: list[int] = []
             hashes: list[np.ndarray] = []
             with np.errstate(over="ignore"):
                 for shingles in shingle_sets(batch.column("text").to_pylist(), width):
+                    sizes.append(len(shingles))
                     if not len(shingles):
                         nodes.append(None)
                         hashes.append(np.empty(0, np.int64))
@@ -73,39 +74,44 @@ def _signed(width: int, bands: int, rows: int):
                         band = mix(band * np.uint64(0x9FB21C651E98DF25) + row)
                     hashes.append(band.view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in hashes])), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *hashes])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(nodes, pa.int64()), lists], names=[*batch.schema.names[:-1], "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=[*batch.schema.names[:-1], "node", "size", "bands"])
 
     return signed
 
 
+def _text_key() -> list[Column]:
+    """_t1 and _t2, a 128-bit key of text."""
+    return [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit("text"), "text").alias("_t2")]
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """docs with _k1 and _k2, a 128-bit key of doc_id and text: equal for repeated rows only."""
     return docs.withColumn("_k1", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64(F.lit("near"), "text", "doc_id"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (a, b) is either a centre b or hangs on one centre."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("centre")).unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("centre")))
+    return roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("centre").alias("centre")).where("hangs + centre > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node of ``edges`` (a, b: bigint).
 
-    Alternates the large-star and the small-star step until nothing changes; every step aggregates before it shuffles
+    Alternates the large-star and the small-star step until only stars are left; every step aggregates before it shuffles
     and adds at most as many links as it has. Each round is a checkpoint; so are the least neighbours, which leaves plain
     joins whose crowded partitions (a node with very many neighbours) Spark splits.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    seen = None
-    while True:
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.checkpoint()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").checkpoint()
         below = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         joined = large.join(below, "a")
         small = joined.select("a", F.col("m").alias("b")).unionAll(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = small.distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -133,39 +139,72 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The int64 lists of a column."""
+    offsets = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0]) if len(column) else []
+
+
+def _links(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, root, links of the linked nodes among two blocks of one bucket (or within one block).
+
+    A pair that an earlier bucket holds too is left to it. root is the least node over the links found here.
+    """
+    of = lambda name: rows.column(name).combine_chunks()
+    band, x, y = (of(c)[0].as_py() for c in ("band", "x", "y"))
+    block, node, copies = (of(c).to_numpy() for c in ("block", "node", "copies"))
+    sets = [np.frombuffer(v, np.uint64) for v in of("shingles").to_pylist()]
+    earlier = [k[k < band].view(np.uint64) for k in _lists(of("kept"))]
+    at = [np.flatnonzero(block == k) for k in ((x,) if x == y else (x, y))]
+    left, right = at[0], at[-1]
+    pick = lambda values, i: [values[k] for k in i]
+    sizes = [np.array([len(sets[k]) for k in i], float) for i in (left, right)]
+    common = overlaps(pick(sets, left), pick(sets, right)).astype(float)
+    linked = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1) >= threshold
+    if linked.any():
+        linked &= overlaps(pick(earlier, left), pick(earlier, right)) == 0
+    if x == y:
+        np.fill_diagonal(linked, False)
+    # the least node over links, until nothing changes
+    roots, top = node.copy(), np.iinfo(np.int64).max
+    while linked.any():
+        before = roots.copy()
+        for mask, own, other in ((linked, left, right), (linked.T, right, left)):
+            roots[own] = np.minimum(roots[own], np.where(mask, roots[other][None, :], top).min(axis=1))
+        if (before == roots).all():
+            break
+    links = np.zeros(len(node), np.int64)
+    links[left] = linked @ copies[right]
+    if x != y:
+        links[right] = linked.T @ copies[left]
+    found = links > 0
+    return node[found], roots[found], links[found]
+
+
 def _verify(threshold: float):
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, a, b = key
-        rows = rows.drop_duplicates("node")
-        parts = [rows[rows["block"] == x] for x in ((a,) if a == b else (a, b))]
-        left, right = parts[0], parts[-1]
-        sets = [[np.frombuffer(x, np.uint64) for x in part["shingles"]] for part in (left, right)]
-        sizes = [np.array([len(x) for x in s], float) for s in sets]
-        common = overlaps(*sets).astype(float)
-        linked = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1) >= threshold
-        if a == b:
-            np.fill_diagonal(linked, False)
-        nodes = [part["node"].to_numpy() for part in (left, right)]
-        copies = [part["copies"].to_numpy() for part in (left, right)]
-        # roots within this task: the least node over links, until nothing changes
-        roots = [n.copy() for n in nodes]
-        top = np.iinfo(np.int64).max
-        while True:
-            before = [r.copy() for r in roots]
-            if len(roots[0]) and len(roots[1]):
-                roots[0] = np.minimum(roots[0], np.where(linked, roots[1][None, :], top).min(axis=1))
-                if a == b:
-                    roots[1] = roots[0]
-                roots[1] = np.minimum(roots[1], np.where(linked, roots[0][:, None], top).min(axis=0))
-                if a == b:
-                    roots[0] = roots[1]
-            if all((x == y).all() for x, y in zip(before, roots, strict=True)):
-                break
-        out = [pd.DataFrame({"node": nodes[0], "root": roots[0], "links": linked @ copies[1]})]
-        if a != b:
-            out.append(pd.DataFrame({"node": nodes[1], "root": roots[1], "links": linked.T @ copies[0]}))
-        found = pd.concat(out, ignore_index=True)
-        return found[found["links"] > 0].astype("int64")
+    """Rows come sorted by band, x, y; each such run is two blocks, or one block against itself."""
+    names = ("node", "root", "links")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def runs(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+            found = [_links(table.slice(a, b - a), threshold) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
+            if any(len(f[0]) for f in found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = np.column_stack([table.column(c).to_numpy() for c in ("band", "x", "y")])
+            ends = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            yield from runs(table, [0, *ends])
+            # the last run may go on in the next batch
+            held = table.slice(ends[-1] if ends else 0)
+        if held is not None:
+            yield from runs(held, [0, held.num_rows])
 
     return verify
 
@@ -183,32 +222,42 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, width:
     with_checkpoint_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
-    keyed = with_row_key(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", "text")
+    keyed = with_row_key(docs.select("doc_id", "text")).select("doc_id", "_k1", "_k2", *_text_key(), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = keyed.mapInArrow(_signed(width, bands, rows), f"doc_id {kind}, _k1 bigint, _k2 bigint, node bigint, bands array<bigint>").checkpoint()
+    signed = keyed.mapInArrow(_signed(width, bands, rows), f"doc_id {kind}, _k1 bigint, _k2 bigint, _t1 bigint, _t2 bigint, node bigint, size bigint, bands array<bigint>").checkpoint()
     nodes = (
         signed.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("_k1", "_k2")).alias("key"), F.first("bands").alias("bands"))
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("_t1", "_t2")).alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    ).checkpoint()
+    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("bucket"), "node")).alias("h2")
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    # small sides are checkpoints: the joins with them stay plain, and Spark splits the partitions of very common keys
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").checkpoint()
-    candidates = components(banded.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    candidates = candidates.join(candidates.groupBy("root").agg(F.count("*").alias("n")).checkpoint(), "root")
-    members = candidates.join(nodes.select("node", "copies", F.col("key._k1").alias("_k1"), F.col("key._k2").alias("_k2")), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.select("_k1", "_k2", "node", "copies", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    # buckets of the same nodes are one: n and 128 bits over the nodes tell them apart
+    kept = buckets.where("n > 1").groupBy("n", "h1", "h2").agg(F.min("band").alias("band"), F.first("shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    # a small side is a checkpoint: the join with it stays plain, and Spark splits the partitions of very common keys
+    kept = kept.select("band", blocks.alias("blocks")).checkpoint()
+    # at most one place for each band
+    places = banded.join(kept, "band").groupBy("node").agg(F.collect_list(F.struct("band", "blocks")).alias("places"))
+    members = nodes.select("node", "copies", F.col("key._t1").alias("_t1"), F.col("key._t2").alias("_t2")).join(places, "node")
+    # equal texts meet before they are shuffled
+    texts = docs.select(*_text_key(), "text").where("text IS NOT NULL").groupBy("_t1", "_t2").agg(F.first("text").alias("text"))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x.tobytes() for x in shingle_sets(batch.column("text").to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
-    texts = keyed.join(members, ["_k1", "_k2"]).select("node", "copies", "root", "blocks", "block", "text")
-    sets = texts.mapInArrow(as_sets, "node bigint, copies bigint, root bigint, blocks int, block int, shingles binary")
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    verified = met.select("root", "x", "y", "node", "copies", "block", "shingles").groupBy("root", "x", "y").applyInPandas(_verify(threshold), "node bigint, root bigint, links bigint").checkpoint()
+    sets = texts.join(members, ["_t1", "_t2"]).select("node", "copies", "places", "text").mapInArrow(as_sets, "node bigint, copies bigint, places array<struct<band: bigint, blocks: int>>, shingles binary")
+    met = (
+        sets.select("node", "copies", "shingles", F.transform("places", lambda p: p["band"]).alias("kept"), F.explode("places").alias("place"))
+        .select("*", F.pmod(F.xxhash64("node"), F.col("place.blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("place.blocks") - 1)).alias("other"))
+        .select(F.col("place.band").alias("band"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "copies", "kept", "shingles")
+    )
+    sorted_runs = met.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    verified = sorted_runs.mapInArrow(_verify(threshold), "node bigint, root bigint, links bigint").checkpoint()
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = nodes.select("node", "copies", "least_id").join(links, "node", "left").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
@@ -229,14 +278,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, width:
 def keep_one_of_each_class(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the least doc_id (nulls last) stays.
 
-    Repeated rows (same doc_id and text) leave one. Rows without words stay. Columns are those of ``docs``.
+    Repeated rows (same doc_id and text) leave one, the least in the other columns (those that can be ordered). Rows without
+    words stay, one for each doc_id and text. Columns are those of ``docs``; an empty table gives an empty one.
     """
     classes = near_duplicate_classes(docs, **parameters)
     crowded = classes.where("class_size > 1").select("_class", "doc_id", "_k1", "_k2").checkpoint()
     first = crowded.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("kept")).checkpoint()
     gone = crowded.join(first, "_class").where("_k1 <> kept._k1 OR _k2 <> kept._k2").select("_k1", "_k2").distinct()
     rest = with_row_key(docs).join(gone, ["_k1", "_k2"], "left_anti")
-    return rest.dropDuplicates(["_k1", "_k2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name.lower() != "text" and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    one = rest.groupBy("_k1", "_k2").agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()]), F.struct(*ordered)).alias("r"))
+    return one.select(*[F.col(f"r.{k}").alias(c) for k, c in columns.items()])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
