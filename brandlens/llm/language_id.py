@@ -39,12 +39,13 @@ def presence(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     """For some texts at a time: uint8[texts, WIDTH] with the n-grams present, and whether each has a letter."""
     alpha = class_table("alpha")
     for _, part in slices(texts, rows=_ROWS):
-        # two NULs after every text: no n-gram reaches into the next one
+        # two NULs after every text, where no n-gram begins: none reaches into the next text
         codes = np.frombuffer(("\0\0".join(part) + "\0\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(part), dtype=np.int64) * WIDTH, [len(x) + 2 for x in part])
         letters = alpha[codes]
         lettered = np.bincount(owner[letters] // WIDTH, minlength=len(part)) > 0
         codes = np.where(letters | (codes == 0), codes, np.uint32(32))
+        begins = codes != 0
         bits = np.zeros(len(part) * WIDTH, np.uint8)
         base = 0
         with np.errstate(over="ignore"):
@@ -53,7 +54,8 @@ def presence(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
                 for k in range(1, n):
                     h = ((h << np.uint32(5)) | (h >> np.uint32(27))) ^ (codes[k : len(codes) - n + 1 + k] * _MULTIPLIERS[k])
                 h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                bits[owner[: len(h)] + base + (h >> np.uint32(32 - width))] = 1
+                own = begins[: len(h)]
+                bits[owner[: len(h)][own] + base + (h[own] >> np.uint32(32 - width))] = 1
                 base += size
         yield bits.reshape(len(part), WIDTH), lettered
 
