@@ -1,4 +1,4 @@
-"""What the vector searches share: which vectors take part, and pairs of blocks of queries and rows."""
+"""What the vector searches share: which vectors take part, and blocks of queries and rows."""
 
 from __future__ import annotations
 
@@ -7,26 +7,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+from brandlens.llm.spark_files import with_checkpoint_dir
+
+#: Rows and queries of a block; a task meets them some queries at a time.
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 8192, 4096, 256
 
 
 def usable_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and vector (array<double>) of the rows that take part, one for each vec_id.
+    """row_id, vec_id and vector (array<double>) of the rows that take part; row_id tells rows of one vec_id apart.
 
-    Rows with a null id, with a null or empty vector, or with a null or non-finite component take no part. Of several
-    vectors of one id the least takes part (least() combines before the shuffle, so a frequent id is no hot group).
+    Rows with a null id, with a null or empty vector, or with a null or non-finite component take no part. The result is a
+    checkpoint, so that row_id stays the same however often it is read.
     """
+    with_checkpoint_dir(rows.sparkSession)
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    return (
-        rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-        .where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite)
-        .groupBy("vec_id")
-        .agg(F.min("vector").alias("vector"))
-    )
+    usable = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite)
+    return usable.select(F.monotonically_increasing_id().alias("row_id"), "vec_id", "vector").checkpoint()
 
 
-def block_of(column: str, blocks: int):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks)).cast("int")
+def with_row_id(rows: DataFrame, id_col: str) -> DataFrame:
+    """row_id, ``id_col`` and vector; without a column row_id the ids are taken to be unique."""
+    return rows.select(F.col("row_id" if "row_id" in rows.columns else id_col).cast("bigint").alias("row_id"), id_col, "vector")
 
 
 def matrix(column: pd.Series, dims: int) -> np.ndarray:
