@@ -7,11 +7,10 @@ template's nor another's such as ``</s>`` or ``[INST]``, can appear in them; the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("|", "&bar;"), ("[", "&lbr;"))
-TURN, SPAN = "struct<turn:bigint,role:string,text:string>", "struct<start:bigint,length:bigint>"
 END, NEXT = "<|end|>", "<|next|>"
 
 
@@ -28,95 +27,58 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, and loss_spans, the (start, length) code points under the loss mask.
+    """One row per conversation: conv_id, formatted, and loss_spans, what is under the loss mask: start and length in code
+    points, byte_start and byte_length in UTF-8.
 
     Turns are ordered by turn (nulls first), ties by role, then text. A null role or text is empty; a null conv_id is
     a conversation of its own; repeated rows are turns of their own; other columns are ignored; an empty table gives
-    no rows. A conversation is one record: its turns meet in one task, as its text must.
+    no rows. A conversation is one record: its turns meet in one task, as its text must. Work grows with the turns and the
+    text, not with their square: places in the text are running sums over the sorted turns.
     """
-    grouped = turns.groupBy("conv_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.col("turn").cast("bigint").alias("turn"),
-                    F.coalesce(F.col("role"), F.lit("")).alias("role"),
-                    F.coalesce(F.col("text"), F.lit("")).alias("text"),
-                )
-            )
-        ).alias("turns")
-    )
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    struct = F.struct(F.col("turn").cast("bigint").alias("turn"), text("role").alias("role"), text("text").alias("text"))
+    sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(struct)).alias("turns"))
+    # the rows of a conversation stay where they are: nothing is shuffled from here on
+    rows = sorted_turns.select("conv_id", F.posexplode("turns").alias("pos", "t")).select("conv_id", "pos", "t.role", "t.text")
+    order = Window.partitionBy("conv_id").orderBy("pos")
     # adjacent turns of one role merge into one block
-    block = lambda t: F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-    last = lambda acc: F.element_at(acc, -1)
-    blocks = F.aggregate(
-        "turns",
-        F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"),
-        lambda acc, t: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["role"] == t["role"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(t["role"].alias("role"), F.concat(last(acc)["texts"], F.array(t["text"])).alias("texts"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(block(t)))),
-    )
-    # each block as segments: (text, under the loss mask)
-    segment = lambda s, on: F.struct(s.alias("s"), on.alias("loss"))
-    no = F.lit(False)
-    segments = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.concat(
-                F.array(segment(F.concat(F.lit("<|"), escape(b["role"]), F.lit("|>")), no)),
-                F.flatten(
-                    F.transform(
-                        b["texts"],
-                        lambda x, i: F.array(
-                            segment(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")), no),
-                            segment(escape(x), b["role"] == loss_role),
-                        ),
-                    )
-                ),
-                F.array(segment(F.lit(END), no)),
-            ),
-        )
-    )
-    placed = F.aggregate(
-        "segments",
-        F.expr(f"named_struct('at', 0L, 'spans', cast(array() as array<{SPAN}>))"),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["s"])).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(s["s"]).cast("bigint").alias("length")))))
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return grouped.select("conv_id", segments.alias("segments")).select(
-        "conv_id",
-        F.array_join(F.transform("segments", lambda s: s["s"]), "").alias("formatted"),
-        placed["spans"].alias("loss_spans"),
+    before = F.lag("role").over(order)
+    opens = F.concat(F.when(F.col("pos") > 0, F.lit(END)).otherwise(F.lit("")), F.lit("<|"), escape(F.col("role")), F.lit("|>"))
+    pieces = rows.select("conv_id", "pos", (F.col("role") == loss_role).alias("loss"), F.when(before.isNull() | (before != F.col("role")), opens).otherwise(F.lit(NEXT)).alias("head"), escape(F.col("text")).alias("body"))
+    measured = pieces.select("*", F.length("body").alias("length"), F.octet_length("body").alias("byte_length"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = lambda size: F.sum(size(F.col("head")) + size(F.col("body"))).over(upto)
+    placed = measured.select("*", (ends(F.length) - F.col("length")).alias("start"), (ends(F.octet_length) - F.col("byte_length")).alias("byte_start"))
+    span = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("start", "length", "byte_start", "byte_length")])
+    said = F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "body").alias("s"))))
+    return (
+        placed.groupBy("conv_id")
+        .agg(said.alias("said"), F.array_sort(F.collect_list(F.when(F.col("loss"), span))).alias("loss_spans"))
+        .select("conv_id", F.concat(F.array_join(F.transform("said", lambda x: x["s"]), ""), F.lit(END)).alias("formatted"), "loss_spans")
     )
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns, array<struct<role, text>>, read back from a formatted conversation."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>"), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.regexp_extract(b, r"(?s)^<\|[^|]*\|>(.*)$", 1), r"<\|next\|>"),
-                lambda x: F.struct(unescape(F.regexp_extract(b, r"^<\|([^|]*)\|>", 1)).alias("role"), unescape(x).alias("text")),
-            ),
-        )
+    read = F.transform(
+        blocks,
+        lambda b: F.struct(
+            unescape(F.regexp_extract(b, r"^<\|([^|]*)\|>", 1)).alias("role"), F.split(F.regexp_extract(b, r"(?s)^<\|[^|]*\|>(.*)$", 1), r"<\|next\|>").alias("texts")
+        ),
     )
+    return F.flatten(F.transform(read, lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped; cut by bytes, which needs no walk from the start of the text."""
+    cut = lambda raw, s: F.substring(raw, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string")
+    # as an element of an array the bytes are made once, not for each span
+    return F.get(F.transform(F.array(formatted.cast("binary")), lambda raw: F.array_join(F.transform(spans, lambda s: unescape(cut(raw, s))), "")), F.lit(0))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each conversation (and for -1, which holds control strings): lengths and digests read back from the output."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
