@@ -28,15 +28,18 @@ ANCESTORS = 32
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*+"""
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^<>]*>|<[a-zA-Z][^<>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^<>]*>|<[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _WORD = re.compile(r"\w+")
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object canvas audio video picture map".split())
+#: Everything inside these is part of the sentence, up to their end or to a tag that ends them.
+_FOREIGN = frozenset(("svg", "math"))
+_ENDS_FOREIGN = frozenset("article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("button select option datalist object canvas audio video math head".split())
+_HIDDEN = frozenset("button select option datalist head".split())
 _CLOSED_BY_SAME = frozenset("p li td th tr dt dd option h1 h2 h3 h4 h5 h6".split())
 
 
@@ -58,7 +61,7 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, list[int]]] = []
     found: list[Block] = []
     held: list[str] = []
-    linked = links = hidden = 0
+    linked = links = hidden = foreign = 0
 
     def flush() -> None:
         nonlocal linked
@@ -93,6 +96,13 @@ def blocks_of(page: str | None) -> list[Block]:
         name = (m[3] or "").lower()
         if not name:
             continue
+        if name in _FOREIGN:
+            foreign = max(0, foreign + (-1 if m[2] else not m[4].rstrip().endswith("/")))
+            held.append(" ")
+            continue
+        if foreign and name not in _ENDS_FOREIGN:
+            continue
+        foreign = 0
         if name in _INLINE:
             links = max(0, links + (-1 if m[2] else 1)) if name == "a" else links
             continue
@@ -287,7 +297,7 @@ _SAID = {
     "comments": "Comments Reply Report says wrote Great post Thanks I agree ago Leave a comment replies Anonymous".split(),
     "share": "Share on Facebook Twitter Tweet Email Print Follow us Like".split(),
 }
-_TAGS = {"menu": "nav ul div", "header": "header div", "footer": "footer div", "sidebar": "aside div section", "notice": "div section aside p", "advert": "div ins aside section p", "form": "form form div", "comments": "section div ol article", "share": "div ul p"}
+_TAGS = {"menu": "nav ul div", "header": "header div", "footer": "footer div", "sidebar": "aside div section", "notice": "div section aside p noscript", "advert": "div ins aside section p iframe template", "form": "form form div", "comments": "section div ol article", "share": "div ul p"}
 #: Put before every word of the main text of a generated page, and taken out again.
 _MARK = "\x01"
 
@@ -388,8 +398,11 @@ class _Pages:
                 out.append("<table>" + "".join(f"<tr><td>{main(self.sentence(1, 3))}</td><td>{main(self.sentence(1, 3))}</td></tr>" for _ in range(2)) + "</table>")
             elif x < 0.93:
                 out.append(f"<pre>{main(self.prose())}</pre>")
-            else:
+            elif x < 0.97:
                 out.append(f"<div>{main(self.prose())}</div>")
+            else:
+                tag = r.choice(["math", "svg", "object", "canvas", "video", "noscript", "template", "iframe"])
+                out.append(f"<p>{main(self.prose())} <{tag}>{main(self.sentence(1, 3))}</{tag}> {main(self.sentence())}</p>")
             if r.random() < 0.1:
                 out.append(self.junk(r.choice(["advert", "share", "sidebar", "form", "notice"])))
         body = "".join(out)
