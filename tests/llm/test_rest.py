@@ -231,9 +231,9 @@ def test_op3_finds_the_articles(spark):
 
 def brute(rows, k, score):
     out = []
-    for q, a in rows:
+    for own, (q, a) in enumerate(rows):
         if q % 50 == 0:
-            found = sorted(((-score(a, b), c) for c, b in rows if c != q and len(a) == len(b)))[:k]
+            found = sorted(((-score(a, b), c) for other, (c, b) in enumerate(rows) if other != own and len(a) == len(b)))[:k]
             out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(found)]
     return sorted(out)
 
@@ -249,8 +249,8 @@ def test_exact_search_equals_brute_force(spark, monkeypatch, n, ties):
     r = np.random.default_rng(n)
     rows = [(i, (np.ones(8) if ties and i % 3 else r.normal(0, 0.3, 8)).astype(np.float32).tolist()) for i in range(n)]
     odd = [(1001, None), (1050, []), (1100, [1.0, None] + [0.0] * 6), (1150, [float("nan")] * 8), (1200, [float("inf")] * 8), (None, [0.1] * 8)] if n > 1 else []
-    usable = vectors.usable_vectors(table(spark, rows + odd + rows[:3]))
-    whole = usable.select("vec_id", F.transform("vector", lambda x: F.floor(x * 256).cast("double")).alias("vector"))
+    rows += rows[:3]  # repeated rows are candidates like any other
+    whole = exact_topk.whole_vectors(vectors.usable_vectors(table(spark, rows + odd)))
     got = exact_topk.top_k(whole, whole.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5)
     ints = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int)) for i, v in rows]
     assert sorted(map(tuple, got.collect())) == brute(ints, 5, lambda a, b: int(a @ b))
