@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandlens.functions import ladders as L
+from brandlens.functions.names import dominant_sentiment
 from brandlens.operators.visibility import compare, with_period
 from brandlens.sources.projection import BRAND
 
@@ -90,3 +91,34 @@ def changes(views: DataFrame, now: Column, days: int) -> DataFrame:
     wide = m.groupBy("project_id", "entity").agg(F.max(F.when(F.col("period") == "current", F.col("score"))).alias("score"), F.max(F.when(F.col("period") == "previous", F.col("score"))).alias("previous_score"))
     change, direction = compare(F.col("score"), F.col("previous_score"))
     return wide.withColumn("change", change).withColumn("direction", direction)
+
+
+def sentiment_profile(views: DataFrame) -> DataFrame:
+    """Per project and entity: mentions by sentiment, the dominant one, the strongest recommendation and the latest mention.
+
+    Sentiments count once a response; on ties positive wins, else the one seen first.
+    """
+    said = views.where("mentioned")
+    at = lambda s: F.when(F.col("sentiment") == s, F.unix_micros(F.col("completed_at").cast("timestamp")))
+    kinds = L.SENTIMENTS
+    g = said.groupBy("project_id", "entity").agg(
+        *[F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in kinds],
+        *[F.min(at(s)).alias(f"first_{s}") for s in kinds],
+        L.strength_of(F.max(L.strength_rank(F.col("strength")))).alias("strongest"),
+        F.max("completed_at").alias("latest_at"),
+    )
+    dominant = dominant_sentiment({s: F.col(f"n_{s}") for s in kinds}, {s: F.coalesce(f"first_{s}", F.lit((1 << 62))) for s in kinds})
+    return g.select("project_id", "entity", *[f"n_{s}" for s in kinds], dominant.alias("dominant"), "strongest", "latest_at")
+
+
+def data_quality(eligible: DataFrame, configured: int) -> DataFrame:
+    """Per project: how much there is to judge by, and how sure that makes."""
+    g = eligible.groupBy("project_id").agg(
+        F.count("*").alias("sample_size"), F.countDistinct("prompt_id").alias("prompts"), F.array_sort(F.collect_set("provider")).alias("providers"), F.array_sort(F.collect_set("model")).alias("models"), F.array_sort(F.collect_set("parser_version")).alias("parser_versions"), F.min("completed_at").alias("first_at"), F.max("completed_at").alias("last_at")
+    )
+    return g.withColumn("provider_count", F.size("providers")).withColumn("confidence", L.sufficiency(F.col("sample_size"))).withColumn("competitors_configured", F.lit(configured))
+
+
+def first_of_prompt(eligible: DataFrame) -> DataFrame:
+    """The first run of every prompt, ties to the smaller run: an aggregate, no sort."""
+    return eligible.groupBy("project_id", "prompt_id").agg(F.min_by(F.struct("run_id", "category", "provider", "completed_at"), F.struct("completed_at", "run_id")).alias("r")).select("project_id", "prompt_id", "r.*")

@@ -6,34 +6,54 @@ import ipaddress
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-MAX_SITEMAP_URLS = 5000
+MAX_SITEMAP_URLS, MAX_URL = 5000, 2048
 # Parameters that crawled URLs lose (another list than that of citations).
 CRAWL_TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name gclid dclid gbraid wbraid fbclid msclkid ttclid twclid mc_cid mc_eid yclid _ga _gl igshid ref_src spm".split()
 CRAWL_TRACKING_PREFIXES = ("utm_", "hsa_", "pk_", "mtm_", "piwik_", "matomo_")
 
 
+_URL = re.compile(r"(?s)\s*(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.I)
+_KEPT_IN_PATH = "/-._~!$&'()*+,;=:@%"
+_KEPT_IN_QUERY = "-._~!$'()*+,;:@/?%"
+
+
+def _segments(path: str) -> str:
+    """The path with ``.`` and ``..`` worked off; ``..`` never climbs above the root."""
+    kept: list[str] = []
+    for segment in path.split("/"):
+        if segment == "..":
+            kept[-1:] = []
+        elif segment not in ("", "."):
+            kept.append(segment)
+    return "/" + "/".join(kept)
+
+
 def _crawl_url(raw: str | None) -> str | None:
+    found = _URL.fullmatch((raw or "").strip())
+    if found is None or "@" in found[2]:
+        return None
+    scheme = found[1].lower()
+    host, _, port = found[2].partition(":") if not found[2].startswith("[") else (found[2], "", "")
     try:
-        parts = urlsplit((raw or "").strip())
-        host, port = (parts.hostname or "").rstrip(".").encode("idna").decode("ascii"), parts.port
-    except (ValueError, UnicodeError):
+        host = host.rstrip(".").encode("idna").decode("ascii").lower()
+    except UnicodeError:
         return None
-    scheme = parts.scheme.lower()
-    if scheme not in ("http", "https") or not host or parts.username or parts.password:
+    if not host or (port and not (port.isdecimal() and int(port) < 1 << 16)):
         return None
-    path = quote(urlsplit(urljoin("http://x/", unquote(parts.path))).path or "/", safe="/-._~!$&'()*+,;=:@%")
-    path = path.rstrip("/") or "/"
-    pairs = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in CRAWL_TRACKING and not k.lower().startswith(CRAWL_TRACKING_PREFIXES))
-    query = urlencode(pairs, safe="-._~!$'()*+,;:@/?%")
-    url = f"{scheme}://{host.lower()}{'' if port in (None, {'http': 80, 'https': 443}[scheme]) else f':{port}'}{path}{'?' + query if query else ''}"
-    return url if len(url) <= 2048 else None
+    if port and int(port) != (80 if scheme == "http" else 443):
+        host += f":{int(port)}"
+    query = sorted(pair for pair in parse_qsl(found[4] or "", keep_blank_values=True) if not (pair[0].lower() in CRAWL_TRACKING or pair[0].lower().startswith(CRAWL_TRACKING_PREFIXES)))
+    url = f"{scheme}://{host}{quote(_segments(unquote(found[3])), safe=_KEPT_IN_PATH)}"
+    if query:
+        url += "?" + urlencode(query, safe=_KEPT_IN_QUERY)
+    return url if len(url) <= MAX_URL else None
 
 
 @F.pandas_udf(StringType())
@@ -42,38 +62,70 @@ def normalize_crawl_url(values: pd.Series) -> pd.Series:
     return values.map(_crawl_url, na_action="ignore").astype(object).where(values.notna(), None)
 
 
+# Networks that are never fetched, beside private, local, multicast and reserved ones.
+NEVER_FETCHED = tuple(ipaddress.ip_network(n) for n in "169.254.169.254/32 100.100.100.200/32 fd00:ec2::254/128 0.0.0.0/8 100.64.0.0/10 192.0.0.0/24 198.18.0.0/15 240.0.0.0/4 ::/128 64:ff9b::/96 fec0::/10".split())
+
+
 def _public(value: str) -> bool:
     try:
         ip = ipaddress.ip_address(value.strip().strip("[]"))
     except ValueError:
         return False
-    mapped = getattr(ip, "ipv4_mapped", None)
-    return (mapped or ip).is_global and not (mapped or ip).is_multicast
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    special = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
+    return not special and not any(ip in n for n in NEVER_FETCHED)
 
 
 @F.pandas_udf(BooleanType())
 def is_public_address(values: pd.Series) -> pd.Series:
-    """Whether an address may be fetched: globally routable and no multicast; anything that is no address is not."""
+    """Whether an address may be fetched: no private, local, reserved, translated or multicast one; anything that is no address is not."""
     return values.map(_public, na_action="ignore").astype(object).where(values.notna(), None)
 
 
-def robots_allowed(requests: DataFrame) -> DataFrame:
-    """``requests`` (robots_status, robots_body, path) with allowed: the longest fitting rule of the ``*`` group, allow on ties.
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """Lines that hold for ``agent`` of robots files (robots_key, robots_body): robots_key, n, field, value.
 
-    A status of 400 to 499 allows everything, 500 or more or none at all nothing. Rules are rows: no Python.
+    Agent lines that follow each other open one group together. The groups that name the agent's product count, and only
+    where there are none those for ``*``. Sitemap lines belong to no group. Rules are rows: no Python.
     """
-    keyed = requests.withColumn("_row", F.xxhash64("robots_status", "robots_body", "path"))
-    lines = keyed.select("_row", "path", F.posexplode(F.split(F.coalesce("robots_body", F.lit("")), r"\r?\n")).alias("n", "raw"))
-    field = F.lower(F.trim(F.regexp_extract("raw", r"^\s*([A-Za-z-]+)\s*:", 1)))
+    lines = files.select("robots_key", F.posexplode(F.split(F.coalesce("robots_body", F.lit("")), r"\r?\n")).alias("n", "raw"))
+    field = F.lower(F.regexp_extract("raw", r"^\s*([A-Za-z-]+)\s*:", 1))
     value = F.trim(F.regexp_replace(F.regexp_extract("raw", r"^\s*[A-Za-z-]+\s*:(.*)$", 1), r"#.*$", ""))
-    w = Window.partitionBy("_row", "path").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rules = lines.withColumn("field", field).withColumn("value", value).withColumn("agent", F.last(F.when(F.col("field") == "user-agent", F.col("value")), ignorenulls=True).over(w))
+    known = lines.select("robots_key", "n", field.alias("field"), value.alias("value")).where(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "sitemap"))
+    order = Window.partitionBy("robots_key").orderBy("n")
+    names = F.col("field") == "user-agent"
+    opens = names & F.coalesce(F.lag("field").over(order) != "user-agent", F.lit(True))
+    grouped = known.where("field <> 'sitemap'").withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    token = F.lit(agent.split("/")[0].lower())
+    own = names & (F.col("value") != "") & (F.col("value") != "*") & F.contains(token, F.lower("value"))
+    group = Window.partitionBy("robots_key", "group")
+    marked = grouped.withColumn("own", F.max(own.cast("int")).over(group)).withColumn("any", F.max((names & (F.col("value") == "*")).cast("int")).over(group))
+    chosen = marked.withColumn("named", F.max("own").over(Window.partitionBy("robots_key"))).where("field <> 'user-agent' AND CASE WHEN named = 1 THEN own = 1 ELSE any = 1 END")
+    return chosen.select("robots_key", "n", "field", "value").unionByName(known.where("field = 'sitemap'"))
+
+
+def robots_allowed(requests: DataFrame, agent: str = "*") -> DataFrame:
+    """``requests`` (robots_status, robots_body, path) with allowed, crawl_delay and sitemaps: the longest fitting rule that
+    holds for ``agent``, allow on ties.
+
+    A status of 400 to 499 allows everything, 500 or more or none at all nothing; neither has a delay or sitemaps.
+    """
+    keyed = requests.withColumn("robots_key", F.xxhash64("robots_status", "robots_body"))
+    # one row a file, however many paths are asked for
+    rules = robots_rules(keyed.select("robots_key", "robots_body").groupBy("robots_key").agg(F.first("robots_body").alias("robots_body")), agent)
     quoted = F.concat(F.lit("^"), F.replace(F.regexp_replace("value", r"([.?+()\[\]{}^|\\])", r"\\$1"), F.lit("*"), F.lit(".*")))
-    fits = rules.where((F.col("agent") == "*") & F.col("field").isin("allow", "disallow") & (F.col("value") != "")).withColumn("pattern", quoted).where("path rlike pattern")
-    best = fits.groupBy("_row").agg(F.max(F.struct(F.length("value").alias("n"), (F.col("field") == "allow").alias("allow"))).alias("best"))
-    status = F.col("robots_status")
+    paths = keyed.select("robots_key", "path").distinct()
+    fits = rules.where(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).withColumn("pattern", quoted).join(paths, "robots_key").where("path rlike pattern")
+    best = fits.groupBy("robots_key", "path").agg(F.max(F.struct(F.length("value").alias("n"), (F.col("field") == "allow").alias("allow"))).alias("best"))
+    said = rules.groupBy("robots_key").agg(
+        F.min_by(F.when(F.col("field") == "crawl-delay", F.try_to_number("value", F.lit("99999"))).cast("double"), F.when(F.col("field") == "crawl-delay", F.col("n"))).alias("crawl_delay"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "sitemap", F.struct("n", "value")))), lambda x: x["value"]).alias("sitemaps"),
+    )
+    status, read = F.col("robots_status"), F.col("robots_status") < 400
     allowed = F.when(status.isNull() | (status >= 500), False).when(status >= 400, True).otherwise(F.coalesce("best.allow", F.lit(True)))
-    return keyed.join(best, "_row", "left").withColumn("allowed", allowed).drop("_row", "best")
+    joined = keyed.join(best, ["robots_key", "path"], "left").join(said, "robots_key", "left")
+    columns = [F.col(c) for c in requests.columns]
+    return joined.select(*columns, allowed.alias("allowed"), F.when(read, F.col("crawl_delay")).alias("crawl_delay"), F.when(read, F.coalesce("sitemaps", F.expr("cast(array() AS array<string>)"))).otherwise(F.expr("cast(array() AS array<string>)")).alias("sitemaps"))
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:

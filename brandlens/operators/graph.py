@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,20 @@ def top_pages(cited: DataFrame, k: int = 3) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_sources(cited: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k domains that each value of ``key`` (a competitor, a prompt) is cited from most, ties to the smaller domain."""
+    g = cited.groupBy("project_id", key, "domain_id").agg(F.count("*").alias("citations"))
+    w = Window.partitionBy("project_id", key).orderBy(F.desc("citations"), "domain_id")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def listed(df: DataFrame, keys: list[str], order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page of every group's rows in order, with rank and the group's total; both are the listing's own limits."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
+    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+
+
 def entity_counts(cited: DataFrame) -> DataFrame:
     """Per domain, how often each competitor is cited from it."""
     return cited.where("is_competitor").groupBy("project_id", "domain_id", "competitor").agg(F.count("*").alias("citations"))
@@ -84,16 +101,19 @@ def prompts_by_competitors(cited: DataFrame, observations: DataFrame, limit: int
     return limited(joined, order, limit)
 
 
-def claims(cited: DataFrame, least: int = 2) -> DataFrame:
-    """Repeated (subject, predicate, object) triples on their normalised form, with occurrences and prompts.
+def claims(stated: DataFrame, brand: str, rivals: Sequence[str], least: int = 2) -> DataFrame:
+    """Repeated triples of ``stated`` (project_id, prompt_id, run_id, subject, predicate, object, confidence, context, claimed_at)
+    on their normalised form: occurrences, responses, prompts, mean confidence, an example, last time and whom they are about.
 
-    A cited line counts as a claim of its competitor or the brand about the source's kind of evidence.
+    A claim is about the brand if its subject holds the brand's name, about a competitor if it holds one of theirs, else other.
     """
-    triple = cited.where("is_brand OR is_competitor").select(
-        "project_id", "prompt_id", "cited_at", F.lower(F.trim(F.when(F.col("is_brand"), "Brand ").otherwise(F.col("competitor")))).alias("subject"), F.col("sentiment").alias("predicate"), F.col("strength").alias("object")
+    key = lambda c: F.lower(F.trim(c)).alias(c)
+    triple = stated.select("project_id", "prompt_id", "run_id", key("subject"), key("predicate"), key("object"), "confidence", "context", "claimed_at")
+    g = triple.groupBy("project_id", "subject", "predicate", "object").agg(
+        F.count("*").alias("occurrences"), F.countDistinct("run_id").alias("responses"), F.countDistinct("prompt_id").alias("prompts"), F.bround(F.avg("confidence"), 3).alias("confidence"), F.min("context").alias("example"), F.max("claimed_at").alias("last_at")
     )
-    g = triple.groupBy("project_id", "subject", "predicate", "object").agg(F.count("*").alias("occurrences"), F.countDistinct("prompt_id").alias("prompts"), F.max("cited_at").alias("last_at"))
-    return g.where(F.col("occurrences") >= least).withColumn("association", F.when(F.col("subject") == "brand", "brand").when(F.col("subject").startswith("comp"), "competitor").otherwise("other"))
+    holds = lambda names: reduce(lambda a, b: a | b, [F.col("subject").contains(n.lower()) for n in names], F.lit(False))
+    return g.where(F.col("occurrences") >= least).withColumn("association", F.when(holds([brand]), "brand").when(holds(rivals), "competitor").otherwise("other"))
 
 
 def co_mentions(observations: DataFrame) -> DataFrame:

@@ -59,6 +59,7 @@ def page_aspects(snapshot: DataFrame, types: DataFrame | None = None) -> DataFra
         **{n: says(n) for n in ("audience", "geography", "phone", "email", "pricing", "integrations", "statistic", "research", "original_data", "citation", "case_study", "customer_evidence", "byline", "author_bio")},
         "credentials": says("credentials", F.substring(text, 1, 3000)),
         "published": says("date", F.substring(text, 1, 1500)),
+        "modified": F.coalesce(F.try_element_at("meta", F.lit("article:modified_time")), F.try_element_at("meta", F.lit("og:updated_time"))).isNotNull() | F.substring(text, 1, 1500).rlike(r"(?i)\b(last\s+)?(updated|modified|reviewed)\s*(on|:)?\s"),
         "faq_content": says("faq", headings) | (questions >= 3),
         "references": F.exists("links", lambda x: x["href"].rlike("^https?://") & ~x["rel"].contains("nofollow") & ~x["href"].contains("social")),
         "comparison": F.coalesce(F.concat_ws(" ", "title", "h1").rlike(COMPARISON), F.lit(False)) | path_of(F.col("url")).rlike("(?i)compare|/vs-|alternatives"),
@@ -79,7 +80,7 @@ def site_readiness(aspects: DataFrame, conflicts_per_site: DataFrame | None = No
     share = lambda flag, where: F.avg(F.when(where, flag.cast("double")))
     key_text = is_a("home", "about", "contact")
     product_aspects = ["name", "described", "features", "pricing", "use_cases", "audience", "integrations"]
-    author_aspects = ["byline", "author_bio", "has_schema_org", "credentials", "published"]
+    author_aspects = ["byline", "author_bio", "has_schema_org", "credentials", "published", "modified"]
     content = F.col("words") >= 50
     evidence = ["statistic", "research", "original_data", "citation", "case_study", "customer_evidence", "references"]
     entity_checks = [
@@ -95,7 +96,7 @@ def site_readiness(aspects: DataFrame, conflicts_per_site: DataFrame | None = No
         F.count("*").alias("pages"),
         mean([c.cast("double") for c in entity_checks]).alias("entity_clarity"),
         mean([share(F.col(a), product) for a in product_aspects]).alias("product_clarity"),
-        (reduce(lambda a, b: a + b, [share(F.col(a), article) for a in author_aspects]) / 6.0).alias("authority"),
+        mean([share(F.col(a), article) for a in author_aspects]).alias("authority"),
         F.when(F.count_if(content) > 0, mean([F.bool_or(F.col(k) & content).cast("double") for k in evidence])).alias("evidence"),
         F.avg(F.when(content, F.col("specific_ratio"))).alias("specific"),
         F.coalesce(share(F.col("words") < THIN_WORDS, product | article), F.lit(0.0)).alias("thin"),

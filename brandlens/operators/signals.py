@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandlens.functions import ladders as L
@@ -170,12 +171,46 @@ def new_sources(cited: DataFrame, start: Column, least: int = 2, source: str = "
     return g.where((F.col("first_at") >= start) & (F.col("citations") >= least))
 
 
-def new_claims(cited: DataFrame, start: Column) -> DataFrame:
-    """Competitor claims (normalised triples) of the period that were not made before it: an anti-join."""
-    triples = cited.where("is_competitor").select("project_id", F.lower(F.trim("competitor")).alias("subject"), F.col("sentiment").alias("predicate"), F.concat_ws(":", "strength", (F.col("page_id") % 50).cast("string")).alias("object"), "cited_at")
+def about(subject: Column, names: Sequence[str]) -> Column:
+    """Whether a claim's subject holds one of the names; a project has a few."""
+    return reduce(lambda a, b: a | b, [F.lower(subject).contains(n.lower()) for n in names], F.lit(False))
+
+
+def new_claims(stated: DataFrame, rivals: Sequence[str], start: Column) -> DataFrame:
+    """Claims about competitors (normalised triples) since ``start`` that were not made before it; one pass tells both.
+
+    ``stated``: project_id, subject, predicate, object, claimed_at.
+    """
     key = ["project_id", "subject", "predicate", "object"]
-    now = triples.where(F.col("cited_at") >= start).groupBy(*key).agg(F.count("*").alias("occurrences"))
-    return now.join(triples.where(F.col("cited_at") < start).select(*key).distinct(), key, "left_anti")
+    triples = stated.where(about(F.col("subject"), rivals)).select("project_id", *[F.lower(F.trim(c)).alias(c) for c in key[1:]], "claimed_at")
+    g = triples.groupBy(*key).agg(F.count("*").alias("occurrences"), F.min("claimed_at").alias("first_at"))
+    return g.where(F.col("first_at") >= start).drop("first_at")
+
+
+def claim_signals(stated: DataFrame, brand: str, rivals: Sequence[str], examples: int = 5) -> DataFrame:
+    """Per project and entity: claims whose subject holds its name, those with a figure in object or context, and the first
+    few of these by time as examples. A claim that names two entities counts for both."""
+    entities = F.explode(F.filter(F.array(*[F.when(about(F.col("subject"), [n]), F.lit(e)) for e, n in ((BRAND, brand), *((r, r) for r in rivals))]), lambda x: x.isNotNull()))
+    rows = stated.select("project_id", entities.alias("entity"), "claimed_at", F.coalesce(F.col("object").rlike(r"\d") | F.col("context").rlike(r"\d"), F.lit(False)).alias("specific"), F.substring(F.concat_ws(" ", "subject", "predicate", "object"), 1, 200).alias("text"))
+    counts = rows.groupBy("project_id", "entity").agg(F.count("*").alias("claims"), F.count_if("specific").alias("specific_claims"))
+    first = Window.partitionBy("project_id", "entity").orderBy("claimed_at", "text")
+    few = rows.where("specific").withColumn("n", F.row_number().over(first)).where(F.col("n") <= examples)
+    shown = few.groupBy("project_id", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("examples"))
+    return counts.join(shown, ["project_id", "entity"], "left").withColumn("examples", F.coalesce("examples", F.expr("cast(array() AS array<string>)")))
+
+
+def brand_profile(entities: DataFrame, site: Column) -> DataFrame:
+    """Per site what its structured data says of the brand: organization and description there, distinct names, sameAs links,
+    products. ``entities`` as of extract_entities."""
+    kind = F.lower("entity_type")
+    organization = kind.isin("organization", "brand", "corporation", "localbusiness")
+    return entities.groupBy(site.alias("site")).agg(
+        F.bool_or(organization).alias("has_organization"),
+        F.coalesce(F.bool_or(F.when(organization, F.col("description").isNotNull())), F.lit(False)).alias("has_description"),
+        F.countDistinct(F.when(organization, F.trim("name"))).alias("names"),
+        F.coalesce(F.sum(F.when(organization, F.size("same_as"))), F.lit(0)).alias("same_as_links"),
+        F.count_if(kind.isin("product", "softwareapplication", "service")).alias("products"),
+    )
 
 
 def topic_facts(observations: DataFrame, cited: DataFrame, domains: DataFrame, competitors: Sequence[str]) -> DataFrame:

@@ -55,16 +55,20 @@ def heading_parents(facts: DataFrame) -> DataFrame:
 
 
 def findings(snapshot: DataFrame) -> DataFrame:
-    """(code, severity, category, page_id) of the page checks, one pass: each page makes the array of its findings."""
+    """(code, severity, category, page_id) of the page checks, one pass: each page makes the array of its findings.
+
+    Pages that may not be indexed have milder titles and descriptions to blame.
+    """
     t, d = F.col("title"), F.col("description")
+    unless_hidden = lambda severity, milder: F.when(F.col("noindex"), milder).otherwise(severity)
     checks = [
-        ("title_missing", "high", "metadata", t.isNull()),
-        ("title_too_long", "low", "metadata", F.length(t) > 90),
+        ("title_missing", unless_hidden("high", "low"), "metadata", t.isNull()),
+        ("title_too_long", unless_hidden("low", "info"), "metadata", F.length(t) > 90),
         ("title_long", "info", "metadata", (F.length(t) > 60) & (F.length(t) <= 90)),
-        ("title_too_short", "low", "metadata", F.length(t) < 15),
-        ("description_missing", "medium", "metadata", d.isNull()),
+        ("title_too_short", unless_hidden("low", "info"), "metadata", F.length(t) < 15),
+        ("description_missing", unless_hidden("medium", "info"), "metadata", d.isNull()),
         ("description_too_long", "low", "metadata", F.length(d) > 320),
-        ("description_too_short", "low", "metadata", F.length(d) < 50),
+        ("description_too_short", "info", "metadata", F.length(d) < 50),
         ("h1_missing", "medium", "headings", F.col("h1_count") == 0),
         ("h1_multiple", "low", "headings", F.col("h1_count") > 1),
         ("canonical_conflicting", "high", "canonicalization", F.col("canonical_count") > 1),
@@ -78,7 +82,7 @@ def findings(snapshot: DataFrame) -> DataFrame:
         ("structured_data_missing", "low", "structured_data", F.size("blocks") == 0),
         ("structured_data_invalid", "medium", "structured_data", F.exists("blocks", lambda b: ~b["is_valid"])),
     ]
-    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(category).alias("category"))) for code, severity, category, hit in checks]))
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), F.lit(category).alias("category"))) for code, severity, category, hit in checks]))
     return snapshot.select("page_id", F.explode(found).alias("f")).select("f.*", "page_id")
 
 
@@ -103,11 +107,10 @@ def canonical_findings(snapshot: DataFrame) -> DataFrame:
 
 
 def link_graph(facts: DataFrame, normalized: Column) -> DataFrame:
-    """Per page: internal pages that link to it; none is an orphan, fewer than two few."""
+    """Per page: internal pages that link to it; none is an orphan, fewer than two few. Links count by their resolved target."""
     pages = facts.select("page_id", normalized.alias("norm"), "links")
-    out = pages.select(F.col("page_id").alias("source"), F.explode("links").alias("l"), F.regexp_extract("norm", r"^([a-z]+://[^/]+)", 1).alias("origin"))
-    target = F.when(F.col("l.href").startswith("/"), F.concat("origin", F.regexp_replace("l.href", r"[?#].*$", ""))).otherwise(F.regexp_replace("l.href", r"[?#].*$", ""))
-    hits = out.select("source", target.alias("norm")).distinct()
+    out = pages.select(F.col("page_id").alias("source"), F.explode("links").alias("l")).where("l.target IS NOT NULL")
+    hits = out.select("source", F.regexp_replace("l.target", r"[?#].*$", "").alias("norm")).distinct()
     g = pages.select("page_id", "norm").join(hits, "norm", "left").groupBy("page_id").agg(F.countDistinct(F.when(F.col("source") != F.col("page_id"), F.col("source"))).alias("sources"))
     return g.withColumn("code", F.when(F.col("sources") == 0, "orphan_pages").when(F.col("sources") < 2, "few_internal_links"))
 

@@ -133,7 +133,7 @@ def classify_sources(sources: DataFrame, companies: DataFrame | None = None, thr
     def first_part(parts: list[str]) -> Column:
         out = F.lit(None).cast("string")
         for p in reversed(parts):
-            out = F.when(F.col("path").contains(p), F.lit(p)).otherwise(out)
+            out = F.when(F.lower("path").contains(p), F.lit(p)).otherwise(out)
         return out
 
     seen = F.explode(F.filter(F.array(*[F.struct(F.lit(t).alias("type"), first_part(ps).alias("part")) for t, ps in R.PATH_PARTS.items()]), lambda x: x["part"].isNotNull()))
@@ -154,7 +154,8 @@ NAME = r"[A-Z][\w&.+-]{1,40}(?: [A-Z][\w&.+-]{1,40}){0,2}"
 VERSUS = rf"\b({NAME})\s+(?:vs\.?|versus)\s+({NAME})"
 LABEL = r"^\s*([A-Z][\w&.+'’-]{1,40}(?:\s+[A-Z0-9][\w&.+'’-]{0,40}){0,3})(?=\s*[:—–\-(|,]|\s*$)"
 BETWEEN = r"(?i),|\band\b|\bor\b|&|/|;|\binclud(?:e|es|ing)\b|\bsuch as\b|\blike\b"
-NO_NAMES = "the a an and or of for with to in on by at best top free cheap affordable popular other others more overview summary pros cons pricing features conclusion".split()
+NO_NAMES = """the a an and or of for with to in on by at best top free cheap affordable popular other others more overview summary pros cons pricing features conclusion note tip tips why how what when which here there
+overall option options tool tools software platform platforms solution solutions service services company companies product products key main final first second third step steps example examples sources source references yes no none n/a""".split()
 
 
 def discovered_names(answers: DataFrame, known: DataFrame) -> DataFrame:
@@ -178,5 +179,10 @@ def discovered_names(answers: DataFrame, known: DataFrame) -> DataFrame:
     proper = F.col("name").rlike(r"^[\p{Lu}0-9]") & F.col("name").rlike(r"\p{L}") & F.length("name").between(2, 60) & (F.size(words) <= 4) & ~F.forall(words, lambda w: w.isin(*NO_NAMES))
     key = F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "")
     fresh = rows.where(proper).withColumn("key", key).where("key <> ''")
-    rest = fresh.join(known.select(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "").alias("key")).distinct(), "key", "left_anti")
+    taken = known.select(F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "").alias("known_key")).where("known_key <> ''").distinct()
+    # a product of a known name ("quickbooksonline" of "quickbooks") is known too; starts of the key make it an equi-join
+    starts = F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    keys = fresh.select("key").distinct().withColumn("start", F.explode(starts)).where("length(start) >= 4 OR start = key")
+    same = keys.join(taken, F.col("start") == F.col("known_key"), "left_semi").select("key").distinct()
+    rest = fresh.join(same, "key", "left_anti")
     return rest.groupBy("response_id", "key").agg(F.min("name").alias("name"), F.bool_or("language").alias("language"), F.min("position").alias("position"))

@@ -83,7 +83,9 @@ def overview(observations: DataFrame, now: Column, days: int) -> DataFrame:
     both = metric_block(with_period(observations, "completed_at", now, days), ["project_id", "period"])
     current, previous = (both.where(F.col("period") == p) for p in ("current", "previous"))
     previous = previous.select("project_id", F.col("score").alias("previous_score"), F.col("sample_size").alias("previous_sample_size"))
-    joined = current.drop("period").join(previous, "project_id", "left")
+    # a project that only the window before has stays, with an empty current one
+    joined = current.drop("period").join(previous, "project_id", "full")
+    joined = joined.withColumn("sample_size", F.coalesce("sample_size", F.lit(0))).withColumn("sufficiency", F.coalesce("sufficiency", F.lit("insufficient")))
     change, direction = compare(F.col("score"), F.col("previous_score"))
     return joined.withColumn("change", change).withColumn("direction", direction)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandlens.operators import competitive, gaps, graph, visibility
-from brandlens.sources.projection import CTES, NOW, Projection
+from brandlens.sources.projection import COMPETITORS, CTES, NOW, Projection
 
 DAYS, LONG = 90, 730
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,13 +279,29 @@ def _graph_prompts(p: Projection) -> DataFrame:
     return graph.prompts_by_competitors(_window(p), _observed(p, LONG))
 
 
+#: Claims that answers make, over the projection: each citation states something of the brand, a competitor or a third one.
+STATED = """, stated AS (SELECT project_id, prompt_id, run_id, CASE WHEN is_brand THEN ' Brand Suite' WHEN is_competitor THEN 'The ' || upper(competitor) || ' app' ELSE 'Wave' END AS subject, CASE page_id % 3 WHEN 0 THEN 'offers' WHEN 1 THEN 'Has' ELSE 'costs' END AS predicate,
+  CASE page_id % 4 WHEN 0 THEN 'payroll add-on' WHEN 1 THEN (page_id % 90) || ' users' ELSE strength || ' support' END AS object, CAST((position % 8) AS DOUBLE) / 8 AS confidence, 'as of answer ' || CASE WHEN page_id % 5 = 0 THEN CAST(page_id AS VARCHAR) ELSE 'x' END AS context, cited_at AS claimed_at FROM cited)"""
+
+
+def stated_claims(p: Projection) -> DataFrame:
+    page = F.col("page_id")
+    subject = F.when(F.col("is_brand"), " Brand Suite").when(F.col("is_competitor"), F.concat(F.lit("The "), F.upper("competitor"), F.lit(" app"))).otherwise("Wave")
+    said = F.when(page % 4 == 0, "payroll add-on").when(page % 4 == 1, F.concat((page % 90).cast("string"), F.lit(" users"))).otherwise(F.concat("strength", F.lit(" support")))
+    predicate = F.when(page % 3 == 0, "offers").when(page % 3 == 1, "Has").otherwise("costs")
+    context = F.concat(F.lit("as of answer "), F.when(page % 5 == 0, page.cast("string")).otherwise("x"))
+    return p.cited().select("project_id", "prompt_id", "run_id", subject.alias("subject"), predicate.alias("predicate"), said.alias("object"), ((F.col("position") % 8).cast("double") / 8).alias("confidence"), context.alias("context"), F.col("cited_at").alias("claimed_at"))
+
+
 @query(
     "graph_claims",
-    f"""{WITH}{_CITED}, t AS (SELECT project_id, prompt_id, cited_at, CASE WHEN is_brand THEN 'brand' ELSE competitor END AS subject, sentiment AS predicate, strength AS object FROM wc WHERE is_brand OR is_competitor)
-SELECT project_id, subject, predicate, object, count(*) AS occurrences, count(DISTINCT prompt_id) AS prompts, max(cited_at) AS last_at, CASE WHEN subject = 'brand' THEN 'brand' ELSE 'competitor' END AS association FROM t GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
+    f"""{WITH}{STATED}, t AS (SELECT project_id, prompt_id, run_id, lower(trim(subject)) AS subject, lower(predicate) AS predicate, lower(object) AS object, confidence, context, claimed_at FROM stated WHERE claimed_at >= {_NOW} - INTERVAL {LONG} DAY AND claimed_at < {_NOW})
+SELECT project_id, subject, predicate, object, count(*) AS occurrences, count(DISTINCT run_id) AS responses, count(DISTINCT prompt_id) AS prompts, round_even(avg(confidence), 3) AS confidence, min(context) AS example, max(claimed_at) AS last_at,
+  CASE WHEN contains(subject, 'brand') THEN 'brand' WHEN subject LIKE '%comp_%' THEN 'competitor' ELSE 'other' END AS association FROM t GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2""",
 )
 def _claims(p: Projection) -> DataFrame:
-    return graph.claims(_window(p))
+    stated = stated_claims(p).where((F.col("claimed_at") >= p.ago(LONG)) & (F.col("claimed_at") < p.now()))
+    return graph.claims(stated, "brand", COMPETITORS)
 
 
 _RIVALS = """, rv AS (SELECT a.project_id, a.entity AS competitor, count(*) AS mentions, count(*) FILTER (WHERE b.mentioned) AS with_brand, count(DISTINCT a.prompt_id) AS prompts

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brandlens.plans import analytics, crawls, rules, sites, streams, texts
+from brandlens.plans import analytics, crawls, names, rules, sites, streams, texts, workspace
 
 #: The plan modules register their queries on import.
-MODULES = (analytics, crawls, rules, sites, streams, texts)
+MODULES = (analytics, crawls, names, rules, sites, streams, texts, workspace)
 QUERIES, ORACLE_SQL = analytics.QUERIES, analytics.ORACLE_SQL

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brandlens.operators import competitive, operations, signals
 from brandlens.operators.visibility import with_period
-from brandlens.plans.analytics import ORACLE_SQL, _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query
+from brandlens.plans.names import _TOPIC_SQL, prompt_texts, topic_coverage
+from brandlens.plans.analytics import ORACLE_SQL, _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, STATED, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query, stated_claims
 from brandlens.sources.projection import COMPETITORS, Projection
 
 # ---- insights ---------------------------------------------------------------------------------------------------
@@ -136,12 +137,23 @@ def _new_sources(p: Projection) -> DataFrame:
 
 @query(
     "alerts_new_claims",
-    f"""{WITH}, t AS (SELECT project_id, competitor AS subject, sentiment AS predicate, strength || ':' || (page_id % 50) AS object, cited_at FROM cited WHERE is_competitor)
-SELECT project_id, subject, predicate, object, count(*) AS occurrences FROM t n WHERE cited_at >= {_NOW} - INTERVAL 1500 DAY
-  AND NOT EXISTS (SELECT 1 FROM t o WHERE o.cited_at < {_NOW} - INTERVAL 1500 DAY AND o.project_id = n.project_id AND o.subject = n.subject AND o.predicate = n.predicate AND o.object = n.object) GROUP BY 1, 2, 3, 4""",
+    f"""{WITH}{STATED}, t AS (SELECT project_id, lower(trim(subject)) AS subject, lower(predicate) AS predicate, lower(object) AS object, claimed_at FROM stated WHERE lower(subject) LIKE '%comp_%')
+SELECT project_id, subject, predicate, object, count(*) AS occurrences FROM t n WHERE claimed_at >= {_NOW} - INTERVAL 2300 DAY
+  AND NOT EXISTS (SELECT 1 FROM t o WHERE o.claimed_at < {_NOW} - INTERVAL 2300 DAY AND o.project_id = n.project_id AND o.subject = n.subject AND o.predicate = n.predicate AND o.object = n.object) GROUP BY 1, 2, 3, 4""",
 )
 def _new_claims(p: Projection) -> DataFrame:
-    return signals.new_claims(p.cited(), p.ago(1500))
+    return signals.new_claims(stated_claims(p), COMPETITORS, p.ago(2300))
+
+
+@query(
+    "insight_claim_signals",
+    f"""{WITH}{STATED}, n(entity, name) AS (VALUES ('brand', 'brand'), {", ".join(f"('{c}', '{c}')" for c in COMPETITORS)}),
+t AS (SELECT project_id, entity, claimed_at, regexp_matches(object, '[0-9]') OR regexp_matches(context, '[0-9]') AS specific, substr(subject || ' ' || predicate || ' ' || object, 1, 200) AS text FROM stated JOIN n ON contains(lower(subject), name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id, entity, specific ORDER BY claimed_at, text) AS k FROM t)
+SELECT project_id, entity, count(*) AS claims, count(*) FILTER (WHERE specific) AS specific_claims, coalesce(string_agg(text, '|' ORDER BY k) FILTER (WHERE specific AND k <= 5), '') AS examples FROM r GROUP BY 1, 2""",
+)
+def _claim_signals(p: Projection) -> DataFrame:
+    return signals.claim_signals(stated_claims(p), "brand", COMPETITORS).withColumn("examples", F.array_join("examples", "|"))
 
 
 # ---- content gaps, discovery ------------------------------------------------------------------------------------
@@ -164,8 +176,10 @@ def _gap_topics(p: Projection) -> DataFrame:
 
 @query(
     "content_gap_scores",
-    f"""{WITH}{_TOPICS}, tr AS (SELECT *, 100.0 * top_competitor_mentions / responses AS cr, 100.0 * brand_mentions / responses AS br, CASE prompt_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 ELSE 1.0 END AS coverage,
-    CASE category WHEN 'comparison' THEN 'missing_comparison' WHEN 'pricing' THEN 'missing_product_information' END AS needed, prompt_id % 2 = 0 AS has_needed FROM tf),
+    f"""{WITH}{_TOPICS}, {_TOPIC_SQL}, tl AS (SELECT t, min(p_partkey) AS k FROM (SELECT p_partkey, 'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?' AS t FROM part) GROUP BY t),
+tp AS (SELECT p_partkey, k AS topic_id FROM (SELECT p_partkey, 'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?' AS t FROM part) JOIN tl USING (t)),
+tr AS (SELECT tf.*, 100.0 * top_competitor_mentions / responses AS cr, 100.0 * brand_mentions / responses AS br, coalesce(cov.coverage, 0.0) AS coverage,
+    CASE category WHEN 'comparison' THEN 'missing_comparison' WHEN 'pricing' THEN 'missing_product_information' END AS needed, coalesce(cov.pages, 0) > 1 AS has_needed FROM tf LEFT JOIN tp ON p_partkey = prompt_id LEFT JOIN cov USING (topic_id)),
 tk AS (SELECT *, CASE WHEN coverage = 0 THEN coalesce(needed, 'missing_topic') WHEN coverage < 1 THEN 'weak_topic' WHEN needed IS NOT NULL AND NOT has_needed THEN needed END AS g1 FROM tr WHERE responses >= 5 AND cr >= 40 AND cr - br >= 20),
 t2 AS (SELECT *, CASE WHEN competitor_research > 0 AND brand_cited = 0 AND coalesce(g1, '') <> 'missing_topic' THEN 'missing_evidence' END AS g2 FROM tk),
 tt AS (SELECT *, g1 AS gap_type FROM t2 WHERE g1 IS NOT NULL UNION ALL SELECT *, g2 FROM t2 WHERE g2 IS NOT NULL)
@@ -174,12 +188,12 @@ SELECT project_id, prompt_id, category, responses, gap_type, CASE WHEN responses
   CASE WHEN cr >= 60 THEN 'high' WHEN cr >= 30 THEN 'medium' ELSE 'low' END AS visibility_band FROM tt""",
 )
 def _gap_scores(p: Projection) -> DataFrame:
-    kind = F.col("prompt_id") % 3
-    facts = _topics(p).withColumns(
+    covered = prompt_texts(p).join(topic_coverage(p), "t").select("prompt_id", "coverage", "pages")
+    facts = _topics(p).join(covered, "prompt_id", "left").withColumns(
         {
-            "coverage": F.when(kind == 0, 0.0).when(kind == 1, 0.4).otherwise(1.0),
+            "coverage": F.coalesce("coverage", F.lit(0.0)),
             "needed": F.when(F.col("category") == "comparison", "missing_comparison").when(F.col("category") == "pricing", "missing_product_information"),
-            "has_needed": F.col("prompt_id") % 2 == 0,
+            "has_needed": F.coalesce("pages", F.lit(0)) > 1,
         }
     )
     return signals.content_gaps(facts)

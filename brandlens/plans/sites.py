@@ -121,7 +121,8 @@ def _entities(p: Projection) -> DataFrame:
 @query(
     "entity_conflicts",
     """WITH e AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/]+)', 1), '[^a-z0-9]', ' ', 'g') AS n FROM pages)
-SELECT 'Organization|' || n AS fingerprint, 'telephone' AS property, count(DISTINCT page_id % 2) AS values, count(DISTINCT page_id) AS pages FROM e GROUP BY n HAVING count(DISTINCT page_id % 2) > 1""",
+SELECT 'Organization|' || n AS fingerprint, 'telephone' AS property, count(DISTINCT page_id % 2) AS values, count(DISTINCT page_id) AS pages FROM e GROUP BY n HAVING count(DISTINCT page_id % 2) > 1
+UNION ALL SELECT 'Organization|' || n, 'url', count(DISTINCT lower(url)), count(DISTINCT page_id) FROM e JOIN pages USING (page_id) GROUP BY n HAVING count(DISTINCT lower(url)) > 1""",
 )
 def _conflicts(p: Projection) -> DataFrame:
     return entities.conflicts(entities.extract_entities(_blocks(p)))

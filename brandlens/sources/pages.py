@@ -8,13 +8,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = """page_id bigint, url string, title string, title_count int, lang string, charset string, has_doctype boolean,
 meta map<string,string>, canonical string, canonical_count int, headings array<struct<level:int,position:int,text:string>>,
-links array<struct<href:string,text:string,rel:string,in_navigation:boolean,position:int>>,
+links array<struct<href:string,text:string,rel:string,in_navigation:boolean,position:int,target:string>>,
 images array<struct<src:string,alt:string>>, blocks array<struct<payload:string,is_valid:boolean,error:string>>, text string, html_bytes int"""
 
 _SKIP = frozenset("script style noscript template svg nav header footer aside form iframe".split())
@@ -25,7 +26,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 class _Walker(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.title, self.titles, self.lang, self.charset, self.doctype = None, 0, None, None, False
+        self.title, self.titles, self.lang, self.charset, self.doctype, self.base = None, 0, None, None, False, None
         self.meta: dict[str, str] = {}
         self.canonicals: list[str] = []
         self.headings: list[dict] = []
@@ -48,6 +49,8 @@ class _Walker(HTMLParser):
             name = (a.get("name") or a.get("property") or "").lower()
             if name and "content" in a:
                 self.meta.setdefault(name, a["content"])
+        elif tag == "base":
+            self.base = self.base or a.get("href")
         elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
             self.canonicals.append(a.get("href", ""))
         elif tag == "img":
@@ -95,6 +98,18 @@ class _Walker(HTMLParser):
             self.text.append(data)
 
 
+def _resolved(base: str | None, href: str) -> str | None:
+    """The absolute web address without its fragment, or null (mail, scripts, fragments of the page itself, broken addresses)."""
+    href = href.strip()
+    if not href or href.startswith("#"):
+        return None
+    try:
+        target = urldefrag(urljoin(base or "", href)).url
+    except ValueError:
+        return None
+    return target if target.lower().startswith(("http://", "https://")) else None
+
+
 def _facts(page_id: int | None, url: str | None, html: str | None) -> dict:
     w = _Walker()
     w.feed(html or "")
@@ -103,6 +118,8 @@ def _facts(page_id: int | None, url: str | None, html: str | None) -> dict:
         if tag != "script":
             w._said(tag, parts, a)
     lines = (" ".join(line.split()) for line in "".join(w.text).split("\n"))
+    for link in w.links:
+        link["target"] = _resolved(w.base or url, link["href"])
     return {
         "page_id": page_id, "url": url, "title": w.title, "title_count": w.titles, "lang": w.lang, "charset": w.charset, "has_doctype": w.doctype, "meta": w.meta,
         "canonical": w.canonicals[0] if w.canonicals else None, "canonical_count": len(w.canonicals), "headings": w.headings, "links": w.links, "images": w.images,

@@ -117,7 +117,8 @@ def test_jsonld(spark):
     assert [(r.fingerprint, r.property, r["values"]) for r in entities.conflicts(entities.extract_entities(blocks)).collect()] == [("Organization|acme", "telephone", 2)]
     issues = {(r.page_id, r.code) for r in entities.validate_blocks(blocks).collect()}
     assert {(1, "empty_value"), (1, "missing_type"), (3, "invalid_json"), (4, "invalid_json"), (5, "empty_block"), (6, "missing_context")} <= issues
-    assert entities.organization(entities.extract_entities(blocks)).first().name == "Acme, Inc."
+    pages = spark.createDataFrame([("acme.example", 1, "https://acme.example/"), ("acme.example", 2, "https://acme.example/about"), ("other.example", 6, "https://other.example/")], "site string, page_id bigint, url string")
+    assert [(r.site, r.name, r.named, r.same_as) for r in entities.organization(entities.extract_entities(blocks), pages).collect()] == [("acme.example", "Acme, Inc.", 1, ["https://x.com/a"])]
 
 
 @pytest.mark.parametrize("cadence, weekday, now, expected", [("daily", None, "2024-01-01 10:00:00", "2024-01-02 09:00:00"), ("daily", None, "2024-01-01 08:59:59", "2024-01-01 09:00:00"), ("weekly", 0, "2024-01-01 09:00:00", "2024-01-08 09:00:00"), ("weekly", 2, "2024-01-01 10:00:00", "2024-01-03 09:00:00")])
