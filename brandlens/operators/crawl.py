@@ -118,7 +118,7 @@ def robots_allowed(requests: DataFrame, agent: str = "*") -> DataFrame:
     fits = rules.where(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).withColumn("pattern", quoted).join(paths, "robots_key").where("path rlike pattern")
     best = fits.groupBy("robots_key", "path").agg(F.max(F.struct(F.length("value").alias("n"), (F.col("field") == "allow").alias("allow"))).alias("best"))
     said = rules.groupBy("robots_key").agg(
-        F.min_by(F.when(F.col("field") == "crawl-delay", F.try_to_number("value", F.lit("99999"))).cast("double"), F.when(F.col("field") == "crawl-delay", F.col("n"))).alias("crawl_delay"),
+        F.min(F.when(F.col("field") == "crawl-delay", F.struct("n", F.col("value").try_cast("double").alias("delay"))))["delay"].alias("crawl_delay"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == "sitemap", F.struct("n", "value")))), lambda x: x["value"]).alias("sitemaps"),
     )
     status, read = F.col("robots_status"), F.col("robots_status") < 400
