@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from brandlens.llm.spark_files import small_batches
 
 #: Characters of texts that are encoded together; a longer text makes a chunk of its own.
-CHUNK_CHARS = 5_000_000
+CHUNK_CHARS = 3_000_000
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -229,6 +229,7 @@ def _encoder(path: str, own: str, kept: list[str]):
             if chunk.size > CHUNK_CHARS:
                 yield flush()
                 chunk, held = Chunk(own), []
+                pa.default_memory_pool().release_unused()
         if chunk.texts:
             yield flush()
 
