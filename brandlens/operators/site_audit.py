@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from brandlens.functions.ladders import available_mean
 from brandlens.functions.text import sentences, word_count
+from brandlens.shared_files import use_shared_checkpoints
 
-# Points of severities, caps of categories, the least share of pages that counts.
+# Points of severities, caps of categories, the least share of pages that counts, the clicks from home that are not too many.
 SEVERITY_POINTS = {"critical": 25.0, "high": 12.0, "medium": 6.0, "low": 2.0, "info": 0.0}
 CATEGORY_CAPS = {"indexability": 25.0, "http": 20.0, "internal_links": 15.0, "canonicalization": 15.0, "metadata": 15.0, "headings": 8.0, "mobile_html": 10.0, "structured_data": 5.0}
 MIN_SPREAD = 0.25
+DEEP = 4
 READINESS_WEIGHTS = {"entity_clarity": 25.0, "product_clarity": 20.0, "authority": 15.0, "evidence": 15.0, "content_structure": 15.0, "faq": 5.0, "factual_consistency": 5.0}
 
 
@@ -92,18 +94,114 @@ def duplicate_titles(snapshot: DataFrame) -> DataFrame:
     return g.where("pages > 1").withColumn("severity", F.when(F.col("pages") > 3, "medium").otherwise("low"))
 
 
-def canonical_findings(snapshot: DataFrame) -> DataFrame:
-    """One canonical finding a page, in order: external, chain, missing target, mismatch; a self join on the target."""
+def heading_findings(snapshot: DataFrame) -> DataFrame:
+    """(code, severity, category, page_id) of headings: skipped levels, repeated texts, more than 70 characters.
+
+    The headings of a page are compared within its row; nothing is shuffled.
+    """
+    levels = F.transform("headings", lambda h: h["level"])
+    rest = F.greatest(F.size(levels) - 1, F.lit(0))
+    jumps = F.zip_with(F.slice(levels, 1, rest), F.slice(levels, 2, rest), lambda above, below: below > above + 1)
+    texts = F.filter(F.transform("headings", lambda h: F.lower(F.trim(h["text"]))), lambda t: t != "")
+    checks = [
+        ("heading_hierarchy_skipped", "low", F.exists(jumps, lambda j: j)),
+        ("heading_duplicate", "info", F.size(texts) > F.size(F.array_distinct(texts))),
+        ("heading_too_long", "info", F.exists("headings", lambda h: F.length(h["text"]) > 70)),
+    ]
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("headings").alias("category"))) for code, severity, hit in checks]))
+    return snapshot.select("page_id", F.explode(found).alias("f")).select("f.*", "page_id")
+
+
+def canonical_findings(snapshot: DataFrame, http_status: str | None = None) -> DataFrame:
+    """(code, severity, category, page_id): the first canonical fault of a page, in order: several, none, another site's, a
+    chain, a target that doesn't answer 200, another address.
+
+    The site of a page is its host without www.; its subdomains belong to it. ``http_status`` names the column of answers,
+    if there is one. Of several rows with one address the one of the least page_id is the target.
+    """
     host = lambda c: F.regexp_extract(F.lower(c), r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)
-    target = snapshot.select(F.col("url").alias("canonical"), F.col("page_id").alias("target_id"), F.col("canonical").alias("next"))
-    rows = snapshot.where(F.col("canonical").isNotNull()).join(target, "canonical", "left")
-    code = (
-        F.when(host(F.col("canonical")) != host(F.col("url")), "canonical_external")
-        .when(F.col("next").isNotNull() & (F.col("next") != F.col("canonical")), "canonical_chain")
-        .when(F.col("target_id").isNull(), "canonical_target_not_ok")
-        .when(F.col("canonical") != F.col("url"), "canonical_mismatch")
+    answer = F.col(http_status).cast("int") if http_status else F.lit(None).cast("int")
+    pages = snapshot.withColumn("_answer", answer)
+    told = pages.where(F.col("url").isNotNull()).groupBy(F.col("url").alias("_target")).agg(F.min_by(F.struct("canonical", "_answer"), "page_id").alias("t"))
+    at, to = host(F.col("url")), host(F.col("canonical"))
+    within = (to == at) | to.endswith(F.concat(F.lit("."), at))
+    finding = lambda code, severity: F.struct(F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
+    first = (
+        F.when(F.col("canonical_count") > 1, finding("canonical_conflicting", "high"))
+        .when(F.col("canonical").isNull(), finding("canonical_missing", F.when(F.col("noindex"), "info").otherwise("low")))
+        .when(~within, finding("canonical_external", "high"))
+        .when(F.col("canonical") == F.col("url"), F.lit(None))
+        .when(F.col("t.canonical").isNotNull() & (F.col("t.canonical") != F.col("_target")), finding("canonical_chain", "medium"))
+        .when(F.col("t._answer") != 200, finding("canonical_target_not_ok", "high"))
+        .otherwise(finding("canonical_mismatch", "info"))
     )
-    return rows.select("page_id", code.alias("code")).where("code IS NOT NULL")
+    # pages without a canonical have no target to look for and take no part in the shuffle's hot null key
+    rows = pages.join(told, F.when(F.col("canonical") != F.col("url"), F.col("canonical")) == F.col("_target"), "left")
+    return rows.select("page_id", first.alias("f")).where("f IS NOT NULL").select("f.*", F.lit("canonicalization").alias("category"), "page_id")
+
+
+def page_edges(facts: DataFrame, normalized: Column) -> DataFrame:
+    """(source, target): which page links to which other page, each pair once, by resolved addresses."""
+    pages = facts.select(F.col("page_id").alias("target"), normalized.alias("norm"))
+    out = facts.select(F.col("page_id").alias("source"), F.explode("links").alias("l")).where("l.target IS NOT NULL")
+    hits = out.select("source", F.regexp_replace("l.target", r"[?#].*$", "").alias("norm")).distinct()
+    return hits.join(pages, "norm").where("source <> target").select("source", "target").distinct()
+
+
+def click_depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(page_id, depth): the least number of links from a root (page_id) to every page that links lead to.
+
+    Breadth first: a round takes the newest pages one link further and drops those already reached, until none is new. Each
+    round is cut by a checkpoint in the shared folder, so that a lost executor costs one round.
+    """
+    use_shared_checkpoints(edges.sparkSession)
+    edges = edges.checkpoint()
+    newest = roots.select("page_id").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    reached, depth = newest, 0
+    while not newest.isEmpty():
+        depth += 1
+        ahead = edges.join(newest.select(F.col("page_id").alias("source")), "source", "left_semi").select(F.col("target").alias("page_id")).distinct()
+        newest = ahead.join(reached, "page_id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        reached = reached.unionByName(newest)
+    return reached
+
+
+def home_pages(facts: DataFrame) -> DataFrame:
+    """(page_id): where each site's visitors start: the page at its root, else its first page."""
+    site = F.regexp_extract(F.lower("url"), r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)
+    first = F.struct((~path_of(F.col("url")).isin("", "/")).alias("inner"), "page_id")
+    return facts.where(F.col("url").isNotNull()).groupBy(site.alias("site")).agg(F.min(first)["page_id"].alias("page_id")).select("page_id")
+
+
+def link_findings(facts: DataFrame, normalized: Column) -> DataFrame:
+    """(code, severity, category, page_id): pages that no other links to, or only one; pages more than four clicks from home.
+
+    Home pages need no links to them.
+    """
+    homes = home_pages(facts)
+    edges = page_edges(facts, normalized)
+    sources = edges.groupBy(F.col("target").alias("page_id")).agg(F.count("*").alias("sources"))
+    n = F.coalesce("sources", F.lit(0))
+    linked = facts.select("page_id").join(homes, "page_id", "left_anti").join(sources, "page_id", "left")
+    few = linked.where(n < 2).select(F.when(n == 0, "orphan_pages").otherwise("few_internal_links").alias("code"), F.when(n == 0, "medium").otherwise("low").alias("severity"), "page_id")
+    deep = click_depths(edges, homes).where(F.col("depth") > DEEP).select(F.lit("excessive_link_depth").alias("code"), F.lit("low").alias("severity"), "page_id")
+    return few.unionByName(deep).select("code", "severity", F.lit("internal_links").alias("category"), "page_id")
+
+
+def broken_link_findings(links: DataFrame) -> DataFrame:
+    """(code, severity, category, page_id): pages with links to addresses that answered with 400 or more (page_id, status)."""
+    pages = links.where("status = 'broken'").select("page_id").distinct()
+    return pages.select(F.lit("broken_internal_links").alias("code"), F.lit("high").alias("severity"), F.lit("internal_links").alias("category"), "page_id")
+
+
+def audit_findings(facts: DataFrame, normalized: Column) -> DataFrame:
+    """All findings that the pages alone show: of markup, headings, canonicals and links.
+
+    Canonical faults are those of ``canonical_findings``, which looks at the targets too.
+    """
+    snapshot = page_snapshot(facts)
+    markup = findings(snapshot).where("category <> 'canonicalization'")
+    return markup.unionByName(heading_findings(snapshot)).unionByName(canonical_findings(snapshot)).unionByName(link_findings(facts, normalized))
 
 
 def link_graph(facts: DataFrame, normalized: Column) -> DataFrame:

@@ -95,6 +95,94 @@ def _health(p: Projection) -> DataFrame:
     return site_audit.health_score(found.withColumn("k", F.lit(1)).join(F.broadcast(n.withColumn("k", F.lit(1))), "k"), F.col("n"))
 
 
+_NORM = "regexp_replace({u}, '[?#].*$', '')"
+_EDGES = f"""p AS (SELECT page_id, url, {_NORM.format(u="url")} AS norm, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS site, html FROM pages),
+h AS (SELECT DISTINCT page_id AS source, {_NORM.format(u="origin || href")} AS norm FROM (SELECT page_id, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM p)),
+edges AS (SELECT DISTINCT source, page_id AS target FROM h JOIN p USING (norm) WHERE source <> page_id),
+homes AS (SELECT arg_min(page_id, (CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN 0 ELSE 1 END, page_id)) AS page_id FROM p GROUP BY site)"""
+
+
+def _norm():
+    return F.regexp_replace("url", r"[?#].*$", "")
+
+
+#: Pages get headings after their own by their number: a skipped level, a text said twice, a long one, or none.
+_MORE_HEADINGS = ("<h3>Deep</h3>", "<h2>Same</h2><h3>and</h3><h2> same</h2>", f"<h2>{'long ' * 15}</h2>", "<h2>Fine</h2>")
+
+
+@query(
+    "seo_heading_findings",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'heading_hierarchy_skipped' WHEN 1 THEN 'heading_duplicate' ELSE 'heading_too_long' END AS code, CASE page_id % 4 WHEN 0 THEN 'low' ELSE 'info' END AS severity, 'headings' AS category
+FROM pages WHERE page_id % 4 < 3 AND len(regexp_extract_all(html, '<h[1-6]>')) = 1""",
+)
+def _heading_findings(p: Projection) -> DataFrame:
+    more = F.get(F.array(*[F.lit(h) for h in _MORE_HEADINGS]), (F.col("page_id") % 4).cast("int"))
+    one = F.regexp_count("html", F.lit("<h[1-6]>")) == 1
+    pages = p.table("pages").where(one).withColumn("html", F.concat("html", more))
+    return site_audit.heading_findings(site_audit.page_snapshot(parse_pages(pages)))
+
+
+#: Pages are given a canonical by their number: their own address, the next page's, another site's, or none; answers too.
+_CANON = """c AS (SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://www.elsewhere.example/' || page_id WHEN 2 THEN regexp_replace(url, '[?#].*$', '') || '?canonical' WHEN 3 THEN lead(url) OVER (ORDER BY page_id) END AS canonical,
+  CASE WHEN page_id % 9 = 4 THEN 404 ELSE 200 END AS status FROM pages),
+s AS (SELECT *, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS own_host, regexp_replace(regexp_extract(lower(canonical), '^[a-z]+://([^/:?#]+)', 1), '^www\\.', '') AS dest FROM c),
+t AS (SELECT url AS target, arg_min(coalesce(canonical, ''), page_id) AS next, arg_min(status, page_id) AS answer FROM c GROUP BY 1),
+k AS (SELECT page_id, CASE WHEN canonical IS NULL THEN 'canonical_missing' WHEN dest <> own_host AND NOT ends_with(dest, '.' || own_host) THEN 'canonical_external' WHEN canonical = url THEN NULL WHEN next <> '' AND next <> target THEN 'canonical_chain'
+  WHEN answer <> 200 THEN 'canonical_target_not_ok' ELSE 'canonical_mismatch' END AS code FROM s LEFT JOIN t ON target = canonical)"""
+
+
+@query(
+    "seo_canonical_findings",
+    f"WITH {_CANON} SELECT page_id, code, CASE WHEN code IN ('canonical_external', 'canonical_target_not_ok') THEN 'high' WHEN code = 'canonical_chain' THEN 'medium' WHEN code = 'canonical_missing' THEN 'low' ELSE 'info' END AS severity, 'canonicalization' AS category FROM k WHERE code IS NOT NULL",
+)
+def _canonical_findings(p: Projection) -> DataFrame:
+    pages = p.table("pages").select("page_id", "url")
+    follower = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    k = F.col("page_id") % 5
+    canonical = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("https://www.elsewhere.example/"), F.col("page_id").cast("string"))).when(k == 2, F.concat(_norm(), F.lit("?canonical"))).when(k == 3, F.col("next_url"))
+    rows = pages.join(follower, "page_id", "left").select("page_id", "url", canonical.alias("canonical"), F.when(F.col("page_id") % 9 == 4, 404).otherwise(200).alias("http_status"))
+    snapshot = rows.withColumn("canonical_count", F.col("canonical").isNotNull().cast("int")).withColumn("noindex", F.lit(False))
+    return site_audit.canonical_findings(snapshot, "http_status")
+
+
+@query(
+    "seo_link_findings",
+    f"""WITH RECURSIVE {_EDGES}, b AS (SELECT page_id, 0 AS depth FROM homes UNION SELECT target, depth + 1 FROM b JOIN edges ON source = page_id WHERE depth < 12), d AS (SELECT page_id, min(depth) AS depth FROM b GROUP BY 1),
+n AS (SELECT p.page_id, count(source) AS n FROM p LEFT JOIN edges ON target = p.page_id WHERE p.page_id NOT IN (SELECT page_id FROM homes) GROUP BY 1)
+SELECT CASE n WHEN 0 THEN 'orphan_pages' ELSE 'few_internal_links' END AS code, CASE n WHEN 0 THEN 'medium' ELSE 'low' END AS severity, 'internal_links' AS category, page_id FROM n WHERE n < 2
+UNION ALL SELECT 'excessive_link_depth', 'low', 'internal_links', page_id FROM d WHERE depth > 4""",
+)
+def _link_findings(p: Projection) -> DataFrame:
+    return site_audit.link_findings(_facts(p), _norm())
+
+
+#: Customers link to two others by rules of their number; the first of a segment is where visitors start.
+_CLICKS = """e AS (SELECT DISTINCT * FROM (SELECT c_custkey AS source, (c_custkey * 7) %% n + 1 AS target FROM customer, %(n)s UNION ALL SELECT c_custkey, c_custkey + 25 FROM customer) WHERE source <> target),
+r AS (SELECT min(c_custkey) AS page_id FROM customer GROUP BY c_mktsegment)""" % {"n": "(SELECT count(*) AS n FROM customer)"}
+
+
+@query(
+    "click_depths",
+    f"""WITH RECURSIVE {_CLICKS}, b AS (SELECT page_id, 0 AS depth FROM r UNION SELECT target, depth + 1 FROM b JOIN e ON source = page_id WHERE depth < 10)
+SELECT page_id, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY 1 HAVING min(depth) <= 9""",
+)
+def _click_depths(p: Projection) -> DataFrame:
+    customers = p.table("customer")
+    n = customers.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    key = F.col("c_custkey")
+    # one row: a scalar that joins every customer
+    far = customers.withColumn("k", F.lit(1)).join(F.broadcast(n), "k").select(key.alias("source"), (key * 7 % F.col("n") + 1).alias("target"))
+    edges = far.unionByName(customers.select(key.alias("source"), (key + 25).alias("target"))).where("source <> target").distinct()
+    roots = customers.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("page_id")).select("page_id")
+    return site_audit.click_depths(edges, roots).where("depth <= 9")
+
+
+@query("seo_audit_findings", None)
+def _audit(p: Projection) -> DataFrame:
+    """Findings of every kind, counted; the parts have SQL of their own."""
+    return site_audit.audit_findings(_facts(p), _norm()).groupBy("code", "severity", "category").agg(F.count("*").alias("pages"))
+
+
 @query("readiness_signals", None)
 def _signals(p: Projection) -> DataFrame:
     return site_audit.readiness_signals(site_audit.page_snapshot(_facts(p))).withColumn("kinds", F.array_join("kinds", ","))
@@ -107,7 +195,7 @@ def _readiness(p: Projection) -> DataFrame:
 
 def _blocks(p: Projection) -> DataFrame:
     """JSON-LD blocks: those of the pages, and one made of every page's address, so that the table has some."""
-    own = _facts(p).select("page_id", F.posexplode("blocks").alias("block", "b")).select("page_id", "block", "b.payload")
+    own = _facts(p).select("page_id", F.posexplode("blocks").alias("block", "b")).where("b.is_valid").select("page_id", "block", "b.payload")
     host = F.regexp_extract("url", r"://([^/]+)", 1)
     made = F.to_json(F.struct(F.lit("Organization").alias("@type"), F.lit("https://schema.org").alias("@context"), host.alias("name"), F.col("url").alias("url"), (F.col("page_id") % 2).cast("string").alias("telephone"), F.array(F.concat(F.lit("https://x.com/"), host)).alias("sameAs")))
     return own.unionByName(p.table("pages").select("page_id", F.lit(-1).alias("block"), made.alias("payload")))
@@ -118,6 +206,26 @@ def _entities(p: Projection) -> DataFrame:
     return entities.extract_entities(_blocks(p)).select("page_id", "block", "entity_type", "name", "url")
 
 
+def _marked_up(p: Projection) -> DataFrame:
+    """Every page with an organization in microdata and one in RDFa at its end: the given pages have none."""
+    host, url = F.regexp_extract("url", r"://([^/]+)", 1), F.replace("url", F.lit("&"), F.lit("&amp;"))
+    micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Organization"><b itemprop="name">'), host, F.lit('</b><a itemprop="url" href="'), url, F.lit('">home</a></div>'))
+    rdfa = F.concat(F.lit('<div vocab="https://schema.org/" typeof="Brand"><p property="name">The <i>'), host, F.lit("</i></div>"))
+    return p.table("pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), micro, rdfa))
+
+
+@query(
+    "markup_entities",
+    """SELECT page_id, 'microdata' AS format, 'Organization' AS entity_type, regexp_extract(url, '://([^/]+)', 1) AS name, url FROM pages
+UNION ALL SELECT page_id, 'rdfa', 'Brand', 'The ' || regexp_extract(url, '://([^/]+)', 1), NULL FROM pages""",
+)
+def _markup_entities(p: Projection) -> DataFrame:
+    blocks = parse_pages(_marked_up(p)).select("page_id", F.posexplode("blocks").alias("block", "b")).where("b.is_valid")
+    found = entities.extract_entities(blocks.select("page_id", "block", "b.payload"))
+    formats = F.when(F.col("entity_type") == "Brand", "rdfa").otherwise("microdata")
+    return found.select("page_id", formats.alias("format"), "entity_type", "name", "url")
+
+
 @query(
     "entity_conflicts",
     """WITH e AS (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/]+)', 1), '[^a-z0-9]', ' ', 'g') AS n FROM pages)
