@@ -75,6 +75,70 @@ def daily_events(events: DataFrame, at: str) -> DataFrame:
     return g.withColumn("collapsed", F.col("events") >= 2)
 
 
+# The six primary metrics, whether less is better, and the reason where no position is known.
+PRIMARY_METRICS = ("score", "mention_rate", "recommendation_rate", "citation_rate", "average_position", "competitive_share")
+LESS_IS_BETTER = ("average_position",)
+NO_POSITION = "No positioned mentions in this period"
+NO_COMPETITORS = "Add competitors to the project to measure this"
+NO_MENTIONS = "Neither the brand nor a configured competitor was mentioned"
+
+
+def primary_metrics(blocks: DataFrame, competitors_configured: Column) -> DataFrame:
+    """Per project the six primary metrics of the current period, their change, and why a number or change is missing.
+
+    ``blocks``: metric rows by project_id and period (current, previous). A project without a current block has none.
+    """
+    values = {m: F.col("competitive_score" if m == "competitive_share" else m) for m in PRIMARY_METRICS}
+    block = F.struct("sample_size", "sufficiency", *[v.cast("double").alias(m) for m, v in values.items()])
+    pair = blocks.groupBy("project_id").agg(*[F.any_value(F.when(F.col("period") == p, block), True).alias(p) for p in ("current", "previous")])
+    pair = pair.where("current IS NOT NULL").withColumn("_configured", competitors_configured)
+    previous_short = F.coalesce(F.col("previous.sufficiency"), F.lit("insufficient")) == "insufficient"
+
+    def row(metric: str) -> Column:
+        now, before = F.col(f"current.{metric}"), F.col(f"previous.{metric}")
+        reason = F.when(now.isNull(), "Not enough responses in this period").when(before.isNull(), F.when(previous_short, "Not enough responses in the previous period").otherwise("No previous value"))
+        if metric == "score":
+            reason = F.when(now.isNull(), "Not enough responses in the current period").when(before.isNull(), "Not enough responses in the previous period")
+        elif metric == "average_position":
+            reason = F.when(now.isNull(), NO_POSITION).otherwise(reason)
+        elif metric == "competitive_share":
+            reason = F.when(now.isNull(), F.when(F.col("_configured") == 0, NO_COMPETITORS).otherwise(NO_MENTIONS)).otherwise(reason)
+        return F.struct(F.lit(metric).alias("metric"), now.alias("value"), F.bround(now - before, 1).alias("change"), F.lit(metric in LESS_IS_BETTER).alias("lower_is_better"), reason.alias("reason"))
+
+    rows = pair.select("project_id", "current.sample_size", "current.sufficiency", F.inline(F.array(*[row(m) for m in PRIMARY_METRICS])))
+    return rows.select("project_id", "metric", "value", "change", "lower_is_better", "sample_size", "sufficiency", "reason")
+
+
+def latest_research_run(runs: DataFrame) -> DataFrame:
+    """The newest run of each project that brought findings: of the research agent, completed or awaiting approval.
+
+    An aggregate, not a window; of runs of one moment the one of the greatest run_id.
+    """
+    told = runs.where((F.col("agent_name") == "research") & F.col("status").isin("completed", "awaiting_approval") & (F.size(F.coalesce("findings", F.array())) > 0))
+    best = told.groupBy("project_id").agg(F.max_by(F.struct("run_id", "findings", "recommendations"), F.struct("created_at", "run_id")).alias("r"))
+    return best.select("project_id", "r.*")
+
+
+def priority_findings(runs: DataFrame) -> DataFrame:
+    """Findings of runs in their stored order, each beside the recommendation of its index, if there is one.
+
+    ``findings``: array of (key, title, impact, confidence, priority_score, evidence map); ``recommendations``: array of
+    (recommended_action, why_now, expected_area_of_impact). A finding without a key is known by run and index.
+    """
+    rows = runs.select("project_id", "run_id", "recommendations", F.posexplode("findings").alias("index", "f"))
+    r = F.get("recommendations", F.col("index"))
+    gap = F.try_element_at("f.evidence", F.lit("content_gap_id"))
+    return rows.select(
+        "project_id", "run_id", "index", F.coalesce(F.nullif("f.key", F.lit("")), F.concat_ws(":", F.col("run_id").cast("string"), F.col("index").cast("string"))).alias("finding_id"), F.coalesce("f.title", F.lit("Finding")).alias("title"),
+        "f.impact", "f.confidence", "f.priority_score", r["expected_area_of_impact"].alias("area"), r["recommended_action"].alias("recommended_action"), r["why_now"].alias("why_now"), gap.alias("content_gap_id"),
+    )
+
+
+def covered_gaps(found: DataFrame) -> DataFrame:
+    """The content gaps that findings already cover."""
+    return found.where("content_gap_id IS NOT NULL").select("project_id", "content_gap_id").distinct()
+
+
 def action_plan(actions: DataFrame) -> DataFrame:
     """Actions by risk, then sequence."""
     risk = F.when(F.col("risk") == "low", 0).when(F.col("risk") == "medium", 1).otherwise(2)
