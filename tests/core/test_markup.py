@@ -82,3 +82,9 @@ def test_link_findings(spark):
 def test_no_pages(spark):
     facts = parse_pages(spark.createDataFrame([], PAGES))
     assert site_audit.audit_findings(facts, F.col("url")).count() == 0
+
+
+def test_broken_links_are_found_by_page(spark):
+    links = spark.createDataFrame([(1, "broken"), (1, "broken"), (2, "ok"), (3, None), (4, "unknown"), (5, "broken")], "page_id bigint, status string")
+    found = [tuple(r) for r in site_audit.broken_link_findings(links).orderBy("page_id").collect()]
+    assert found == [("broken_internal_links", "high", "internal_links", 1), ("broken_internal_links", "high", "internal_links", 5)]
