@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brandlens.llm import ann, byte_bpe, chat_format, exact_topk, html_text, language_id, near_duplicates, source_mix, toxicity, url_filter
+from brandlens.llm import ann, byte_bpe, chat_format, collocations, context_tree, exact_topk, filter_audit, html_text, language_id, near_duplicates, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing_sources": source_mix.op1_mixing_sources,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": near_duplicates.op9_ngram_jaccard,
     "op10_ann": ann.op10_ann,
+    "op11_lm_scoring": context_tree.op11_lm_scoring,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE_SQL = {
     "op1_mixing_sources": source_mix.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_url_filters": url_filter.OP5_SQL,
     "op7_exact_topk": exact_topk.OP7_SQL,
     "op9_ngram_jaccard": near_duplicates.OP9_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
