@@ -101,25 +101,27 @@ def same_scores(got, want):
     got, want = sorted(got, key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
-        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+        assert a[5] == pytest.approx(b[5], rel=1e-9)
+        assert a[6] == pytest.approx(b[6], rel=1e-8, abs=1e-7)
 
 
 def scored(docs, **options):
     return [tuple(r)[:7] for r in context_tree.score_texts(docs, **options).collect()]
 
 
-@pytest.mark.parametrize(("depth", "block", "piece"), [(5, 16 << 20, 1 << 20), (2, 200, 40), (0, 64, 64)])
-def test_scores_equal_plain_context_trees(spark, depth, block, piece):
+@pytest.mark.parametrize(("depth", "block", "piece", "bucket"), [(5, 16 << 20, 1 << 20, 1 << 20), (4, 500, 100, 700), (2, 200, 40, 900), (0, 64, 64, 2000)])
+def test_scores_equal_plain_context_trees(spark, monkeypatch, depth, block, piece, bucket):
+    monkeypatch.setattr(context_tree, "GROUP_GRAMS", 100)
     rows = some_texts()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("block", F.lit("clash")).withColumn("gram", F.lit(None).cast("string")).repartition(3)
-    same_scores(scored(docs, depth=depth, block_bytes=block, piece_bytes=piece), plain_scores(rows, depth))
+    same_scores(scored(docs, depth=depth, block_bytes=block, piece_bytes=piece, bucket_bytes=bucket), plain_scores(rows, depth))
 
 
 def test_scores_of_a_very_long_text_do_not_depend_on_its_pieces(spark):
     r = random.Random(8)
     rows = [(1, " ".join(f"w{r.randrange(3000)}" for _ in range(400_000))), (2, "w1 w2 unknown"), (3, "y" * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    small, large = scored(docs, block_bytes=1 << 16, piece_bytes=1 << 14), scored(docs)
+    small, large = scored(docs, block_bytes=1 << 18, piece_bytes=1 << 14, bucket_bytes=1 << 20), scored(docs)
     same_scores(small, large)
     assert {r[0]: r[2] for r in large} == {1: 400_001, 2: 4, 3: 2}
 
