@@ -163,13 +163,11 @@ def block_grams(heads: list[bytes], bodies: list[bytes], learnt: list[bool], dep
 def block_words(bodies: list[bytes], learnt: list[bool], buckets: int) -> list[list[tuple[bytes, int]]]:
     """For each bucket the sorted distinct words of a block, and how often its learning texts have each."""
     counts: Counter[bytes] = Counter()
+    others: set[bytes] = set()
     for own, body in zip(learnt, bodies, strict=True):
-        if own:
-            counts.update(words_of(body))
-        else:
-            counts.update(dict.fromkeys(words_of(body), 0))
+        (counts if own else others).update(words_of(body))
     out: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-    for word, n in counts.items():
+    for word, n in (dict(counts) | dict.fromkeys(others - counts.keys(), 0)).items():
         out[word_bucket(word, buckets)].append((word, n))
     for part in out:
         part.sort()
