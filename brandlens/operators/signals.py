@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandlens.functions import ladders as L
+from brandlens.functions.names import page_categories
 from brandlens.operators.gaps import is_commercial
+from brandlens.operators.keywords import keyword_hits
 from brandlens.sources.projection import BRAND
 
 MIN_RESPONSES = 10
@@ -216,7 +218,7 @@ def brand_profile(entities: DataFrame, site: Column) -> DataFrame:
 def topic_facts(observations: DataFrame, cited: DataFrame, domains: DataFrame, competitors: Sequence[str]) -> DataFrame:
     """Per project and prompt: responses, brand and top competitor mentions, citations, research behind competitors."""
     g = observations.groupBy("project_id", "prompt_id", "category", "funnel_stage").agg(
-        F.count("*").alias("responses"), F.count_if("brand_mentioned").alias("brand_mentions"), F.greatest(*[F.count_if(F.array_contains("competitors", c)) for c in competitors], F.lit(0)).alias("top_competitor_mentions")
+        F.count("*").alias("responses"), F.min("completed_at").alias("first_at"), F.count_if("brand_mentioned").alias("brand_mentions"), F.greatest(*[F.count_if(F.array_contains("competitors", c)) for c in competitors], F.lit(0)).alias("top_competitor_mentions")
     )
     c = cited.join(domains.select("domain_id", "domain_type"), "domain_id").groupBy("project_id", "prompt_id").agg(
         F.count("*").alias("citations"), F.count_if("is_brand").alias("brand_cited"), F.count_if(F.col("is_competitor") & (F.col("domain_type") == "research")).alias("competitor_research")
@@ -225,7 +227,7 @@ def topic_facts(observations: DataFrame, cited: DataFrame, domains: DataFrame, c
 
 
 def content_gaps(facts: DataFrame) -> DataFrame:
-    """Gap types of every topic: ``facts`` with ``coverage`` (0 to 1), ``needed`` (a page type or null) and ``has_needed``.
+    """Gap types of every topic: ``facts`` with ``coverage`` (0 to 1), ``needed`` (as of needed_gap) and ``has_needed``.
 
     None below five responses, a competitor rate of 40 % or a lead of 20 points.
     """
@@ -243,23 +245,54 @@ def content_gaps(facts: DataFrame) -> DataFrame:
         + F.when(F.col("citations") > 0, 10.0).otherwise(3.0)
     )
     level = F.when(F.col("responses") >= 20, "high").when(F.col("responses") >= 10, "medium").otherwise("low")
-    return f.select("project_id", "prompt_id", "category", "responses", F.explode(F.array_compact(F.array(first, evidence))).alias("gap_type"), level.alias("confidence"), F.bround(score, 1).alias("score"), L.band(F.col("competitor_rate"), 60, 30).alias("visibility_band"))
+    return f.select("project_id", "prompt_id", "category", "responses", "first_at", F.explode(F.array_compact(F.array(first, evidence))).alias("gap_type"), level.alias("confidence"), F.bround(score, 1).alias("score"), L.band(F.col("competitor_rate"), 60, 30).alias("visibility_band"))
 
 
-def match_pages(topics: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages that hold at least half of a topic's keywords in url, title or description; coverage per topic.
+#: Content category of the page that each needed gap type calls for.
+NEEDED_PAGES = {"missing_comparison": "comparison", "missing_faq": "faq", "missing_use_case": "use_case", "missing_product_detail": "product"}
 
-    ``topics``: topic_id, keywords; ``pages``: page_id, url, title, meta, word_count. Keywords match as substrings, so
-    each distinct keyword is held against every page once; topics then join by keyword.
+
+def needed_gap(category: Column, prompt: Column) -> Column:
+    """The gap type whose page a prompt calls for by its category or wording, or null."""
+    return (
+        F.when(category.isin("comparison", "alternative"), "missing_comparison")
+        .when(category.isin("pricing", "product"), "missing_product_detail")
+        .when(category == "industry", "missing_use_case")
+        .when(category.isin("problem_solution", "faq") | F.ltrim(prompt).rlike(r"(?i)^(how|can|does|do|is|are|should|why|when)\b"), "missing_faq")
+        .when((category == "discovery") & F.lower(prompt).rlike(r"\bfor\s+[a-z]+"), "missing_use_case")
+    )
+
+
+def match_pages(topics: DataFrame, pages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Per topic: pages that hold at least half of its keywords in url, title or description, their coverage and categories.
+
+    ``topics``: topic_id, keywords; ``pages``: page_id, url, title, meta, word_count; both with the columns of ``scope``
+    (such as project_id) within which they match; page_id is unique. Keywords match as substrings: one automaton over all
+    distinct keywords reads each page once, and topics then join by keyword.
     """
-    wanted = topics.select("topic_id", F.explode(F.array_distinct("keywords")).alias("keyword"), F.size(F.array_distinct("keywords")).alias("n"))
-    hay = F.lower(F.concat_ws(" ", "url", "title", "meta"))
-    words = wanted.select("keyword").distinct()
-    hits = pages.select("page_id", hay.alias("hay"), "word_count").join(words, F.expr("contains(hay, keyword)")).select("page_id", "word_count", "keyword")
+    scope = list(scope)
+    wanted = topics.select(*scope, "topic_id", F.explode(F.array_distinct("keywords")).alias("keyword"), F.size(F.array_distinct("keywords")).alias("n"))
+    categories = page_categories(F.col("url"), F.col("title"))
+    facts = pages.select(*scope, "page_id", "word_count", *[F.array_contains(categories, c).alias(c) for c in NEEDED_PAGES.values()])
+    hits = keyword_hits(pages.select(F.col("page_id").alias("text_id"), F.lower(F.concat_ws(" ", "url", "title", "meta")).alias("text")), wanted).withColumnRenamed("text_id", "page_id")
+    if scope:
+        hits = hits.join(pages.select(*scope, "page_id"), "page_id")
     needed = F.when(F.col("n") > 1, F.floor((F.col("n") + 1) / 2)).otherwise(1)
-    matched = wanted.join(hits, "keyword").groupBy("topic_id", "page_id", "n", "word_count").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed)
+    matched = wanted.join(hits, [*scope, "keyword"]).groupBy(*scope, "topic_id", "page_id", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed)
     points = F.when(F.coalesce("word_count", F.lit(0)) >= 300, 1.0).otherwise(0.4)
-    return matched.groupBy("topic_id").agg(F.count("*").alias("pages"), F.least(F.lit(1.0), F.sum(points)).alias("coverage"))
+    found = matched.join(facts, [*scope, "page_id"]).groupBy(*scope, "topic_id").agg(F.count("*").alias("pages"), F.least(F.lit(1.0), F.sum(points)).alias("coverage"), *[F.bool_or(c).alias(c) for c in NEEDED_PAGES.values()])
+    has = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in NEEDED_PAGES.values()]))
+    return found.select(*scope, "topic_id", "pages", "coverage", has.alias("categories"))
+
+
+def distinct_gaps(gaps: DataFrame, topic: Column, order: Sequence[str]) -> DataFrame:
+    """One gap for each project, topic and gap type: that of the first prompt by ``order``. An aggregate with a map-side combine.
+
+    ``topic`` is the normalised label; gaps of prompts whose labels have the same words are one.
+    """
+    whole = F.struct(*[F.col(c) for c in gaps.columns])
+    first = gaps.withColumn("topic", topic).groupBy("project_id", "topic", "gap_type").agg(F.min_by(whole, F.struct(*order)).alias("g"))
+    return first.select("topic", "g.*")
 
 
 def candidate_scores(candidates: DataFrame, providers_seen: Column) -> DataFrame:

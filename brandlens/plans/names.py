@@ -195,8 +195,10 @@ def _stored(p: Projection) -> DataFrame:
 _TOPIC_SQL = f"""topics AS (SELECT min(p_partkey) AS topic_id, t FROM (SELECT p_partkey, 'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?' AS t FROM part) GROUP BY t),
 site AS (SELECT page_id, url, 'On ' || p_name AS title, CASE WHEN page_id % 4 = 0 THEN replace(lower(p_brand), '#', '-') END AS meta, (page_id * 37) % 600 AS word_count FROM pages JOIN part ON p_partkey = (page_id * 13) % 97),
 kw AS (SELECT topic_id, unnest(list_distinct({_KEYWORDS})) AS k, len(list_distinct({_KEYWORDS})) AS n FROM topics),
-hit AS (SELECT topic_id, n, page_id, word_count, count(*) AS hits FROM kw JOIN site ON contains(lower(url || ' ' || title || ' ' || coalesce(meta, '')), k) GROUP BY 1, 2, 3, 4),
-cov AS (SELECT topic_id, count(*) AS pages, least(1.0, sum(CASE WHEN word_count >= 300 THEN 1.0 ELSE 0.4 END)) AS coverage FROM hit WHERE hits >= CASE WHEN n > 1 THEN (n + 1) // 2 ELSE 1 END GROUP BY 1)"""
+hit AS (SELECT topic_id, n, page_id, count(*) AS hits FROM kw JOIN site ON contains(lower(url || ' ' || title || ' ' || coalesce(meta, '')), k) GROUP BY 1, 2, 3),
+cov AS (SELECT topic_id, count(*) AS pages, least(1.0, sum(CASE WHEN word_count >= 300 THEN 1.0 ELSE 0.4 END)) AS coverage,
+  {", ".join(f"bool_or(regexp_matches(lower(url || ' ' || title), '{pattern}')) AS has_{name}" for name, pattern in N.PAGE_CATEGORIES)}
+  FROM hit JOIN site USING (page_id) WHERE hits >= CASE WHEN n > 1 THEN (n + 1) // 2 ELSE 1 END GROUP BY 1)"""
 
 
 def _brand_word():
@@ -209,13 +211,13 @@ def prompt_texts(p: Projection) -> DataFrame:
 
 
 def topic_coverage(p: Projection) -> DataFrame:
-    """topic_id, t (prompt text), pages and coverage of every topic; no page is 0."""
+    """topic_id, t (prompt text), pages, coverage and page categories of every topic; no page is 0."""
     brand = _brand_word()
     topics = prompt_texts(p).groupBy("t").agg(F.min("prompt_id").alias("topic_id")).withColumn("keywords", N.topic_keywords(F.col("t")))
     part = p.table("part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("On "), "p_name").alias("title"), brand.alias("brand"))
     site = p.table("pages").withColumn("k", F.col("page_id") * 13 % 97).join(part, "k").select("page_id", "url", "title", F.when(F.col("page_id") % 4 == 0, F.col("brand")).alias("meta"), (F.col("page_id") * 37 % 600).alias("word_count"))
     covered = signals.match_pages(topics, site)
-    return topics.join(covered, "topic_id", "left").select("topic_id", "t", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return topics.join(covered, "topic_id", "left").select("topic_id", "t", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "categories")
 
 
 @query("content_gap_coverage", f"WITH {_TOPIC_SQL} SELECT topic_id, t AS prompt, coalesce(pages, 0) AS pages, CAST(round_even(coalesce(coverage, 0), 3) AS DOUBLE) AS coverage FROM topics LEFT JOIN cov USING (topic_id)")

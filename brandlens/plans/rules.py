@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brandlens.functions import names as N
 from brandlens.operators import competitive, operations, signals
 from brandlens.operators.visibility import with_period
 from brandlens.plans.names import _TOPIC_SQL, prompt_texts, topic_coverage
@@ -159,7 +160,7 @@ def _claim_signals(p: Projection) -> DataFrame:
 # ---- content gaps, discovery ------------------------------------------------------------------------------------
 
 _TOPICS = f"""{_windowed(3000)}, wc AS (SELECT * FROM cited WHERE cited_at >= {_NOW} - INTERVAL 3000 DAY AND cited_at < {_NOW}),
-tg AS (SELECT project_id, prompt_id, category, funnel_stage, count(DISTINCT run_id) AS responses, count(*) FILTER (WHERE entity = 'brand' AND mentioned) AS brand_mentions,
+tg AS (SELECT project_id, prompt_id, category, funnel_stage, count(DISTINCT run_id) AS responses, min(completed_at) AS first_at, count(*) FILTER (WHERE entity = 'brand' AND mentioned) AS brand_mentions,
   greatest({", ".join(f"count(*) FILTER (WHERE entity = '{c}' AND mentioned)" for c in COMPETITORS)}) AS top_competitor_mentions FROM windowed GROUP BY 1, 2, 3, 4),
 tc AS (SELECT project_id, prompt_id, count(*) AS citations, count(*) FILTER (WHERE is_brand) AS brand_cited, count(*) FILTER (WHERE is_competitor AND domain_type = 'research') AS competitor_research FROM wc JOIN domains USING (domain_id) GROUP BY 1, 2),
 tf AS (SELECT tg.*, coalesce(citations, 0) AS citations, coalesce(brand_cited, 0) AS brand_cited, coalesce(competitor_research, 0) AS competitor_research FROM tg LEFT JOIN tc USING (project_id, prompt_id))"""
@@ -174,31 +175,48 @@ def _gap_topics(p: Projection) -> DataFrame:
     return _topics(p)
 
 
-@query(
-    "content_gap_scores",
-    f"""{WITH}{_TOPICS}, {_TOPIC_SQL}, tl AS (SELECT t, min(p_partkey) AS k FROM (SELECT p_partkey, 'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?' AS t FROM part) GROUP BY t),
-tp AS (SELECT p_partkey, k AS topic_id FROM (SELECT p_partkey, 'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?' AS t FROM part) JOIN tl USING (t)),
-tr AS (SELECT tf.*, 100.0 * top_competitor_mentions / responses AS cr, 100.0 * brand_mentions / responses AS br, coalesce(cov.coverage, 0.0) AS coverage,
-    CASE category WHEN 'comparison' THEN 'missing_comparison' WHEN 'pricing' THEN 'missing_product_information' END AS needed, coalesce(cov.pages, 0) > 1 AS has_needed FROM tf LEFT JOIN tp ON p_partkey = prompt_id LEFT JOIN cov USING (topic_id)),
-tk AS (SELECT *, CASE WHEN coverage = 0 THEN coalesce(needed, 'missing_topic') WHEN coverage < 1 THEN 'weak_topic' WHEN needed IS NOT NULL AND NOT has_needed THEN needed END AS g1 FROM tr WHERE responses >= 5 AND cr >= 40 AND cr - br >= 20),
+_PROMPT_TEXT = "'Which ' || p_name || ' for ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', '-') || ' is best?'"
+_HAS_NEEDED = " ".join(f"WHEN '{gap}' THEN has_{page}" for gap, page in signals.NEEDED_PAGES.items())
+_GAPS = f"""{WITH}{_TOPICS}, {_TOPIC_SQL}, pt AS (SELECT p_partkey AS prompt_id, {_PROMPT_TEXT} AS t FROM part), tl AS (SELECT t, min(prompt_id) AS topic_id FROM pt GROUP BY t),
+tn AS (SELECT tf.*, 100.0 * top_competitor_mentions / responses AS cr, 100.0 * brand_mentions / responses AS br, coalesce(cov.coverage, 0.0) AS coverage, pt.t, cov.* EXCLUDE (topic_id, pages, coverage),
+    CASE WHEN category IN ('comparison', 'alternative') THEN 'missing_comparison' WHEN category IN ('pricing', 'product') THEN 'missing_product_detail' WHEN category = 'industry' THEN 'missing_use_case'
+      WHEN category IN ('problem_solution', 'faq') OR regexp_matches(ltrim(pt.t), '(?i)^(how|can|does|do|is|are|should|why|when)\\b') THEN 'missing_faq'
+      WHEN category = 'discovery' AND regexp_matches(lower(pt.t), '\\bfor\\s+[a-z]+') THEN 'missing_use_case' END AS needed
+  FROM tf LEFT JOIN pt USING (prompt_id) LEFT JOIN tl USING (t) LEFT JOIN cov USING (topic_id)),
+tk AS (SELECT *, CASE WHEN coverage = 0 THEN coalesce(needed, 'missing_topic') WHEN coverage < 1 THEN 'weak_topic' WHEN needed IS NOT NULL AND NOT coalesce(CASE needed {_HAS_NEEDED} END, false) THEN needed END AS g1 FROM tn WHERE responses >= 5 AND cr >= 40 AND cr - br >= 20),
 t2 AS (SELECT *, CASE WHEN competitor_research > 0 AND brand_cited = 0 AND coalesce(g1, '') <> 'missing_topic' THEN 'missing_evidence' END AS g2 FROM tk),
-tt AS (SELECT *, g1 AS gap_type FROM t2 WHERE g1 IS NOT NULL UNION ALL SELECT *, g2 FROM t2 WHERE g2 IS NOT NULL)
-SELECT project_id, prompt_id, category, responses, gap_type, CASE WHEN responses >= 20 THEN 'high' WHEN responses >= 10 THEN 'medium' ELSE 'low' END AS confidence,
+tt AS (SELECT *, g1 AS gap_type FROM t2 WHERE g1 IS NOT NULL UNION ALL SELECT *, g2 FROM t2 WHERE g2 IS NOT NULL),
+gaps AS (SELECT project_id, prompt_id, category, responses, first_at, gap_type, CASE WHEN responses >= 20 THEN 'high' WHEN responses >= 10 THEN 'medium' ELSE 'low' END AS confidence,
   round_even(30.0 * greatest(0.0, cr - br) / 100.0 + 25.0 * least(1.0, responses / 10.0) + CASE WHEN {_COMMERCIAL} THEN 20.0 ELSE 8.0 END + 15.0 * (1.0 - coverage) + CASE WHEN citations > 0 THEN 10.0 ELSE 3.0 END, 1) AS score,
-  CASE WHEN cr >= 60 THEN 'high' WHEN cr >= 30 THEN 'medium' ELSE 'low' END AS visibility_band FROM tt""",
-)
-def _gap_scores(p: Projection) -> DataFrame:
-    covered = prompt_texts(p).join(topic_coverage(p), "t").select("prompt_id", "coverage", "pages")
-    facts = _topics(p).join(covered, "prompt_id", "left").withColumns(
-        {
-            "coverage": F.coalesce("coverage", F.lit(0.0)),
-            "needed": F.when(F.col("category") == "comparison", "missing_comparison").when(F.col("category") == "pricing", "missing_product_information"),
-            "has_needed": F.coalesce("pages", F.lit(0)) > 1,
-        }
-    )
+  CASE WHEN cr >= 60 THEN 'high' WHEN cr >= 30 THEN 'medium' ELSE 'low' END AS visibility_band, t FROM tt)"""
+
+
+def _gaps_with_text(p: Projection) -> DataFrame:
+    covered = prompt_texts(p).join(topic_coverage(p), "t").select("prompt_id", "t", "coverage", "categories")
+    facts = _topics(p).join(covered, "prompt_id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("needed", signals.needed_gap(F.col("category"), F.col("t")))
+    page = F.create_map(*[F.lit(x) for pair in signals.NEEDED_PAGES.items() for x in pair])
+    facts = facts.withColumn("has_needed", F.coalesce(F.array_contains("categories", F.try_element_at(page, F.col("needed"))), F.lit(False)))
     return signals.content_gaps(facts)
 
 
+@query("content_gap_scores", f"{_GAPS} SELECT * EXCLUDE (t, first_at) FROM gaps")
+def _gap_scores(p: Projection) -> DataFrame:
+    return _gaps_with_text(p).drop("first_at")
+
+
+@query(
+    "content_gaps_by_topic",
+    f"""{_GAPS}, words AS (SELECT *, list_filter(regexp_extract_all(lower(t), '[a-z0-9][a-z0-9''-]+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in [*N.TOPIC_STOP_WORDS, *N.TOPIC_GENERIC_WORDS])})) AS k FROM gaps),
+named AS (SELECT * EXCLUDE (k), substr(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(substr(CASE WHEN len(k) = 0 THEN t ELSE array_to_string(k, ' ') END, 1, 300)), '[a-z0-9][a-z0-9''-]+'))), ' '), 1, 300) AS topic FROM words)
+SELECT topic, project_id, prompt_id, category, responses, gap_type, confidence, score, visibility_band
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id, topic, gap_type ORDER BY first_at, prompt_id) AS n FROM named) WHERE n = 1""",
+)
+def _gaps_by_topic(p: Projection) -> DataFrame:
+    gaps = _gaps_with_text(p).join(prompt_texts(p), "prompt_id")
+    found = signals.distinct_gaps(gaps, N.normalized_topic(N.topic_label(F.col("t"))), ["first_at", "prompt_id"])
+    return found.drop("first_at", "t")
+
+
 @query(
     "discovery_scores",
     f"""{WITH}{_CITED}, cd AS (SELECT project_id, 'part' || (page_id % 200) AS name, count(DISTINCT run_id) AS responses, count(DISTINCT CASE WHEN is_competitor THEN run_id END) AS co_occurring, count(DISTINCT CASE WHEN {_COMMERCIAL} THEN prompt_id END) AS commercial_prompts,

@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from brandlens.functions import names as N
 from brandlens.operators import entities, gaps, operations, signals, site_audit, texts
+from brandlens.operators.keywords import keyword_hits
 from brandlens.sources.pages import parse_pages
 
 
@@ -51,6 +53,39 @@ def test_topics_match_pages_by_half_their_keywords(spark):
     assert {r.topic_id: (r.pages, r.coverage) for r in signals.match_pages(topics, pages).collect()} == {1: (1, 1.0), 2: (1, 0.4), 3: (1, 0.4)}
 
 
+def test_topics_match_pages_of_their_project_and_know_their_categories(spark):
+    topics = spark.createDataFrame([("p", 1, ["invoice"]), ("q", 2, ["invoice"]), ("q", 3, ["gone"])], "project_id string, topic_id int, keywords array<string>")
+    pages = spark.createDataFrame([("p", 1, "https://x/vs/invoices", "Help", None, 50), ("q", 2, "https://y/invoice-guide", None, None, 900)], "project_id string, page_id int, url string, title string, meta string, word_count int")
+    got = {(r.project_id, r.topic_id): (r.pages, r.coverage, r.categories) for r in signals.match_pages(topics, pages, ["project_id"]).collect()}
+    assert got == {("p", 1): (1, 0.4, ["comparison", "faq"]), ("q", 2): (1, 1.0, [])}
+
+
+def test_keyword_hits_equal_brute_force_with_one_and_with_many_automata(spark):
+    import random
+
+    r = random.Random(6)
+    words = ["".join(r.choices("abé日 '", k=r.randrange(1, 5))) for _ in range(60)] + ["", None, "a", "aa", "aaa"]
+    rows = [(i, "".join(r.choices("abé日 '", k=r.randrange(60)))) for i in range(80)] + [(80, None), (81, ""), (82, "a" * 50_000), (None, "aa")]
+    frames = spark.createDataFrame(rows, "text_id int, text string").withColumn("keyword", F.lit("clash")), spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = sorted(((i, w) for i, t in rows for w in {w for w in words if w} if w in (t or "")), key=str)
+    for most, some in ((1000, 1000), (7, 9)):
+        assert sorted(map(tuple, keyword_hits(*frames, automaton_words=most, slice_texts=some).collect()), key=str) == want
+    assert keyword_hits(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_gaps_of_one_topic_are_one(spark):
+    rows = [("p", 7, "2024-01-02", "weak_topic", "best crm invoice"), ("p", 3, "2024-01-02", "weak_topic", "invoice, CRM?"), ("p", 1, "2024-01-05", "weak_topic", "crm invoice crm"), ("p", 1, "2024-01-05", "missing_faq", "crm invoice crm"), ("q", 9, "2024-01-01", "weak_topic", "crm invoice"), ("p", 4, "2024-01-01", "weak_topic", "the best")]
+    gaps = spark.createDataFrame(rows, "project_id string, prompt_id int, first_at string, gap_type string, t string")
+    got = signals.distinct_gaps(gaps, N.normalized_topic(N.topic_label(F.col("t"))), ["first_at", "prompt_id"])
+    assert sorted((r.project_id, r.topic, r.gap_type, r.prompt_id) for r in got.collect()) == [("p", "best the", "weak_topic", 4), ("p", "crm invoice", "missing_faq", 1), ("p", "crm invoice", "weak_topic", 3), ("q", "crm invoice", "weak_topic", 9)]
+
+
+def test_needed_gap_follows_category_then_wording(spark):
+    rows = [("alternative", "x"), ("product", "how to?"), ("industry", "x"), ("faq", "x"), ("recommendation", " How do I?"), ("recommendation", "Howard is"), ("discovery", "apps for teams"), ("recommendation", "apps for teams")]
+    got = spark.createDataFrame(rows, "c string, t string").select(signals.needed_gap(F.col("c"), F.col("t")).alias("g")).collect()
+    assert [r.g for r in got] == ["missing_comparison", "missing_product_detail", "missing_use_case", "missing_faq", "missing_faq", None, "missing_use_case", None]
+
+
 def test_answer_structure_latches_sources_and_counts_items(spark):
     text = "# Tools\n1. Acme\n- Globex\nplain\n## Sources\n1. https://g2.com\n# More\n* Initech"
     rows = texts.answer_lines(spark.createDataFrame([("r", text), ("n", None)], "response_id string, text string")).orderBy("line_no").collect()
