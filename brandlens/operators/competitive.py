@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brandlens.functions import ladders as L
 from brandlens.functions.names import dominant_sentiment
 from brandlens.operators.visibility import compare, with_period
-from brandlens.sources.projection import BRAND
+from brandlens.sources.projection import BRAND, is_recommended
 
 # Weights of the components, in points of 100, and thresholds.
 WEIGHTS = {"mention_share": 30.0, "recommendation_share": 25.0, "position_score": 15.0, "citation_share": 15.0, "sentiment_score": 15.0}
@@ -17,9 +17,28 @@ RANKING_MIN_SAMPLE, MATERIAL, WIN_MARGIN = 20, 10.0, 5.0
 
 def entity_metrics(views: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of every entity in each group of ``keys``; an entity never mentioned scores 0, not null."""
+    return _rated(views.groupBy(*keys, "entity").agg(F.count("*").alias("sample_size"), *_counts()), keys)
+
+
+def configured_entity_metrics(responses: DataFrame, mentions: DataFrame, configured: DataFrame, keys: list[str]) -> DataFrame:
+    """entity_metrics of the brand and of the competitors that each project has configured (project_id, entity).
+
+    ``responses`` has run_id, prompt_id and ``keys`` (project_id among them), ``mentions`` run_id, entity, position,
+    strength, sentiment, citations. Only mentions are joined and counted; responses are counted by group and meet the
+    table of entities after, so no response is unfolded by entity.
+    """
+    entities = configured.select("project_id", "entity").unionByName(responses.select("project_id", F.lit(BRAND).alias("entity"))).distinct()
+    said = mentions.join(responses.select("run_id", "prompt_id", *keys), "run_id").join(entities, ["project_id", "entity"], "left_semi")
+    said = said.withColumns({"mentioned": F.lit(True), "recommended": is_recommended()})
+    counted = said.groupBy(*keys, "entity").agg(*_counts())
+    sizes = responses.groupBy(*keys).agg(F.count("*").alias("sample_size")).join(entities, "project_id")
+    whole = sizes.join(counted, [*keys, "entity"], "left").na.fill(0, ["mentions", "recommendations", "cited_responses", "citations", "positioned_mentions", "prompts_appearing"])
+    return _rated(whole, keys)
+
+
+def _counts() -> list[Column]:
     m = F.col("mentioned")
-    g = views.groupBy(*keys, "entity").agg(
-        F.count("*").alias("sample_size"),
+    return [
         F.count_if(m).alias("mentions"),
         F.count_if("recommended").alias("recommendations"),
         F.count_if(F.col("citations") > 0).alias("cited_responses"),
@@ -29,7 +48,10 @@ def entity_metrics(views: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(L.position_points(F.col("position"))).alias("raw_position_score"),
         F.avg(F.when(m, L.sentiment_points(F.col("sentiment")))).alias("raw_sentiment"),
         F.countDistinct(F.when(m, F.col("prompt_id"))).alias("prompts_appearing"),
-    )
+    ]
+
+
+def _rated(g: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("sample_size")
     raw = {
         "mention_share": L.share(F.col("mentions"), n),

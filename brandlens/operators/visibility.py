@@ -18,11 +18,31 @@ def competitive_score(brand: Column, top_rival: Column) -> Column:
     return F.when((brand == 0) & (F.coalesce(top_rival, F.lit(0)) == 0), F.lit(None).cast("double")).when(brand >= F.coalesce(top_rival, F.lit(0)), F.lit(100.0)).otherwise(F.lit(100.0) * brand / top_rival)
 
 
-def metric_block(observations: DataFrame, keys: list[str], competitors: tuple[str, ...] = COMPETITORS) -> DataFrame:
+def rival_mentions(observations: DataFrame, configured: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, entity, mentions: responses that mention a competitor which their project has configured.
+
+    ``configured`` is project_id, entity; ``keys`` has project_id. Mentions are counted by entity before they meet the table.
+    """
+    counts = observations.select(*keys, F.explode(F.array_distinct("competitors")).alias("entity")).groupBy(*keys, "entity").agg(F.count("*").alias("mentions"))
+    return counts.join(configured, ["project_id", "entity"], "left_semi")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left with right's other columns, where all keys are equal; null equals null."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_{k}" for k in keys])
+
+
+def metric_block(observations: DataFrame, keys: list[str], competitors: tuple[str, ...] = COMPETITORS, configured: DataFrame | None = None) -> DataFrame:
     """One row of visibility metrics for each group of ``keys``, in a single aggregation.
 
-    The configured competitors are few and known, so each is a conditional count of the same pass.
+    Few and known ``competitors`` of all projects are conditional counts of the same pass. With ``configured``
+    (project_id, entity) each project is held against its own rivals instead, and one without any has no competitive score;
+    ``keys`` must then have project_id.
     """
+    if configured is not None:
+        competitors = ()
     mentioned = F.col("brand_mentioned")
     counts = [
         F.count("*").alias("sample_size"),
@@ -37,9 +57,14 @@ def metric_block(observations: DataFrame, keys: list[str], competitors: tuple[st
         F.min("completed_at").alias("first_at"),
         F.max("completed_at").alias("last_at"),
         *[F.count_if(mentioned & (F.col("brand_sentiment") == s)).alias(f"n_{s}") for s in L.SENTIMENTS],
-        F.greatest(*[F.count_if(F.array_contains("competitors", c)) for c in competitors], F.lit(0)).alias("top_rival"),
+        F.greatest(*[F.count_if(F.array_contains("competitors", c)) for c in competitors], F.lit(0), F.lit(0)).alias("top_rival"),
     ]
     g = observations.groupBy(*keys).agg(*counts)
+    rivalry = competitive_score(F.col("n_mentioned"), F.col("top_rival"))
+    if configured is not None:
+        top = rival_mentions(observations, configured, keys).groupBy(*keys).agg(F.max("mentions").alias("top_rival"))
+        g = _same(g.drop("top_rival"), top, keys).join(configured.select("project_id", F.lit(True).alias("has_rivals")).distinct(), "project_id", "left")
+        rivalry = F.when(F.col("has_rivals"), rivalry)
     n = F.col("sample_size")
     raw = {
         "mention_rate": L.share(F.col("n_mentioned"), n),
@@ -47,7 +72,7 @@ def metric_block(observations: DataFrame, keys: list[str], competitors: tuple[st
         "position_score": F.col("raw_position_score"),
         "citation_rate": L.share(F.col("n_cited"), n),
         "sentiment_score": F.col("raw_sentiment_score"),
-        "competitive_score": competitive_score(F.col("n_mentioned"), F.col("top_rival")),
+        "competitive_score": rivalry,
     }
     score = L.available_mean({k: (v, WEIGHTS[k]) for k, v in raw.items()})
     return g.select(
@@ -111,3 +136,15 @@ def competitor_table(observations: DataFrame, competitors: tuple[str, ...] = COM
     return g.select("project_id", "n", total.alias("total"), rows.alias("r")).select(
         "project_id", "r.entity", "r.mentions", L.round_for(F.col("n"), L.share(F.col("r.mentions"), F.col("n"))).alias("mention_rate"), L.round_for(F.col("n"), L.share(F.col("r.mentions"), F.nullif("total", F.lit(0)))).alias("share_of_voice")
     )
+
+
+def configured_table(observations: DataFrame, configured: DataFrame) -> DataFrame:
+    """competitor_table with each project's own rivals: mentions, mention rate and share of voice of the brand and of them."""
+    totals = observations.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if("brand_mentioned").alias("brand"))
+    rivals = totals.select("project_id").join(configured.distinct(), "project_id").join(rival_mentions(observations, configured, ["project_id"]), ["project_id", "entity"], "left")
+    rows = rivals.select("project_id", "entity", F.coalesce("mentions", F.lit(0)).alias("mentions")).unionByName(totals.select("project_id", F.lit("brand").alias("entity"), F.col("brand").alias("mentions")))
+    voices = rows.groupBy("project_id").agg(F.sum("mentions").alias("total"))
+    n = F.col("n")
+    return rows.join(voices, "project_id").join(totals.select("project_id", "n"), "project_id").select(
+        "project_id", "entity", "mentions", L.round_for(n, L.share(F.col("mentions"), n)).alias("mention_rate"), L.round_for(n, L.share(F.col("mentions"), F.nullif("total", F.lit(0)))).alias("share_of_voice")
+    )

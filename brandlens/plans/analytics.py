@@ -171,6 +171,52 @@ def _entities(p: Projection) -> DataFrame:
     return competitive.entity_metrics(_seen(p, LONG), ["project_id"])
 
 
+# ---- each project's own competitors --------------------------------------------------------------------------------
+
+_OWN_VIEWS = f""", own_views AS (SELECT e.*, n.entity, s.position, s.strength_no, s.sentiment, s.run_id IS NOT NULL AS mentioned, coalesce(s.citations, 0) AS citations,
+    s.run_id IS NOT NULL AND s.strength_no >= 3 AND s.sentiment <> 'negative' AS recommended
+  FROM eligible e JOIN (SELECT DISTINCT project_id, 'brand' AS entity FROM prompts UNION ALL SELECT * FROM configured) n USING (project_id) LEFT JOIN said s ON s.run_id = e.run_id AND s.entity = n.entity),
+windowed AS (SELECT * FROM own_views WHERE completed_at >= {_NOW} - INTERVAL {LONG} DAY AND completed_at < {_NOW})"""
+
+
+def _own_metrics(keys: str) -> str:
+    return _metric_ctes(keys).replace("CASE WHEN m = 0 AND top_rival = 0", "CASE WHEN project_id NOT IN (SELECT project_id FROM configured) OR (m = 0 AND top_rival = 0)")
+
+
+@query("visibility_own_rivals", f"{WITH}{_OWN_VIEWS}{_own_metrics('project_id')} SELECT * FROM metrics")
+def _own_rivals(p: Projection) -> DataFrame:
+    return visibility.metric_block(_observed(p, LONG), ["project_id"], configured=p.configured)
+
+
+@query("visibility_own_rivals_by_provider", f"{WITH}{_OWN_VIEWS}{_own_metrics('project_id, provider')} SELECT * FROM metrics")
+def _own_rivals_provider(p: Projection) -> DataFrame:
+    return visibility.metric_block(_observed(p, LONG), ["project_id", "provider"], configured=p.configured)
+
+
+@query(
+    "share_of_voice_own_rivals",
+    f"""{WITH}{_OWN_VIEWS}, g AS (SELECT project_id, entity, count(DISTINCT run_id) AS n, count(*) FILTER (WHERE mentioned) AS mentions FROM windowed GROUP BY 1, 2),
+t AS (SELECT *, sum(mentions) OVER (PARTITION BY project_id) AS total FROM g)
+SELECT project_id, entity, mentions, {_round_for("n", "100.0 * mentions / n")} AS mention_rate, {_round_for("n", "100.0 * mentions / nullif(total, 0)")} AS share_of_voice FROM t""",
+)
+def _own_voice(p: Projection) -> DataFrame:
+    return visibility.configured_table(_observed(p, LONG), p.configured)
+
+
+def _own_entities(p: Projection, keys: list[str]) -> DataFrame:
+    return competitive.configured_entity_metrics(p.eligible_between(p.ago(LONG), p.now()), p.entity_mentions, p.configured, keys)
+
+
+@query("competitive_own_rivals", f"{WITH}{_OWN_VIEWS}{_entity_ctes('project_id')} SELECT * FROM em")
+def _own_competitive(p: Projection) -> DataFrame:
+    return _own_entities(p, ["project_id"])
+
+
+@query("advantages_own_rivals", f"{WITH}{_OWN_VIEWS}{_entity_ctes('project_id, provider')}{_advantage_sql('project_id, provider')} SELECT * FROM adv")
+def _own_advantages(p: Projection) -> DataFrame:
+    return competitive.advantages(_own_entities(p, ["project_id", "provider"]), ["project_id", "provider"])
+
+
 @query("competitive_by_provider", f"{WITH}{_windowed(LONG)}{_entity_ctes('project_id, provider')} SELECT * FROM em")
 def _entities_provider(p: Projection) -> DataFrame:
     return competitive.entity_metrics(_seen(p, LONG), ["project_id", "provider"])

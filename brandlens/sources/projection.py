@@ -130,14 +130,16 @@ class Projection:
         )
 
     @cached_property
-    def entity_views(self) -> DataFrame:
-        """Response by entity (the brand and every configured competitor): what the response says about it.
+    def configured(self) -> DataFrame:
+        """project_id, entity: the competitors that each project has configured; some projects have none."""
+        nation = F.col("n_nationkey")
+        return self.table("nation").where((nation % 3 != 0) & (F.col("n_regionkey") != 4)).select(F.col("n_regionkey").alias("project_id"), F.concat(F.lit("comp"), (nation % 7).cast("string")).alias("entity")).distinct()
 
-        What a response says is gathered by entity before it joins, and the entities are unfolded after: one shuffle of
-        mentions and one of responses, both by response.
-        """
+    @cached_property
+    def entity_mentions(self) -> DataFrame:
+        """What each response says about each entity that it mentions. Gathered before it joins: one shuffle by response."""
         entity = F.filter(F.array(F.when(F.col("is_brand"), F.lit(BRAND)), F.when(F.col("is_competitor"), F.col("competitor"))), lambda x: x.isNotNull())
-        said = (
+        return (
             self.citations.where("is_brand OR is_competitor")
             .repartition("run_id")
             .select("run_id", F.explode(entity).alias("entity"), "position", "strength", "sentiment")
@@ -149,20 +151,28 @@ class Projection:
                 F.count("*").alias("citations"),
             )
         )
+
+    @cached_property
+    def entity_views(self) -> DataFrame:
+        """Response by entity (the brand and every configured competitor): what the response says about it.
+
+        What a response says is gathered by entity before it joins, and the entities are unfolded after: one shuffle of
+        mentions and one of responses, both by response.
+        """
         facts = F.struct("entity", F.struct("position", "strength", "sentiment", "citations").alias("v"))
-        per_run = said.groupBy("run_id").agg(F.map_from_entries(F.collect_list(facts)).alias("said"))
+        per_run = self.entity_mentions.groupBy("run_id").agg(F.map_from_entries(F.collect_list(facts)).alias("said"))
         every = self.eligible.join(per_run, "run_id", "left").withColumn("entity", F.explode(F.array(*[F.lit(e) for e in (BRAND, *COMPETITORS)])))
         v = F.try_element_at("said", F.col("entity"))
-        mentioned = F.col("citations").isNotNull()
         return every.select("*", *[v[c].alias(c) for c in ("position", "strength", "sentiment", "citations")]).drop("said").withColumns(
-            {
-                "mentioned": mentioned,
-                "recommended": mentioned & F.coalesce(F.col("strength").isin("moderate", "strong") & (F.col("sentiment") != "negative"), F.lit(False)),
-                "citations": F.coalesce("citations", F.lit(0)),
-            }
+            {"mentioned": F.col("citations").isNotNull(), "recommended": is_recommended(), "citations": F.coalesce("citations", F.lit(0))}
         )
 
 
+def is_recommended() -> Column:
+    """Of a response's view of an entity: mentioned at least moderately and not negatively."""
+    return F.col("citations").isNotNull() & F.coalesce(F.col("strength").isin("moderate", "strong") & (F.col("sentiment") != "negative"), F.lit(False))
+
+
 assert set(STRENGTH_BY) == set(STRENGTHS)
 
 #: The same tables as DuckDB common table expressions.
@@ -190,6 +200,7 @@ domains AS (
     CASE s_nationkey % 13 WHEN 0 THEN 'company' WHEN 1 THEN 'media' WHEN 2 THEN 'review' WHEN 3 THEN 'community' WHEN 4 THEN 'directory' WHEN 5 THEN 'government' WHEN 6 THEN 'education' WHEN 7 THEN 'social' WHEN 8 THEN 'forum' WHEN 9 THEN 'blog' WHEN 10 THEN 'research' WHEN 11 THEN 'other' ELSE 'unknown' END AS domain_type,
     s_suppkey % 10 = 0 AS is_authority
   FROM supplier),
+configured AS (SELECT DISTINCT n_regionkey AS project_id, 'comp' || (n_nationkey % 7) AS entity FROM nation WHERE n_nationkey % 3 <> 0 AND n_regionkey <> 4),
 cited AS (SELECT c.*, e.prompt_id, e.project_id, e.category, e.funnel_stage, e.provider, e.completed_at AS cited_at FROM citations c JOIN eligible e USING (run_id)),
 ranked AS (SELECT *, CASE strength WHEN 'unknown' THEN 0 WHEN 'none' THEN 1 WHEN 'weak' THEN 2 WHEN 'moderate' THEN 3 ELSE 4 END AS strength_no FROM citations),
 said AS (
