@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandlens.operators import entities, site_audit
+from brandlens.operators import entities, entity_graph, site_audit
 from brandlens.plans.analytics import query
 from brandlens.sources.pages import parse_pages
 from brandlens.sources.projection import Projection
@@ -249,6 +249,52 @@ def _issues(p: Projection) -> DataFrame:
     return entities.validate_blocks(blocks).groupBy("code", "severity").agg(F.count("*").alias("issues"))
 
 
+# ---- references between entities -----------------------------------------------------------------------------------
+
+#: Every page names its publisher by an id; the host's brand stands for its organization, which some pages define.
+_LINKED_SQL = """p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS h FROM pages),
+org AS (SELECT h, min(page_id) AS org_page FROM p WHERE page_id % 3 = 0 GROUP BY h), brand AS (SELECT h, min(page_id) AS brand_page FROM p GROUP BY h),
+l AS (SELECT p.*, org_page, brand_page, org_page IS NOT NULL AS has_org FROM p LEFT JOIN org USING (h) LEFT JOIN brand USING (h))"""
+
+
+def _linked_blocks(p: Projection) -> DataFrame:
+    host = F.regexp_extract("url", r"://([^/?#]+)", 1)
+    at = lambda tail: F.concat(F.lit("https://"), host, F.lit(tail))
+    ref = lambda tail: F.struct(at(tail).alias("@id"))
+    page = F.to_json(F.struct(F.lit("WebPage").alias("@type"), F.lit("#page").alias("@id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), ref("/#brand").alias("publisher"), F.struct(F.lit("Person").alias("@type"), F.lit("Ann").alias("name")).alias("author")))
+    brand = F.to_json(F.struct(F.lit("Brand").alias("@type"), at("/#brand").alias("@id"), ref("/#org").alias("sameAs")))
+    org = F.to_json(F.struct(F.lit("Organization").alias("@type"), at("/#org").alias("@id"), host.alias("name")))
+    every = F.array_join(F.array_compact(F.array(page, brand, F.when(F.col("page_id") % 3 == 0, org))), ",")
+    return p.table("pages").select(host.alias("site"), "page_id", "url", F.lit(0).alias("block"), F.concat(F.lit('{"@context":"https://schema.org","@graph":['), every, F.lit("]}")).alias("payload"))
+
+
+@query(
+    "entity_references",
+    f"""WITH {_LINKED_SQL}
+SELECT page_id, 'publisher' AS property, 'https://' || h || CASE WHEN has_org THEN '/#org' ELSE '/#brand' END AS canonical_id, CASE WHEN has_org THEN org_page ELSE brand_page END AS target_page_id,
+  CASE WHEN has_org THEN '@graph[2]' ELSE '@graph[1]' END AS target_path, CASE WHEN has_org THEN 'Organization' ELSE 'Brand' END AS target_type, CASE WHEN has_org THEN h END AS target_name FROM l
+UNION ALL SELECT page_id, 'author', NULL, page_id, '@graph[0].author', 'Person', 'Ann' FROM l
+UNION ALL SELECT page_id, 'sameAs', 'https://' || h || '/#org', org_page, '@graph[2]', 'Organization', h FROM l WHERE has_org""",
+)
+def _references(p: Projection) -> DataFrame:
+    return entity_graph.resolve_references(entity_graph.entity_nodes(_linked_blocks(p))).select("page_id", "property", "canonical_id", "target_page_id", "target_path", "target_type", "target_name")
+
+
+@query(
+    "page_entities",
+    f"""WITH {_LINKED_SQL} SELECT h AS site, page_id, url, CAST(CASE WHEN page_id % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS entities, CAST(CASE WHEN has_org THEN 3 ELSE 2 END AS BIGINT) AS resolved,
+  CASE WHEN has_org THEN h END AS publisher FROM l""",
+)
+def _page_entities(p: Projection) -> DataFrame:
+    """Entities and references attached to their pages."""
+    blocks = _linked_blocks(p)
+    nodes = entity_graph.entity_nodes(blocks)
+    rows = entity_graph.attach_to_pages(blocks, entities.extract_entities(blocks), entity_graph.resolve_references(nodes))
+    refs = F.flatten(F.transform("entities", lambda e: e["refs"]))
+    publisher = F.get(F.filter(refs, lambda r: r["property"] == "publisher"), F.lit(0))["target_name"]
+    return rows.select("site", "page_id", "url", F.size("entities").cast("bigint").alias("entities"), F.size(refs).cast("bigint").alias("resolved"), publisher.alias("publisher"))
+
+
 @query("site_readiness", None)
 def _site_readiness(p: Projection) -> DataFrame:
     from brandlens.operators import readiness
