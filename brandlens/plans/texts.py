@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brandlens.functions import text as T
 from brandlens.functions import urls as U
+from brandlens.operators import answers as texts_answers
 from brandlens.operators import texts
 from brandlens.plans.analytics import query
 from brandlens.sources import registry as R
@@ -175,3 +176,50 @@ def _answer_claims(p: Projection) -> DataFrame:
     rows = p.table("conversations").where("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), F.expr("text || '\nAcme offers a payroll add-on.\nGlobex is free.'").alias("text"))
     names = p.spark.createDataFrame([("Acme",), ("Globex",)], "name string")
     return texts.claims(rows, F.broadcast(names)).groupBy("subject", "predicate", "object").agg(F.count("*").alias("occurrences"))
+
+
+# ---- structure of varied answers -----------------------------------------------------------------------------------
+
+#: The sentences of every answer become lines; each begins as its place, turn and conversation say.
+_STARTS = ("# ", "1. ", "- ", "  ", "", "2) **", "**Sources:**\n", "[3] ", "## References\n", "\t", "* see https://g2.com/x ", "plain ")
+_VARIED = f"array_join(transform(split(coalesce(text, ''), '[.] '), (s, i) -> concat(array({', '.join(repr(x) for x in _STARTS)})[CAST((i * 7 + turn + conv_id) % {len(_STARTS)} AS INT)], s)), '\n')"
+
+
+def _varied(p: Projection) -> DataFrame:
+    rows = p.table("conversations").where("role = 'assistant'")
+    return rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), F.expr(_VARIED).alias("text"))
+
+
+@query(
+    "answer_blocks",
+    f"""WITH RECURSIVE a AS (SELECT conv_id || ':' || turn AS id, array_to_string(list_transform(string_split(coalesce(text, ''), '. '), lambda s, i: ([{', '.join("'" + x.replace(chr(10), "' || chr(10) || '").replace(chr(9), "' || chr(9) || '") + "'" for x in _STARTS)}])[CAST(((i - 1) * 7 + turn + conv_id) % {len(_STARTS)} AS INTEGER) + 1] || s), chr(10)) AS text
+  FROM conversations WHERE role = 'assistant'),
+r AS (SELECT id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM a),
+u AS (SELECT id, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS i FROM r),
+c AS (SELECT *, trim(raw, ' ' || chr(9)) AS t, rtrim(raw, ' ' || chr(9)) AS line FROM u),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '{texts_answers.SOURCE_HEADER}') THEN 'header' WHEN regexp_matches(line, '{texts_answers.HEADING}') THEN 'heading'
+    WHEN regexp_matches(line, '{texts_answers.ORDERED}') THEN 'ordered' WHEN regexp_matches(line, '{texts_answers.BULLET}') THEN 'bullet' ELSE 'other' END AS kind FROM c),
+s AS (SELECT *, CASE kind WHEN 'heading' THEN regexp_extract(line, '{texts_answers.HEADING}', 1) WHEN 'ordered' THEN regexp_extract(line, '{texts_answers.ORDERED}', 2) WHEN 'bullet' THEN regexp_extract(line, '{texts_answers.BULLET}', 1) ELSE t END AS said,
+    CASE WHEN regexp_matches(line, '{texts_answers.FOOTNOTE}') THEN regexp_extract(line, '{texts_answers.FOOTNOTE}', 2) ELSE t END AS entry FROM k),
+w AS (
+  SELECT id, CAST(0 AS BIGINT) AS i, false AS sources, 0 AS items, 0 AS entries, CAST('' AS VARCHAR) AS made, CAST('' AS VARCHAR) AS last FROM r
+  UNION ALL
+  SELECT s.id, s.i, CASE WHEN kind = 'header' THEN true WHEN kind = 'heading' THEN regexp_matches(said, '{texts_answers.SOURCE_HEADER}') ELSE sources END,
+    items + CASE WHEN NOT sources AND kind IN ('ordered', 'bullet') THEN 1 ELSE 0 END, entries + CASE WHEN sources AND kind NOT IN ('header', 'heading') THEN 1 ELSE 0 END,
+    CASE WHEN kind = 'header' THEN 'none' WHEN kind = 'heading' THEN 'heading' WHEN sources THEN 'source' WHEN kind IN ('ordered', 'bullet') THEN 'item' WHEN last = 'item' AND regexp_matches(raw, '^[ \t]') THEN 'more' ELSE 'paragraph' END,
+    CASE WHEN kind = 'header' THEN last WHEN kind = 'heading' THEN 'heading' WHEN sources THEN 'source' WHEN kind IN ('ordered', 'bullet') OR (last = 'item' AND regexp_matches(raw, '^[ \t]')) THEN 'item' ELSE 'paragraph' END
+  FROM w JOIN s ON s.id = w.id AND s.i = w.i + 1),
+b AS (SELECT s.*, w.items, w.entries, w.made, sum(CASE WHEN w.made IN ('none', 'more') THEN 0 ELSE 1 END) OVER (PARTITION BY s.id ORDER BY s.i) AS block_no,
+    CASE WHEN w.made = 'source' THEN CASE WHEN regexp_matches(entry, '{texts_answers.BULLET}') THEN regexp_extract(entry, '{texts_answers.BULLET}', 1) ELSE entry END ELSE trim(regexp_replace(said, '[*_`]+', '', 'g'), ' ' || chr(9)) END AS text FROM s JOIN w USING (id, i) WHERE w.made <> 'none')
+SELECT id AS response_id, CAST(block_no AS INTEGER) AS block_no, min(made) FILTER (WHERE made <> 'more') AS kind, CAST(max(CASE made WHEN 'item' THEN items WHEN 'source' THEN entries END) AS INTEGER) AS index,
+  bool_or(made = 'item' AND kind = 'ordered') AS ordered, string_agg(text, ' ' ORDER BY i) AS text FROM b GROUP BY id, block_no""",
+)
+def _answer_blocks(p: Projection) -> DataFrame:
+    rows = texts_answers.answer_blocks(_varied(p)).select("response_id", F.posexplode("blocks").alias("n", "b"))
+    return rows.select("response_id", (F.col("n") + 1).alias("block_no"), "b.kind", "b.index", "b.ordered", "b.text")
+
+
+@query("answer_listed_citations", None)
+def _listed_citations(p: Projection) -> DataFrame:
+    """Citations of the varied answers: patterns look behind, which SQL can't; tested on fixtures."""
+    return texts_answers.listed_citations(_varied(p))
