@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandlens.operators import crawl, views, visibility
+from brandlens.operators import crawl, crawl_order, views, visibility
 from brandlens.plans.analytics import LONG, WITH, _metric_ctes, _observed, _windowed, query
 from brandlens.shared_files import use_shared_checkpoints
 from brandlens.sources.projection import Projection
@@ -120,3 +120,44 @@ def _plan(p: Projection) -> DataFrame:
     flag = F.col("l_returnflag")
     actions = p.table("lineitem").select(F.col("l_orderkey").alias("workflow_id"), F.col("l_linenumber").alias("sequence"), F.when(flag == "A", "low").when(flag == "N", "medium").otherwise("high").alias("risk"))
     return views.action_plan(actions).select("workflow_id", "sequence", "rank")
+
+
+def _site_url(key: Column) -> Column:
+    return F.concat(F.lit("https://s"), (key % 5).cast("string"), F.lit(".example/c"), key.cast("string"))
+
+
+@query("crawl_best_first", None)
+def _best_first(p: Projection) -> DataFrame:
+    """Five crawls with budgets over links between customers; the order equals a heap's, which SQL has none of: tested against one."""
+    c, key = p.table("customer"), F.col("c_custkey")
+    n = c.count()
+    targets = F.array(
+        *[F.struct(_site_url(key % 5 + 5 * i).alias("target"), F.lit(True).alias("in_navigation")) for i in range(1, 4)],
+        F.struct(_site_url((key * 2 + F.col("c_nationkey")) % n).alias("target"), F.lit(False).alias("in_navigation")),
+        F.struct(F.concat(_site_url(key + 5), F.when(key % 7 == 0, ".pdf").otherwise("")).alias("target"), F.lit(False).alias("in_navigation")),
+    )
+    links = c.select(_site_url(key).alias("source"), F.posexplode(targets).alias("position", "t")).select("source", "t.target", "position", "t.in_navigation", F.lit(False).alias("nofollow"))
+    sites = p.table("region").select(F.col("r_regionkey").cast("bigint").alias("crawl_id"))
+    crawls = sites.select("crawl_id", F.array(F.concat(F.lit("s"), F.col("crawl_id").cast("string"), F.lit(".example"))).alias("hosts"), (F.col("crawl_id") % 2 == 0).alias("allow_subdomains"), F.lit(6).alias("max_depth"), (F.col("crawl_id") * 40 + 60).cast("int").alias("max_pages"))
+    seeds = sites.select("crawl_id", _site_url(F.col("crawl_id") + 5).alias("url"), F.lit(0).alias("position"), F.lit(True).alias("is_root"))
+    return crawl_order.best_first(crawls, seeds, links)
+
+
+@query(
+    "crawl_sitemap_pages",
+    """WITH u AS (SELECT c_custkey AS k, c_custkey % 5 AS site, (c_custkey // 5) % 25 AS f FROM customer),
+o AS (SELECT site, k, row_number() OVER (PARTITION BY site ORDER BY f, k) - 1 AS n FROM u WHERE f < 19)
+SELECT site AS crawl_id, n, 'https://s' || site || '.example/c' || k AS loc FROM o WHERE n < 5000""",
+)
+def _sitemap_pages(p: Projection) -> DataFrame:
+    """Each site has an index of 25 sitemaps; a crawl reads the index and the first 19."""
+    key = F.col("c_custkey")
+    site, head = F.concat(F.lit("https://s"), (key % 5).cast("string"), F.lit(".example")), 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    loc = lambda x, tag: F.concat(F.lit(f"<{tag}><loc>"), x, F.lit(f"</loc></{tag}>"))
+    pages = p.table("customer").select(site.alias("site"), F.floor(key / 5 % 25).alias("f"), key.alias("k"))
+    listed = pages.groupBy("site", "f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "site"))), lambda x: loc(_site_url(x["k"]), "url")), "").alias("urls"))
+    maps = listed.select(F.concat("site", F.lit("/m"), F.col("f").cast("string"), F.lit(".xml")).alias("sitemap_url"), F.concat(F.lit(f"<urlset {head}>"), "urls", F.lit("</urlset>")).alias("xml"))
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: loc(F.concat("site", F.lit("/m"), i.cast("string"), F.lit(".xml")), "sitemap")), "")
+    index = pages.select("site").distinct().select(F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.concat(F.lit(f"<sitemapindex {head}>"), entries, F.lit("</sitemapindex>")).alias("xml"))
+    crawls = pages.select("site").distinct().select(F.substring("site", 10, 1).cast("bigint").alias("crawl_id"), F.col("site").alias("origin"), F.expr("cast(array() AS array<string>)").alias("candidates"))
+    return crawl_order.sitemap_pages(crawls, maps.unionByName(index))
