@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandlens.functions.text import sentences
-from brandlens.operators.site_audit import QUESTION, SIGNALS, page_kinds, path_of, readiness_score
+from brandlens.operators.site_audit import QUESTION, SIGNALS, SPECIFICITY_TARGET, page_kinds, path_of, readiness_score, site_of
+from brandlens.operators.specificity import specific_shares
 
 # What a text says about audience, places, offers, authors and evidence.
 PATTERNS = {
@@ -26,22 +26,25 @@ PATTERNS = {
     "faq": r"(?i)\b(faq|faqs|frequently\s+asked|questions?\s*(?:&|and)\s*answers?|q\s*&\s*a)\b",
 }
 COMPARISON = r"(?i)\bvs\.?\b|versus|\bcompar(e|ison)|alternatives?\b"
-SPECIFICITY_TARGET, MIN_PRODUCT_WORDS, MIN_ABOUT_WORDS, THIN_WORDS = 0.5, 80, 50, 150
+MIN_PRODUCT_WORDS, MIN_ABOUT_WORDS, THIN_WORDS = 80, 50, 150
 # Words that say little, and claims that need support.
 VAGUE_TERMS = "powerful best-in-class world-class cutting-edge state-of-the-art next-generation revolutionary seamless robust innovative industry-leading leading game-changing".split()
 UNSUPPORTED = ("fastest", "cheapest", "#1", "number one", "most popular", "guarantee")
 
 
-def page_aspects(snapshot: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """Per page every boolean the site analyzers read. ``types``: page_id, schema_types (array) from structured data."""
+def page_aspects(snapshot: DataFrame, types: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Per page every boolean the site analyzers read. ``types``: page_id, schema_types (array) from structured data;
+    ``names``: site, name of the sites' own entities."""
     pages = snapshot if types is None else snapshot.join(types, "page_id", "left")
     kinds_of = F.coalesce("schema_types", F.expr("cast(array() as array<string>)")) if types is not None else F.expr("cast(array() as array<string>)")
     text = F.coalesce("text", F.lit(""))
     headings = F.array_join(F.transform("headings", lambda h: h["text"]), "\n")
     says = lambda name, where=text: where.rlike(PATTERNS.get(name) or SIGNALS[name])
     questions = F.size(F.filter("headings", lambda h: h["text"].rlike(QUESTION)))
-    host = F.regexp_extract("url", r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)
-    split = sentences(text)
+    host = site_of(F.col("url"))
+    shares = specific_shares(snapshot.select(host.alias("site"), "page_id", "text"), names).select("page_id", F.col("specific_share").alias("specific_ratio"))
+    pages = pages.join(shares, "page_id")
+    away = lambda url: (F.lower(site_of(url)) != F.lower(host)) & ~F.lower(site_of(url)).endswith(F.concat(F.lit("."), F.lower(host)))
     columns = {
         "site": host,
         "kinds": page_kinds(F.col("url")),
@@ -61,9 +64,9 @@ def page_aspects(snapshot: DataFrame, types: DataFrame | None = None) -> DataFra
         "published": says("date", F.substring(text, 1, 1500)),
         "modified": F.coalesce(F.try_element_at("meta", F.lit("article:modified_time")), F.try_element_at("meta", F.lit("og:updated_time"))).isNotNull() | F.substring(text, 1, 1500).rlike(r"(?i)\b(last\s+)?(updated|modified|reviewed)\s*(on|:)?\s"),
         "faq_content": says("faq", headings) | (questions >= 3),
-        "references": F.exists("links", lambda x: x["href"].rlike("^https?://") & ~x["rel"].contains("nofollow") & ~x["href"].contains("social")),
+        "references": F.exists("links", lambda x: F.coalesce(x["target"].rlike("^https?://") & away(x["target"]), F.lit(False)) & ~x["rel"].contains("nofollow") & ~x["href"].contains("social")),
         "comparison": F.coalesce(F.concat_ws(" ", "title", "h1").rlike(COMPARISON), F.lit(False)) | path_of(F.col("url")).rlike("(?i)compare|/vs-|alternatives"),
-        "specific_ratio": F.coalesce(F.try_divide(F.size(F.filter(split, lambda s: s.rlike(r"\d"))), F.size(split)), F.lit(0.0)),
+        "specific_ratio": F.col("specific_ratio"),
         "few_headings": F.size("headings") < 2,
     }
     return pages.select("page_id", *[c.alias(n) for n, c in columns.items()])
@@ -97,7 +100,7 @@ def site_readiness(aspects: DataFrame, conflicts_per_site: DataFrame | None = No
         mean([c.cast("double") for c in entity_checks]).alias("entity_clarity"),
         mean([share(F.col(a), product) for a in product_aspects]).alias("product_clarity"),
         mean([share(F.col(a), article) for a in author_aspects]).alias("authority"),
-        F.when(F.count_if(content) > 0, mean([F.bool_or(F.col(k) & content).cast("double") for k in evidence])).alias("evidence"),
+        F.when(F.count_if(content) > 0, mean([F.bool_or((F.col(k) & content) | (F.lit(k == "case_study") & is_a("case_study"))).cast("double") for k in evidence])).alias("evidence"),
         F.avg(F.when(content, F.col("specific_ratio"))).alias("specific"),
         F.coalesce(share(F.col("words") < THIN_WORDS, product | article), F.lit(0.0)).alias("thin"),
         F.avg(((F.col("words") >= 300) & F.col("few_headings")).cast("double")).alias("unstructured"),

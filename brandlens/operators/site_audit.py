@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandlens.functions.ladders import available_mean
-from brandlens.functions.text import sentences, word_count
+from brandlens.functions.text import word_count
+from brandlens.operators.specificity import specific_shares
 from brandlens.shared_files import use_shared_checkpoints
 
 # Points of severities, caps of categories, the least share of pages that counts, the clicks from home that are not too many.
@@ -225,6 +226,8 @@ def health_score(found: DataFrame, pages: Column) -> DataFrame:
     return by_category.withColumn("applied", F.bround(F.least(F.col("raw"), cap), 2)).groupBy("site").agg(F.bround(F.greatest(F.lit(0.0), 100.0 - F.sum("applied")), 1).alias("score"), F.count("*").alias("categories"))
 
 
+#: The share of specific sentences that counts as whole.
+SPECIFICITY_TARGET = 0.30
 # What a page says about itself, by path.
 PAGE_KINDS = {
     "product": r"(?i)^/(products?|solutions?|features?|platform|software|apps?)(/|$)",
@@ -243,7 +246,8 @@ SIGNALS = {
     "research": r"(?i)\b(study|studies|research|survey(?:ed)?|report(?:ed)?\s+(?:by|that|found)|according\s+to|peer[- ]reviewed|whitepaper|white\s+paper|analysis\s+(?:of|by|shows)|benchmark(?:s|ed)?)\b",
     "citation": r"(?i)\[\d{1,3}\]|\bet\s+al\.|\b(?:source|sources|references?|citations?|bibliography):?\b",
     "case_study": r"(?i)\b(case\s+stud(?:y|ies)|success\s+stor(?:y|ies)|customer\s+stor(?:y|ies))\b",
-    "pricing": r"(?i)(?:[$€£¥]\s?\d[\d,.]*|\bper\s+(?:month|year|user|seat)\b|\bfree\s+(?:plan|tier|trial|forever)\b|\bpricing\b|\bprice\b|\bstarting\s+at\b|\bquote\b)",
+    "pricing": r"(?i)(?:[$€£¥]\s?\d[\d,.]*|\d[\d,.]*\s?(?:usd|eur|gbp|chf|€|\$)|\bper\s+(?:month|year|user|seat)\b|/\s?(?:mo|month|yr|year|user|seat)\b|\bfree\s+(?:plan|tier|trial|forever)\b|\bpricing\b|\bprice\b|\bstarting\s+at\b|\bquote\b)",
+    "postal_address": r"(?i)\b\d{1,5}\s+[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,3}\s+(?:street|st\.?|avenue|ave\.?|road|rd\.?|boulevard|blvd\.?|lane|ln\.?|drive|dr\.?|way|place|plaza|square|strasse|straße|rue)\b",
     "byline": r"(?m)(?:^|\n)\s*(?:by|written\s+by|author:?)\s+([A-Z][\w'.-]+(?:\s+[A-Z][\w'.-]+){0,3})",
 }
 QUESTION = r"(?i)^\s*(?:q:\s*)?(?:what|why|how|when|where|who|which|can|do|does|is|are|should|will|could)\b.*\?\s*$"
@@ -258,17 +262,24 @@ def page_kinds(url: Column) -> Column:
     return F.array_compact(F.array(F.when(path.isin("", "/"), F.lit("home")), *[F.when(path.rlike(p), F.lit(k)) for k, p in PAGE_KINDS.items()]))
 
 
-def readiness_signals(snapshot: DataFrame) -> DataFrame:
-    """Per page: which evidence its text holds, its word count, question headings, and the share of specific sentences."""
+def site_of(url: Column) -> Column:
+    """The host of an address without www: pages of a site share it."""
+    return F.regexp_extract(url, r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)
+
+
+def readiness_signals(snapshot: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Per page: which evidence its text holds, its word count, question headings, and the share of specific sentences.
+
+    ``names`` (site, name) are what the sites' own entities are called.
+    """
     text = F.coalesce("text", F.lit(""))
-    split = sentences(text)
-    specific = F.filter(split, lambda s: s.rlike(r"\d"))
-    return snapshot.select(
+    shares = specific_shares(snapshot.select(site_of(F.col("url")).alias("site"), "page_id", "text"), names)
+    rows = snapshot.select(
         "page_id", page_kinds(F.col("url")).alias("kinds"), "words",
         *[text.rlike(p).alias(k) for k, p in SIGNALS.items()],
         F.size(F.filter("headings", lambda h: h["text"].rlike(QUESTION))).alias("questions"),
-        F.bround(F.coalesce(F.try_divide(F.size(specific), F.size(split)), F.lit(0.0)), 4).alias("specific_share"),
     )
+    return rows.join(shares.select("page_id", F.bround("specific_share", 4).alias("specific_share")), "page_id")
 
 
 def readiness_score(values: dict[str, Column]) -> Column:
@@ -281,6 +292,6 @@ def page_readiness(signals: DataFrame) -> DataFrame:
     """Readiness of single pages from evidence, structure and question headings; other categories don't apply to a page."""
     flags = [F.col(k).cast("int") for k in ("statistic", "research", "citation", "case_study")]
     evidence = F.when(F.col("words") >= 50, reduce(lambda a, b: a + b, flags) / float(len(flags)))
-    structure = 0.6 * F.least(F.lit(1.0), F.col("specific_share") / 0.3) + 0.2 * (F.col("words") >= 150).cast("int") + 0.2
+    structure = 0.6 * F.least(F.lit(1.0), F.col("specific_share") / SPECIFICITY_TARGET) + 0.2 * (F.col("words") >= 150).cast("int") + 0.2
     faq = F.when(F.col("questions") >= 3, 1.0).when(F.array_contains("kinds", "faq"), 0.5)
     return signals.withColumn("score", readiness_score({"evidence": evidence, "content_structure": structure, "faq": faq}))

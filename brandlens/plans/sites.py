@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandlens.operators import entities, entity_graph, site_audit
+from brandlens.operators import entities, entity_graph, site_audit, specificity
 from brandlens.plans.analytics import query
 from brandlens.sources.pages import parse_pages
 from brandlens.sources.projection import Projection
@@ -183,14 +183,21 @@ def _audit(p: Projection) -> DataFrame:
     return site_audit.audit_findings(_facts(p), _norm()).groupBy("code", "severity", "category").agg(F.count("*").alias("pages"))
 
 
+def _site_names(p: Projection) -> DataFrame:
+    """What each site's structured data calls its products and its organization."""
+    placed = p.table("pages").select(site_audit.site_of(F.col("url")).alias("site"), "page_id", "url")
+    found = entities.extract_entities(_blocks(p))
+    return specificity.site_names(found, placed, entities.organization(found, placed))
+
+
 @query("readiness_signals", None)
 def _signals(p: Projection) -> DataFrame:
-    return site_audit.readiness_signals(site_audit.page_snapshot(_facts(p))).withColumn("kinds", F.array_join("kinds", ","))
+    return site_audit.readiness_signals(site_audit.page_snapshot(_facts(p)), _site_names(p)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("readiness_score", None)
 def _readiness(p: Projection) -> DataFrame:
-    return site_audit.page_readiness(site_audit.readiness_signals(site_audit.page_snapshot(_facts(p)))).select("page_id", "score")
+    return site_audit.page_readiness(site_audit.readiness_signals(site_audit.page_snapshot(_facts(p)), _site_names(p))).select("page_id", "score")
 
 
 def _blocks(p: Projection) -> DataFrame:
@@ -299,7 +306,7 @@ def _page_entities(p: Projection) -> DataFrame:
 def _site_readiness(p: Projection) -> DataFrame:
     from brandlens.operators import readiness
 
-    return readiness.site_readiness(readiness.page_aspects(site_audit.page_snapshot(_facts(p))))
+    return readiness.site_readiness(readiness.page_aspects(site_audit.page_snapshot(_facts(p)), names=_site_names(p)))
 
 
 @query("page_content_reviews", None)
