@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brandlens.functions import names as N
-from brandlens.operators import competitive, operations, signals
+from brandlens.operators import competitive, operations, signals, verification
 from brandlens.operators.visibility import with_period
 from brandlens.plans.names import _TOPIC_SQL, prompt_texts, topic_coverage
 from brandlens.plans.analytics import ORACLE_SQL, _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, STATED, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query, stated_claims
@@ -351,6 +351,46 @@ def _verification_all(p: Projection) -> DataFrame:
     return operations.verification(i.where("latest").select("code", "url"), i.where("NOT latest").select("code", "url"))
 
 
+#: An audit for each project and week; an issue is resolved by the last event on it, some time after the audit.
+_AUDIT_SQL = """ev AS (SELECT user_id % 3 AS project_id, CAST((day(ts) - 1) // 7 AS INTEGER) AS week, event_type AS code, CASE WHEN user_id % 5 <> 0 THEN 'u' || user_id || '/' || hour(ts) % 4 END AS url, event_id, ts FROM events),
+au AS (SELECT project_id * 10 + week AS audit_id, project_id, week, TIMESTAMP '2024-01-07 00:00:00' + to_days(CAST(week * 7 AS INTEGER)) AS completed_at, round_even(100 - count(*) % 40 / 4.0, 1) AS health_score FROM ev GROUP BY project_id, week),
+ob AS (SELECT project_id * 10 + week AS audit_id, code, url, CASE WHEN max(event_id) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, max(ts) + to_days(CAST(max(event_id) % 12 AS INTEGER)) AS updated_at FROM ev GROUP BY 1, 2, 3),
+sq AS (SELECT *, row_number() OVER w AS n, lead(audit_id) OVER w AS next_id, lead(completed_at) OVER w AS next_at, lead(health_score) OVER w AS next_score FROM au WINDOW w AS (PARTITION BY project_id ORDER BY completed_at, audit_id))"""
+
+
+def _audits(p: Projection) -> tuple[DataFrame, DataFrame]:
+    url = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.hour("ts") % 4).cast("string")))
+    ev = p.table("events").select((F.col("user_id") % 3).alias("project_id"), F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("week"), F.col("event_type").alias("code"), url.alias("url"), "event_id", "ts")
+    ev = ev.withColumn("audit_id", F.col("project_id") * 10 + F.col("week"))
+    later = lambda days: F.make_dt_interval(days.cast("int"))
+    audits = ev.groupBy("audit_id", "project_id", "week").agg(F.bround(100 - F.count("*") % 40 / 4.0, 1).alias("health_score"))
+    audits = audits.select("project_id", "audit_id", F.lit("completed").alias("status"), (F.lit("2024-01-07 00:00:00").cast("timestamp_ntz") + later(F.col("week") * 7)).alias("completed_at"), "health_score")
+    seen = ev.groupBy("audit_id", "code", "url").agg(F.when(F.max("event_id") % 3 == 0, "resolved").otherwise("open").alias("status"), (F.max("ts").cast("timestamp_ntz") + later(F.max("event_id") % 12)).alias("updated_at"))
+    return audits, seen
+
+
+@query(
+    "verification_lifecycle",
+    f"""WITH {_AUDIT_SQL}, k AS (SELECT DISTINCT audit_id, code, coalesce(url, '') AS u FROM ob)
+SELECT project_id, o.audit_id, o.code, url, CASE WHEN NOT coalesce(updated_at < next_at, false) THEN 'awaiting' WHEN k.audit_id IS NOT NULL THEN 'reappeared' ELSE 'verified' END AS state,
+  CASE WHEN coalesce(updated_at < next_at, false) THEN next_id END AS verified_by, round_even(next_score - health_score, 1) AS score_change
+FROM ob o JOIN sq USING (audit_id) LEFT JOIN k ON k.audit_id = sq.next_id AND k.code = o.code AND k.u = coalesce(o.url, '') WHERE status = 'resolved'""",
+)
+def _lifecycle(p: Projection) -> DataFrame:
+    return verification.verification_lifecycle(*_audits(p))
+
+
+@query(
+    "issue_islands",
+    f"""WITH {_AUDIT_SQL}, s AS (SELECT DISTINCT project_id, code, url, o.audit_id, n, next_id FROM ob o JOIN sq USING (audit_id)),
+r AS (SELECT *, n - row_number() OVER (PARTITION BY project_id, code, url ORDER BY n) AS run FROM s),
+g AS (SELECT project_id, code, url, run, min(audit_id) AS first_audit, max(audit_id) AS last_audit, count(*) AS audits, bool_or(next_id IS NULL) AS is_open FROM r GROUP BY 1, 2, 3, 4)
+SELECT project_id, code, url, first_audit, last_audit, audits, is_open, CAST(row_number() OVER (PARTITION BY project_id, code, url ORDER BY run) AS INTEGER) AS island FROM g""",
+)
+def _islands(p: Projection) -> DataFrame:
+    return verification.issue_islands(*_audits(p))
+
+
 @query(
     "gap_merge_idempotent",
     f"""{WITH}, f AS (SELECT DISTINCT project_id, domain_id FROM cited WHERE cited_at >= {_NOW} - INTERVAL 365 DAY), e AS (SELECT DISTINCT project_id, domain_id FROM cited WHERE cited_at < {_NOW} - INTERVAL 2300 DAY),
