@@ -46,3 +46,24 @@ def _throttle(p: Projection) -> DataFrame:
 @query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def _first(p: Projection) -> DataFrame:
     return _drain(p, live.first_seen(_events(p), "ts", ["user_id", "event_type"], "60 days"), "append").select("user_id", "event_type")
+
+
+def _event_files(p: Projection, files: int = 6) -> DataFrame:
+    """The events as a stream of several files, one a batch."""
+    folder = new_shared_folder(p.spark)
+    events = p.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    events.repartitionByRange(files, "at").write.parquet(folder)
+    return p.spark.readStream.schema(p.spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_first_ever", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def _first_ever(p: Projection) -> DataFrame:
+    return _drain(p, live.first_ever(_event_files(p), "at", ["user_id", "event_type"]), "append").select("user_id", "event_type")
+
+
+@query("stream_keyed_spans", "SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2")
+def _keyed_spans(p: Projection) -> DataFrame:
+    folder, key = new_shared_folder(p.spark), ["user_id", "event_type"]
+    run = _event_files(p).writeStream.foreachBatch(live.keyed_spans(folder, key, compact_every=2)).option("checkpointLocation", new_shared_folder(p.spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return live.read_spans(p.spark, folder, key).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
