@@ -188,11 +188,12 @@ def train_language_model(docs: DataFrame, per_language: int = 300, most_texts: i
     return fit_kernel_ridge(packed, rows.column("lang").to_pylist())
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel | None, reject_unfamiliar: bool = False) -> DataFrame:
     """All columns of ``docs`` with lang_pred and lang_score (replacing columns of these names); a narrow map, no shuffle.
 
-    ``und`` with score 0 where text is null or has no letter, where its 3-grams are usual in none of the learned languages
-    (foreign texts, gibberish), or where there is no model. Only text is read. The score is the winning one-versus-rest value, (value + 1) / 2 held to 0..1; ties go to the alphabetically first language.
+    A text with a letter gets the learned language that fits best; ``und`` with score 0 where text is null or has no
+    letter, or where there is no model. With ``reject_unfamiliar`` so do texts whose 3-grams are usual in none of the
+    learned languages (foreign texts, gibberish). Only text is read. The score is the winning one-versus-rest value, (value + 1) / 2 held to 0..1; ties go to the alphabetically first language.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
@@ -209,7 +210,8 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     names += [UND] * len(bits)
                     values.append(np.zeros(len(bits)))
                     continue
-                lettered = lettered & model.familiar(bits)
+                if reject_unfamiliar:
+                    lettered = lettered & model.familiar(bits)
                 scores = model.scores(bits)
                 best = scores.argmax(axis=1)
                 names += [model.languages[k] if ok else UND for k, ok in zip(best, lettered, strict=True)]

@@ -32,6 +32,18 @@ def test_language_stage_rejects_foreign_texts_and_gibberish(spark):
     assert held and held <= out
 
 
+def test_every_text_with_a_letter_gets_a_learned_language(spark, tmp_path):
+    from brandlens.llm import language_id
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = ["ok", "zzzz qqqq", "Dit is een zin in het Nederlands", "Wszyscy ludzie", "Все люди", "人人", "é" * 300_000, None, "", "12 % 34", "!?"]
+    docs.unionByName(spark.createDataFrame([(10**7 + i, t, None, "x", 0) for i, t in enumerate(texts)], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id - 10**7: r for r in language_id.op2_language_id(spark, str(tmp_path)).collect() if r.doc_id >= 10**7}
+    learned = {r.lang for r in docs.select("lang").distinct().collect()}
+    assert {i for i, r in out.items() if r.lang_pred in learned and 0 < r.score <= 1} == set(range(7))
+    assert {(out[i].lang_pred, out[i].score) for i in range(7, 11)} == {("und", 0.0)}
+
+
 @pytest.mark.parametrize("weights", [[0.7, 0.1, 0.05, 0.05, 0.05, 0.05], [0.5] + [0.5 / 49] * 49, [0.3] + [0.7 / 230] * 230])
 def test_mix_follows_the_weights_themselves(spark, weights):
     from brandlens.llm import source_mix
