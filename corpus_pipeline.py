@@ -30,7 +30,7 @@ MIX_FILES = 64
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay: those without letters, in none of the learned languages or of gibberish go; lang is set to the prediction."""
     ship_package(spark)
-    judged = predict_language(docs, train_language_model(docs))
+    judged = predict_language(docs, train_language_model(docs), reject_unfamiliar=True)
     kept = judged.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
