@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brandlens.plans import analytics, crawls, decisions, names, rules, sites, streams, texts, workspace
+from brandlens.plans import analytics, crawls, decisions, names, research, rules, sites, streams, texts, workspace
 
 #: The plan modules register their queries on import.
-MODULES = (analytics, crawls, decisions, names, rules, sites, streams, texts, workspace)
+MODULES = (analytics, crawls, decisions, names, research, rules, sites, streams, texts, workspace)
 QUERIES, ORACLE_SQL = analytics.QUERIES, analytics.ORACLE_SQL
