@@ -326,13 +326,13 @@ def _digest(p: Projection) -> DataFrame:
 
 @query(
     "audit_verification",
-    """WITH i AS (SELECT DISTINCT event_type AS code, CASE WHEN user_id % 5 <> 0 THEN 'u' || user_id END AS url, event_id % 2 AS audit FROM events WHERE event_id % 3 = 0),
+    """WITH i AS (SELECT DISTINCT event_type AS code, CASE WHEN user_id % 5 <> 0 THEN 'u' || user_id END AS url, event_id % 2 AS audit FROM events),
 l AS (SELECT code, url FROM i WHERE audit = 1), p AS (SELECT code, url FROM i WHERE audit = 0)
 SELECT code, url, 'verified' AS state FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.code = p.code AND l.url IS NOT DISTINCT FROM p.url)
 UNION ALL SELECT code, url, CASE WHEN EXISTS (SELECT 1 FROM p WHERE l.code = p.code AND l.url IS NOT DISTINCT FROM p.url) THEN 'awaiting' ELSE 'new' END FROM l""",
 )
 def _verification(p: Projection) -> DataFrame:
-    i = p.table("events").where(F.col("event_id") % 3 == 0).select(F.col("event_type").alias("code"), F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("url"), (F.col("event_id") % 2).alias("audit")).distinct()
+    i = p.table("events").select(F.col("event_type").alias("code"), F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("url"), (F.col("event_id") % 2).alias("audit")).distinct()
     return operations.verification(i.where("audit = 1").select("code", "url"), i.where("audit = 0").select("code", "url"))
 
 
