@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brandlens.functions.text import content_tokens, judge, normalize_prompt, sentences
 from brandlens.functions.urls import host_suffixes, normalize_host
+from brandlens.operators.keywords import keyword_hits
 from brandlens.sources import registry as R
 
 LINK, URL, DOMAIN = r"\[([^\]]*)\]\((https?://[^\s)]+)\)", r"(https?://[^\s)\]>\"']+)", r"\b((?:[a-zA-Z0-9-]+\.)+(?:com|org|net|io|ai|co|dev|app|gov|edu))\b"
@@ -68,10 +69,15 @@ def name_mentions(answers: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def claims(answers: DataFrame, names: DataFrame) -> DataFrame:
-    """(subject, predicate, object) of sentences that open with a name within 60 characters before a claim verb."""
+    """(subject, predicate, object) of sentences that open with a name within 60 characters before a claim verb.
+
+    Names may lie inside words, so one automaton over all of them reads each sentence once; names then join by equality.
+    """
     said = answers.select("response_id", F.posexplode(sentences(F.col("text"))).alias("sentence_no", "sentence"))
     wanted = names.select("name", F.lower("name").alias("low_name"))
-    placed = said.join(wanted, F.expr("contains(lower(sentence), low_name)")).withColumn("at", F.expr("locate(low_name, lower(sentence))")).where(F.col("at") <= 60)
+    whole = F.struct("response_id", "sentence_no", "sentence").alias("text_id")
+    hits = keyword_hits(said.select(whole, F.lower("sentence").alias("text")), wanted.select(F.col("low_name").alias("keyword"))).select("text_id.*", F.col("keyword").alias("low_name"))
+    placed = hits.join(wanted, "low_name").withColumn("at", F.expr("locate(low_name, lower(sentence))")).where(F.col("at") <= 60)
     rest = F.expr("substring(sentence, at + length(low_name))")
     predicate, obj = F.lower(F.regexp_extract(rest, R.CLAIM, 1)), F.trim(F.regexp_extract(rest, R.CLAIM, 2))
     return placed.select("response_id", "sentence_no", F.col("name").alias("subject"), predicate.alias("predicate"), obj.alias("object")).where(F.col("object") != "")

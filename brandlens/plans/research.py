@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandlens.operators import entities, research, signals
-from brandlens.plans.analytics import ORACLE_SQL, STATED, WITH, _advantages, _entities, _gap_rows, query, stated_claims
+from brandlens.operators import entities, evidence, research, signals
+from brandlens.plans.analytics import ORACLE_SQL, STATED, WITH, _GAPS, _advantages, _entities, _gap_rows, _window, query, stated_claims
 from brandlens.plans.rules import _discovery, _gaps_by_topic, _insights
 from brandlens.plans.sites import _blocks
 from brandlens.sources.projection import Projection
@@ -78,3 +78,25 @@ def _findings(p: Projection) -> DataFrame:
         research.repeated_claims(claims, samples),
     ]
     return research.findings(candidates, samples).select("project_id", "rank", "generator", "key", "title", "confidence", "impact", "score")
+
+
+# ---- evidence documents --------------------------------------------------------------------------------------------
+
+
+def _documented(p: Projection) -> DataFrame:
+    """Citation gaps with the documents they are stored with: their inputs, and how often each competitor is cited."""
+    rivals = _window(p).where("is_competitor").groupBy("project_id", "domain_id", "competitor").agg(F.count("*").alias("n"))
+    named = rivals.groupBy("project_id", "domain_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("competitor", "n")))).alias("competitors"))
+    inputs = F.struct("domain_type", "eligible_responses", F.col("prompts").alias("prompts_citing"), "total_prompts", "source_relevance")
+    rows = _gap_rows(p).select("project_id", "domain_id", "domain", "gap_type", "score", F.to_json(F.struct(inputs.alias("inputs"), F.lit("v1").alias("version"))).alias("evidence"))
+    return rows.join(named, ["project_id", "domain_id"], "left")
+
+
+@query("gap_evidence", f"{WITH}{_GAPS} SELECT project_id, domain, gap_type, domain_type AS source_type, eligible_responses, prompts AS prompts_citing, total_prompts, source_relevance FROM gap")
+def _gap_evidence(p: Projection) -> DataFrame:
+    return evidence.gap_facts(_documented(p)).select("project_id", "domain", "gap_type", "source_type", "eligible_responses", "prompts_citing", "total_prompts", "source_relevance")
+
+
+@query("gaps_naming_competitor", f"{WITH}{_GAPS}, named AS (SELECT DISTINCT project_id, domain_id FROM wc WHERE is_competitor AND competitor = 'comp2') SELECT project_id, domain, gap_type, score FROM gap JOIN named USING (project_id, domain_id)")
+def _gaps_naming(p: Projection) -> DataFrame:
+    return evidence.naming(_documented(p), "comp2").select("project_id", "domain", "gap_type", "score")

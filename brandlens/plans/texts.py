@@ -175,7 +175,7 @@ def _structure(p: Projection) -> DataFrame:
 def _answer_claims(p: Projection) -> DataFrame:
     rows = p.table("conversations").where("role = 'assistant'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("response_id"), F.expr("text || '\nAcme offers a payroll add-on.\nGlobex is free.'").alias("text"))
     names = p.spark.createDataFrame([("Acme",), ("Globex",)], "name string")
-    return texts.claims(rows, F.broadcast(names)).groupBy("subject", "predicate", "object").agg(F.count("*").alias("occurrences"))
+    return texts.claims(rows, names).groupBy("subject", "predicate", "object").agg(F.count("*").alias("occurrences"))
 
 
 # ---- structure of varied answers -----------------------------------------------------------------------------------
