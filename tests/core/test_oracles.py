@@ -59,5 +59,7 @@ def test_entry_runs(spark):
 def test_every_query_takes_empty_tables(spark, tmp_path):
     for path in glob.glob(f"{DATA}/*.parquet"):
         spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / os.path.basename(path)))
-    for name in ("visibility_metrics", "citation_gaps", "graph_sources_top", "insights", "alerts_period_rules", "project_sources", "seo_findings", "prompt_near_duplicates", "language_detect"):
+    for name in ("visibility_metrics", "citation_gaps", "graph_sources_top", "insights", "alerts_period_rules", "project_sources", "seo_findings", "prompt_near_duplicates", "language_detect",
+                 "content_gaps_by_topic", "visibility_own_rivals", "competitive_own_rivals", "entity_references", "page_entities", "answer_blocks", "answer_listed_citations", "crawl_best_first", "crawl_sitemap_pages",
+                 "verification_lifecycle", "issue_islands", "research_findings", "gap_evidence", "gaps_naming_competitor", "readiness_signals", "brand_profiles"):
         assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0, name
