@@ -16,19 +16,19 @@ def plain(text, names):
     return len(sentences), len(hit)
 
 
-TEXT = "Acme launched Widget in March 2021. It processes 2,000 reports per day. We love making tools. Our team is friendly and nice to everyone."
+TEXT = "Initech shipped Gadget in April 2020. It handles 3,000 orders each hour. We enjoy building things. The whole crew is kind and cheerful to all."
 
 
-def test_share_of_the_reference_fixture_and_of_site_names(spark):
+def test_share_with_and_without_site_names(spark):
     texts = {
         ("a", 1): TEXT,
-        ("a", 2): "Our widgetry is quite good.\nVersion v2.0 is not a number here! But 20% more of it is.",
+        ("a", 2): "Our gadgetry is quite good.\nVersion v2.0 is not a number here! But 20% more of it is.",
         ("b", 3): "Acme is not known on this site.\nAc is too short a name. Globex Café sells things here",
         ("b", 4): None,
         ("b", 5): "Too short. No. " * 3,
         ("c", 6): "Released on 2024-01-31 for all people. Or on 1/2/2023, so they say.",
     }
-    names = {"a": ["Widget", "Acme"], "b": ["Globex Café", "Ac", "ac"], "gone": ["Acme"]}
+    names = {"a": ["Gadget", "Initech"], "b": ["Globex Café", "Ac", "ac"], "gone": ["Acme"]}
     pages = spark.createDataFrame([(s, p, t) for (s, p), t in texts.items()], "site string, page_id bigint, text string")
     named = spark.createDataFrame([(s, n) for s, ns in names.items() for n in ns], "site string, name string")
     got = {(r.page_id): (r.sentences, r.specific) for r in S.specific_shares(pages, named).collect()}
