@@ -1,13 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL expressions alone.
 
-Rows of a source form blocks of ``block_rows``. With whole slots of a cycle as quotas, the j-th block of a source with
-quota a is released in slot floor((j - 1) * cycle / a) and due by slot ceil(j * cycle / a). In every slot the released
-block with the earliest deadline goes next, so each source stays within one block of its quota's share at all times.
-
-Quotas of a cycle are whole and weights are not, so each cycle has quotas of its own. With the sources in a row, let C be
-a source's weight and those before it. By the end of cycle c the sources up to it have had floor(c * cycle * C) slots in
-all: every source is then within one block of its weight, whatever c is, and within two blocks at all times. A cycle's
-quotas follow from its number alone, so cycles are scheduled side by side in many tasks.
+Rows of a source form blocks of ``block_rows``. The j-th block of a source with share w of all weights is released in slot
+floor((j - 1) / w) and due by slot ceil(j / w). In every slot the released block with the earliest deadline goes next. As
+the shares add up to 1, every block goes within its window, so each source that still has blocks is less than one block
+away from its share of the slots, however many there are.
+
+Slots are cut into spans that are scheduled side by side in many tasks. No window is longer than a span: a span starts
+from what the span before leaves over, which follows from that span's blocks and from how many older ones were waiting when it began.
+Those are due before the later span, so for it only their number counts, and the number follows from counts of releases.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Least slots of a cycle, rows of a block, sources with a weight of their own, hash buckets a source is ranked in.
-CYCLE, BLOCK_ROWS, MAX_SOURCES, BUCKET_DIGITS = 1000, 16, 2000, 3
-#: Weights are whole parts of this; cycles are scheduled in so many tasks.
-PARTS, CYCLE_TASKS = 1 << 30, 64
+#: Least slots of a span, rows of a block, sources with a weight of their own, hash buckets a source is ranked in.
+CYCLE, BLOCK_ROWS, MAX_SOURCES, BUCKET_DIGITS = 1000, 16, 10_000, 3
+#: Weights are whole parts of about 2 to this power in all; blocks of one source that a task lists; steps of an inner fold.
+PART_BITS, RANGE, PIECE = 40, 1 << 16, 256
 
 
 def source_quotas(docs: DataFrame, weights: dict[str | None, float] | None, exponent: float, cycle: int, max_sources: int) -> DataFrame:
@@ -92,35 +92,76 @@ def cycle_schedule(quotas: DataFrame, cycle: int) -> DataFrame:
         FROM (SELECT posexplode(picks) AS (slot, pick), pick + 1 AS source_no FROM {picks})""", picks=picks)
 
 
-def whole_schedule(quotas: DataFrame, least_cycle: int, block_rows: int) -> DataFrame:
+def weight_parts(quotas: DataFrame, least_span: int, block_rows: int) -> DataFrame:
+    """source_no, blocks, parts, whole, start, span: a source has ``parts`` of ``whole`` slots from slot ``start`` on.
+
+    Parts are the weights times a power of 2, rounded to whole numbers: a share is off by 2^-39 for each source at most. Sources without a
+    positive weight start when the others have ended and share the slots evenly. ``span`` is longer than every window.
+    """
+    # at most max_sources + 1 rows in one array
+    return quotas.sparkSession.sql(f"""
+        WITH one AS (SELECT transform(collect_list(struct(source_no, w, n)), x -> named_struct('source_no', x.source_no, 'blocks', (x.n + {block_rows - 1}) div {block_rows},
+                       'w', CASE WHEN x.w > 0 THEN x.w ELSE CAST(0 AS DOUBLE) END)) AS a FROM {{quotas}}),
+        summed AS (SELECT a, aggregate(a, CAST(0 AS DOUBLE), (t, x) -> t + x.w) AS total FROM one WHERE size(a) > 0),
+        scaled AS (SELECT a, CASE WHEN total >= 1 THEN pow(2D, {PART_BITS} - length(bin(CAST(ceil(total) AS BIGINT))))
+                                  WHEN total > 0 THEN pow(2D, {PART_BITS - 1} + length(bin(CAST(floor(least(1 / total, 1e18D)) AS BIGINT)))) ELSE 1D END AS scale FROM summed),
+        parted AS (SELECT filter(p, x -> x.weighted) AS a, filter(p, x -> NOT x.weighted) AS late FROM (
+                     SELECT transform(a, x -> named_struct('source_no', x.source_no, 'blocks', x.blocks, 'weighted', x.w > 0,
+                              'parts', greatest(1L, CAST(floor(x.w * scale + 0.5D) AS BIGINT)))) AS p FROM scaled)),
+        whole AS (SELECT *, aggregate(a, 0L, (t, x) -> t + x.parts) AS w FROM parted),
+        ended AS (SELECT *, coalesce(array_max(transform(a, x -> (CAST(x.blocks AS DECIMAL(19,0)) * CAST(w AS DECIMAL(14,0)) + x.parts - 1) div x.parts)), 0L) AS end,
+                         greatest({least_span}L, size(late) + 2L, coalesce(array_max(transform(a, x -> w div x.parts + 3)), 0L)) AS span FROM whole)
+        SELECT r.source_no AS source_no, r.blocks AS blocks, r.parts AS parts, r.whole AS whole, r.start AS start, span FROM (
+          SELECT span, explode(concat(
+            transform(a, x -> named_struct('source_no', x.source_no, 'blocks', x.blocks, 'parts', x.parts, 'whole', w, 'start', 0L)),
+            transform(late, x -> named_struct('source_no', x.source_no, 'blocks', x.blocks, 'parts', 1L, 'whole', CAST(size(late) AS BIGINT), 'start', end)))) AS r FROM ended)""", quotas=quotas)
+
+
+def whole_schedule(quotas: DataFrame, least_span: int, block_rows: int) -> DataFrame:
     """source_no, block, slot of every block that the sources have, against the weights themselves.
 
-    A cycle is so long that the least weight has a slot in it. Weights below 1 / max(least_cycle, 5 * sources) of all are
-    raised to this.
+    Work grows with the blocks, not with the slots: a span without any is never made. A task holds the blocks of two spans, where a span has as
+    many slots as the longest window: about 1 / (the least share) or ``least_span``.
     """
     spark = quotas.sparkSession
-    # at most max_sources + 1 rows in one array; ``parts`` and ``upto`` are whole, so that all sums are exact
-    cycles = spark.sql(f"""
-        WITH one AS (SELECT array_sort(collect_list(struct(source_no, w, n))) AS a FROM {{quotas}}),
-        summed AS (SELECT a, size(a) AS many, aggregate(a, CAST(0 AS DOUBLE), (t, x) -> t + x.w) AS total FROM one WHERE size(a) > 0),
-        parted AS (SELECT transform(a, x -> named_struct('blocks', (x.n + {block_rows - 1}) div {block_rows}, 'parts', CAST(greatest(
-                     round(CASE WHEN total > 0 THEN x.w / total ELSE 1D / many END * {PARTS}), ceil({PARTS}D / greatest({least_cycle}, 5 * many))) AS BIGINT))) AS a FROM summed),
-        placed AS (SELECT transform(a, (x, i) -> named_struct('blocks', x.blocks, 'parts', x.parts, 'upto', aggregate(slice(a, 1, i + 1), 0L, (t, y) -> t + y.parts))) AS a,
-                          aggregate(a, 0L, (t, x) -> t + x.parts) AS whole, array_min(transform(a, x -> x.parts)) AS least FROM parted),
-        sized AS (SELECT a, whole, greatest({least_cycle}L, (whole + least - 1) div least) AS cycle FROM placed),
-        bound AS (SELECT *, array_max(transform(a, x -> CAST(floor((x.blocks + 1) * CAST(whole AS DOUBLE) / (x.parts * CAST(cycle AS DOUBLE))) AS BIGINT))) + 1 AS last FROM sized)
-        SELECT a, whole, cycle, explode(sequence(0L, last)) AS c FROM bound""", quotas=quotas).repartition(CYCLE_TASKS, "c")
-    picks = spark.sql(f"""
-        WITH edges AS (SELECT c, cycle, transform(a, x -> named_struct('blocks', x.blocks,
-                         'first', (c * cycle * x.upto) div whole - (c * cycle * (x.upto - x.parts)) div whole,
-                         'next', ((c + 1) * cycle * x.upto) div whole - ((c + 1) * cycle * (x.upto - x.parts)) div whole)) AS e FROM {{cycles}}),
-        needed AS (SELECT c, cycle, e, transform(e, x -> x.next - x.first) AS q FROM edges WHERE exists(e, x -> x.first < x.blocks AND x.next > x.first))
-        SELECT c, cycle, e, {_picks("q", "cycle")} AS picks FROM needed""", cycles=cycles)
-    return spark.sql("""
-        SELECT source_no, block, slot FROM (
-          SELECT pick + 1 AS source_no, first + row_number() OVER (PARTITION BY c, pick ORDER BY place) - 1 AS block, c * cycle + place AS slot, blocks
-          FROM (SELECT c, cycle, place, pick, e[pick].first AS first, e[pick].blocks AS blocks FROM (SELECT c, cycle, e, posexplode(picks) AS (place, pick) FROM {picks})))
-        WHERE block < blocks""", picks=picks)
+    ranges = spark.sql(f"SELECT *, explode(sequence(0L, blocks - 1, {RANGE}L)) AS first FROM {{parts}}", parts=weight_parts(quotas, least_span, block_rows)).repartition("source_no", "first")
+    released = spark.sql(f"""
+        SELECT release div span AS at, release, span, sort_array(collect_list(struct(due, source_no, block))) AS blocks FROM (
+          SELECT span, source_no, block, start + (CAST(block AS DECIMAL(19,0)) * CAST(whole AS DECIMAL(14,0))) div parts AS release,
+                 start + (CAST(block + 1 AS DECIMAL(19,0)) * CAST(whole AS DECIMAL(14,0)) + parts - 1) div parts AS due
+          FROM (SELECT *, explode(sequence(first, least(first + {RANGE - 1}, blocks - 1))) AS block FROM {{ranges}}))
+        GROUP BY release, span""", ranges=ranges)
+    spans = spark.sql("SELECT at, span, sort_array(collect_list(struct(release, blocks))) AS events FROM {released} GROUP BY at, span", released=released)
+    # of each span how many blocks it releases, and the least of (released in it before r) - r over its releases r
+    counted = spark.sql("""
+        SELECT at, span, c.n AS n, c.least AS least FROM (
+          SELECT at, span, aggregate(events, named_struct('n', 0L, 'least', 9223372036854775807L),
+                   (s, e) -> named_struct('n', s.n + size(e.blocks), 'least', least(s.least, s.n - e.release))) AS c FROM {spans})""", spans=spans)
+    # three numbers for each span: the blocks that wait as it begins
+    waiting = spark.sql("""
+        SELECT at, greatest(0L, coalesce(before - at * span - min(before + least) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)) AS waiting
+        FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before FROM {counted})""", counted=counted)
+    steps = spark.sql("""
+        WITH both AS (SELECT s.*, w.waiting FROM {spans} s JOIN {waiting} w ON s.at = w.at),
+        pairs AS (SELECT c, span, array_sort(collect_list(struct(at, waiting, events))) AS p FROM (SELECT *, explode(array(at, at + 1)) AS c FROM both) GROUP BY c, span),
+        joined AS (SELECT c, span, concat(
+            array(named_struct('release', (c - 1) * span, 'blocks', CASE WHEN p[0].at = c - 1 AND p[0].waiting > 0
+                    THEN array_repeat(named_struct('due', -1L, 'source_no', -1, 'block', -1L), CAST(p[0].waiting AS INT)) ELSE slice(p[0].events[0].blocks, 1, 0) END)),
+            flatten(transform(p, x -> x.events))) AS e FROM pairs)
+        SELECT c, span, transform(e, (x, i) -> named_struct('release', x.release, 'room', coalesce(get(e, i + 1).release, (c + 1) * span) - x.release, 'blocks', x.blocks)) AS e FROM joined""",
+        spans=spans, waiting=waiting)
+    # between two releases the waiting blocks go in the order of their deadlines; the outer fold keeps the copied lists short
+    one = """transform(array(sort_array(concat(s.ready, e.blocks))), r -> transform(array(CAST(least(CAST(size(r) AS BIGINT), e.room) AS INT)), k -> named_struct(
+                'ready', slice(r, k + 1, size(r)), 'out', concat(s.out, array(named_struct('slot', e.release, 'blocks', slice(r, 1, k))))))[0])[0]"""
+    return spark.sql(f"""
+        WITH cut AS (SELECT c, span, slice(e[0].blocks, 1, 0) AS nothing, transform(sequence(0, (size(e) - 1) div {PIECE}), k -> slice(e, k * {PIECE} + 1, {PIECE})) AS pieces FROM {{steps}}),
+        typed AS (SELECT *, slice(array(named_struct('slot', 0L, 'blocks', nothing)), 1, 0) AS none FROM cut),
+        folded AS (SELECT c, span, explode(flatten(aggregate(pieces, named_struct('ready', nothing, 'outs', slice(array(none), 1, 0)),
+            (o, piece) -> transform(array(aggregate(piece, named_struct('ready', o.ready, 'out', none), (s, e) -> {one})),
+                                    d -> named_struct('ready', d.ready, 'outs', concat(o.outs, array(d.out))))[0]).outs)) AS g FROM typed)
+        SELECT b.source_no AS source_no, b.block AS block, slot FROM (
+          SELECT c, span, g.slot + i AS slot, b FROM folded LATERAL VIEW posexplode(g.blocks) AS i, b)
+        WHERE slot >= c * span AND b.source_no >= 0""", steps=steps)
 
 
 def mix_sources(
@@ -133,9 +174,11 @@ def mix_sources(
 ) -> DataFrame:
     """All columns of ``docs`` with mix_source_no, mix_block (0-based in its source), mix_slot and mix_position.
 
-    mix_position orders all rows; in every run of slots from the first in which no source has ended, each source is within
-    two blocks of its weight, however many slots there are. With a given ``cycle`` the pattern repeats after so many slots
-    instead, and each source is within one block of its quota of it, which only approximates the weight. Every row has exactly one place: when a source ends, its slots stay empty and the others keep theirs.
+    mix_position orders all rows; after any number of slots, each source that has not ended is less than one block away
+    from its share of them. With a given ``cycle`` the pattern repeats after so many slots
+    instead, and each source is within one block of its quota of it, which only approximates the weight. Every row has
+    exactly one place: when a source ends, the others keep their windows and slots that nothing is released for stay
+    empty. Sources of no positive weight come after all others.
     Rows of a source come in the order of md5(doc_id), then doc_id; rows of one id are in no particular order. Null is a
     source like any other, a null id is ordered as an empty one; an empty table gives an empty result; columns named
     like the added ones are replaced. A source is ranked in hash buckets whose counts add up, so no task gets a whole one.
@@ -182,29 +225,25 @@ def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = f"""
 WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-weighted AS (SELECT *, row_number() OVER (ORDER BY n DESC, source NULLS LAST) AS no, count(*) OVER () AS many,
-                    sqrt(CAST(n AS DOUBLE)) AS w, sum(sqrt(CAST(n AS DOUBLE))) OVER () AS total FROM counted),
-shared AS (SELECT *, ({CYCLE} - many) * w / total AS share FROM weighted),
-floored AS (SELECT *, 1 + CAST(floor(share) AS BIGINT) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, no) AS rem FROM shared),
-quotas AS (SELECT source, no, base + CASE WHEN rem <= {CYCLE} - (SELECT sum(base) FROM floored) THEN 1 ELSE 0 END AS quota FROM floored),
-lists AS (SELECT list(quota ORDER BY no) AS q FROM quotas),
+weighted AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source NULLS LAST) AS no,
+                    sqrt(CAST(n AS DOUBLE)) * pow(2, {PART_BITS} - length(bin(CAST(ceil(sum(sqrt(CAST(n AS DOUBLE))) OVER ()) AS BIGINT)))) AS w FROM counted),
+lists AS (SELECT list(greatest(1, CAST(floor(w + 0.5) AS HUGEINT)) ORDER BY no) AS p, list((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} ORDER BY no) AS n FROM weighted),
+whole AS (SELECT p, n, list_sum(p)::HUGEINT AS total FROM lists),
 slots AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS served, q FROM lists
+  SELECT CAST(-1 AS HUGEINT) AS slot, CAST(0 AS BIGINT) AS pick, list_transform(p, lambda x: CAST(0 AS BIGINT)) AS served, p, n, total FROM whole
   UNION ALL
-  SELECT slot + 1, p, list_transform(range(1, len(q) + 1), lambda i: served[i] + CASE WHEN i = p THEN 1 ELSE 0 END), q
-  FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(q) + 1), lambda i:
-            CASE WHEN served[i] < q[i] AND (served[i] * {CYCLE}) // q[i] <= slot + 1
-                 THEN (((served[i] + 1) * {CYCLE} + q[i] - 1) // q[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS p
-        FROM slots WHERE slot < {CYCLE} - 1)
+  SELECT now, i, list_transform(range(1, len(p) + 1), lambda k: served[k] + CASE WHEN k = i THEN 1 ELSE 0 END), p, n, total
+  FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(p) + 1), lambda k:
+            CASE WHEN served[k] < n[k] AND (served[k] * total) // p[k] <= now
+                 THEN (((served[k] + 1) * total + p[k] - 1) // p[k]) * 100000 + k END), lambda x: x IS NOT NULL)) % 100000 AS i
+        FROM (SELECT *, greatest(slot + 1, list_min(list_filter(list_transform(range(1, len(p) + 1), lambda k:
+                CASE WHEN served[k] < n[k] THEN (served[k] * total) // p[k] END), lambda x: x IS NOT NULL))) AS now
+              FROM slots WHERE list_sum(served) < list_sum(n)))
 ), schedule AS (
-  SELECT pick AS no, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM slots WHERE slot >= 0
+  SELECT pick AS no, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM slots WHERE slot >= 0
 ), ranked AS (
-  SELECT d.doc_id, d.source, t.no, t.quota,
-         row_number() OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id) - 1 AS r
-  FROM documents d JOIN quotas t ON d.source IS NOT DISTINCT FROM t.source
-), placed AS (
-  SELECT doc_id, source, r, r // {BLOCK_ROWS} AS block, no, quota FROM ranked)
-SELECT p.doc_id, p.source, p.block, (p.block // p.quota) * {CYCLE} + s.slot AS slot,
-       ((p.block // p.quota) * {CYCLE} + s.slot) * {BLOCK_ROWS} + p.r % {BLOCK_ROWS} AS position
-FROM placed p JOIN schedule s ON s.no = p.no AND s.k = p.block % p.quota
+  SELECT d.doc_id, d.source, t.no, row_number() OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id) - 1 AS r
+  FROM documents d JOIN weighted t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT p.doc_id, p.source, s.block, CAST(s.slot AS BIGINT) AS slot, CAST(s.slot * {BLOCK_ROWS} + p.r % {BLOCK_ROWS} AS BIGINT) AS position
+FROM ranked p JOIN schedule s ON s.no = p.no AND s.block = p.r // {BLOCK_ROWS}
 """

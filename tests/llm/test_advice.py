@@ -61,7 +61,7 @@ def test_mix_follows_the_weights_themselves(spark, weights):
     for source, places in at.items():
         for served, slot in enumerate(places):
             if slot < slots:
-                assert abs(served - given[source] * slot) < 2 and abs(served + 1 - given[source] * (slot + 1)) < 2
+                assert abs(served - given[source] * slot) < 1 + 1e-6 and abs(served + 1 - given[source] * (slot + 1)) < 1 + 1e-6
 
 
 @pipeline_only
