@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brandlens.llm.spark_files import with_checkpoint_dir
+
 #: Least slots of a span, rows of a block, sources with a weight of their own, hash buckets a source is ranked in.
 CYCLE, BLOCK_ROWS, MAX_SOURCES, BUCKET_DIGITS = 1000, 16, 10_000, 3
 #: Weights are whole parts of about 2 to this power in all; blocks of one source that a task lists; steps of an inner fold.
@@ -124,6 +126,7 @@ def whole_schedule(quotas: DataFrame, least_span: int, block_rows: int) -> DataF
     many slots as the longest window: about 1 / (the least share) or ``least_span``.
     """
     spark = quotas.sparkSession
+    with_checkpoint_dir(spark)
     ranges = spark.sql(f"SELECT *, explode(sequence(0L, blocks - 1, {RANGE}L)) AS first FROM {{parts}}", parts=weight_parts(quotas, least_span, block_rows)).repartition("source_no", "first")
     released = spark.sql(f"""
         SELECT release div span AS at, release, span, sort_array(collect_list(struct(due, source_no, block))) AS blocks FROM (
@@ -131,7 +134,8 @@ def whole_schedule(quotas: DataFrame, least_span: int, block_rows: int) -> DataF
                  start + (CAST(block + 1 AS DECIMAL(19,0)) * CAST(whole AS DECIMAL(14,0)) + parts - 1) div parts AS due
           FROM (SELECT *, explode(sequence(first, least(first + {RANGE - 1}, blocks - 1))) AS block FROM {{ranges}}))
         GROUP BY release, span""", ranges=ranges)
-    spans = spark.sql("SELECT at, span, sort_array(collect_list(struct(release, blocks))) AS events FROM {released} GROUP BY at, span", released=released)
+    # read three times below
+    spans = spark.sql("SELECT at, span, sort_array(collect_list(struct(release, blocks))) AS events FROM {released} GROUP BY at, span", released=released).checkpoint()
     # of each span how many blocks it releases, and the least of (released in it before r) - r over its releases r
     counted = spark.sql("""
         SELECT at, span, c.n AS n, c.least AS least FROM (
@@ -185,7 +189,9 @@ def mix_sources(
     """
     added = ("mix_source_no", "mix_block", "mix_slot", "mix_position")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    quotas = source_quotas(docs.select("source"), weights, exponent, cycle or CYCLE, max_sources)
+    with_checkpoint_dir(docs.sparkSession)
+    # a row for each source, read three times below
+    quotas = source_quotas(docs.select("source"), weights, exponent, cycle or CYCLE, max_sources).checkpoint()
     pool_no = quotas.where("pooled").select(F.col("pooled").alias("_pooled"), F.col("source_no").alias("_pool"), F.col("quota").alias("_pool_quota"))
     named = quotas.where("NOT pooled").select(F.col("source").alias("_source"), F.col("source_no").alias("_no"), F.col("quota").alias("_quota"))
     # at most max_sources rows and one row: bounded broadcasts
