@@ -155,8 +155,8 @@ def train_language_model(docs: DataFrame, per_language: int = 300, most_texts: i
     ``most_texts`` if there are more than most_texts / per_language (one text of each at least). No language is left out.
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1. The sample is drawn by a hash of
-    doc_id, at a rate from each language's row count; of several rows of one id and language the least text counts. Only
-    presence bits (WIDTH / 8 bytes a text) reach the driver.
+    doc_id, at a rate from each language's row count; of several rows of one id and language the least text counts. One task
+    fits on the sample's presence bits (WIDTH / 8 bytes a text), and only the model reaches the driver.
     None if there is nothing to learn from.
     """
     small_batches(docs.sparkSession)
@@ -181,11 +181,22 @@ def train_language_model(docs: DataFrame, per_language: int = 300, most_texts: i
     drawn = single.select("lang", key.alias("key"), "text").mapInArrow(bits, "lang string, key bigint, bits binary")
     # a window over the drawn rows, some 1.2 * per_language for a language
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "bits"))
-    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "key", "bits").toArrow().sort_by([("key", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
-    if not rows.num_rows:
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            rows = pa.Table.from_batches(held).sort_by([("key", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+            packed = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            model = fit_kernel_ridge(packed, rows.column("lang").to_pylist())
+            columns = [[model.languages], [model.weights.tobytes()], [model.usual.tobytes()], [model.least]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["languages", "weights", "usual", "least"])
+
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "key", "bits")
+    found = sample.repartition(1).mapInArrow(fitted, "languages array<string>, weights binary, usual binary, least double").first()
+    if found is None:
         return None
-    packed = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-    return fit_kernel_ridge(packed, rows.column("lang").to_pylist())
+    weights, usual = (np.frombuffer(found[c], np.float32).reshape(-1, len(found["languages"])) for c in ("weights", "usual"))
+    return LanguageModel(found["languages"], weights, usual, found["least"])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, reject_unfamiliar: bool = False) -> DataFrame:

@@ -88,8 +88,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 25
     Learns from rows whose crc32(doc_id as text) mod 5 is not 0 and whose label is 0 or 1. A document with several
     labels takes the highest, one with several texts the least. Texts are hashed and features of fewer than ``min_texts``
     texts of the sample are dropped in tasks; then texts are taken in the order of the hash until a class has
-    ``most_features`` features (16 MB; one text at least), and only these come to the driver. Without any labelled row the
-    model has no weight and scores everything below one half.
+    ``most_features`` features (16 MB; one text at least). One task fits on these, and only the weights come to the driver.
+    Without any labelled row the model has no weight and scores everything below one half.
     """
     with_checkpoint_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -137,12 +137,25 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = 25
     # a window over the rows of the sample, bounded by per_class
     upto = Window.partitionBy("toxic").orderBy("key", "features")
     small = sized.mapInArrow(pruned, "toxic int, key bigint, size bigint, features binary").withColumn("upto", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(upto))
-    rows = small.where((F.col("upto") <= most_features) | (F.col("nth") == 1)).select("toxic", "key", "features").toArrow()
-    if not rows.num_rows:
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        columns: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            rows += [np.frombuffer(x, np.int32) for x in batch.column("features").to_pylist()]
+            columns.append((batch.column("key").to_numpy(), batch.column("toxic").to_numpy()))
+        if rows:
+            key, toxic = map(np.concatenate, zip(*columns, strict=True))
+            order = np.argsort(key, kind="stable")
+            model = fit_ftrl([rows[i] for i in order], toxic[order].astype(float), prior, min_texts)
+            yield pa.RecordBatch.from_arrays([pa.array([model.index.astype(np.int32).tobytes()]), pa.array([model.value.tobytes()]), pa.array([model.bias])], names=["index", "value", "bias"])
+
+    bounded = small.where((F.col("upto") <= most_features) | (F.col("nth") == 1)).select("toxic", "key", "features")
+    found = bounded.repartition(1).mapInArrow(fitted, "index binary, value binary, bias double").first()
+    if found is None:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -4.0)
-    order = np.argsort(rows.column("key").to_numpy(), kind="stable")
-    held = rows.column("features").combine_chunks()
-    return fit_ftrl([np.frombuffer(held[int(i)].as_buffer(), np.int32) for i in order], rows.column("toxic").to_numpy()[order].astype(float), counts.get(1, 0) / sum(counts.values()), min_texts)
+    return ToxicityModel(np.frombuffer(found["index"], np.int32).astype(np.int64), np.frombuffer(found["value"], np.float64), found["bias"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
