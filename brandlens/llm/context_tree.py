@@ -21,10 +21,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,19 +108,31 @@ def cut_texts(docs: DataFrame, depth: int, block_bytes: int, piece_bytes: int) -
 
 def grams(heads: list[bytes], bodies: list[bytes], depth: int) -> np.ndarray:
     """A key for every byte of the bodies: the ``depth`` bytes before it, then itself, as one number."""
-    data = np.frombuffer(b"".join(x for pair in zip(heads, bodies, strict=True) for x in pair), np.uint8)
-    lengths = np.array([len(b) for b in bodies], np.int64)
-    ends = np.cumsum(lengths + depth)
-    at = np.arange(int(lengths.sum())) + np.repeat(ends - np.cumsum(lengths), lengths)
-    out = np.zeros(len(at), np.int64)
-    for i in range(depth, -1, -1):
-        out = (out << 8) | data[at - i]
-    return out
+    data = b"\0" * 7 + b"".join(x for pair in zip(heads, bodies, strict=True) for x in pair)
+    # at each byte the big-endian number that it ends
+    ending = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,)).astype(np.int64)
+    ending &= (1 << (8 * depth + 8)) - 1
+    lengths = np.full((len(bodies), 2), depth)
+    lengths[:, 1] = [len(b) for b in bodies]
+    return ending[np.repeat(np.tile([False, True], len(bodies)), lengths.ravel())]
 
 
-def words_of(body: bytes) -> list[bytes]:
-    """Words of a piece; the end of a text counts as the empty word."""
-    return [*body[:-1].split(), b""] if body.endswith(END) else body.split()
+def numbered_words(bodies: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words of a block, bucket after bucket; where each bucket begins, and the end; the number of each word of the bodies; how many each has.
+
+    The end of a text counts as the empty word.
+    """
+    # a piece ends with the space after its last word, or with the end of the text
+    texts = pa.array([b[:-1] + b" " if len(b) > 1 and b.endswith(END) else b[:-1] for b in bodies], pa.large_binary())
+    split = pc.split_pattern(texts, b" ")
+    coded = split.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    words = coded.dictionary.take(pa.array(order)).to_pylist()
+    of = np.fromiter((word_bucket(w, buckets) for w in words), np.int64, len(words))
+    by_bucket = np.argsort(of, kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[order[by_bucket]] = np.arange(len(words))
+    return [words[i] for i in by_bucket.tolist()], np.searchsorted(of[by_bucket], np.arange(buckets + 1)), number[coded.indices.to_numpy()], pc.list_value_length(split).to_numpy()
 
 
 def _slices(heads: list[bytes], bodies: list[bytes], depth: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -148,30 +162,28 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[bool]
         yield at, *held
 
 
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of sorted lists, and the sums of their counts."""
+    keys, counts = map(np.concatenate, zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def block_grams(heads: list[bytes], bodies: list[bytes], learnt: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams of a block, and how often its learning texts have each."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    waiting = 0
     for first, last, found in _slices(heads, bodies, depth):
-        of, own = pd.factorize(found)
-        weight = np.repeat(np.array(learnt[first:last]), [len(b) for b in bodies[first:last]])
-        added = np.bincount(of[weight], minlength=len(own))
-        keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, added]), minlength=len(keys)).astype(np.int64)
-    return keys, counts
-
-
-def block_words(bodies: list[bytes], learnt: list[bool], buckets: int) -> list[list[tuple[bytes, int]]]:
-    """For each bucket the sorted distinct words of a block, and how often its learning texts have each."""
-    counts: Counter[bytes] = Counter()
-    others: set[bytes] = set()
-    for own, body in zip(learnt, bodies, strict=True):
-        (counts if own else others).update(words_of(body))
-    out: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-    for word, n in (dict(counts) | dict.fromkeys(others - counts.keys(), 0)).items():
-        out[word_bucket(word, buckets)].append((word, n))
-    for part in out:
-        part.sort()
-    return out
+        # the lowest bit tells learning texts
+        found = np.sort(found << 1 | np.repeat(np.array(learnt[first:last], np.int64), [len(b) for b in bodies[first:last]]))
+        start = np.flatnonzero(np.diff(found >> 1, prepend=-1))
+        parts.append((found[start] >> 1, np.add.reduceat(found & 1, start)))
+        waiting += len(start)
+        if waiting > max(SLICE_BYTES, len(parts[0][0])):
+            parts, waiting = [_added_up(parts)], 0
+    return _added_up(parts)
 
 
 def sent_items(cut: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -183,7 +195,9 @@ def sent_items(cut: DataFrame, depth: int, buckets: int) -> DataFrame:
             keys, counts = block_grams(heads, bodies, learnt, depth)
             of = gram_buckets(keys, buckets)
             rows = [(block, "gram", k, packed(np.diff(keys[of == k], prepend=0)), packed(counts[of == k])) for k in np.unique(of).tolist()]
-            rows += [(block, "word", k, b" ".join(w for w, _ in part), packed(np.array([n for _, n in part]))) for k, part in enumerate(block_words(bodies, learnt, buckets)) if part]
+            words, begin, number, many = numbered_words(bodies, buckets)
+            total = np.bincount(number[np.repeat(np.array(learnt), many)], minlength=len(words))
+            rows += [(block, "word", k, b" ".join(words[a:b]), packed(total[a:b])) for k, (a, b) in enumerate(pairwise(begin.tolist())) if a < b]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["block", "kind", "bucket", "keys", "counts"])
 
     return cut.select("block", "held_out", "head", "body").mapInArrow(counted, "block bigint, kind string, bucket bigint, keys binary, counts binary")
@@ -408,15 +422,14 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BY
         log = np.empty(len(keys), np.int64)
         log[np.argsort(gram_buckets(keys, buckets), kind="stable")] = np.concatenate([unpacked(said["gram"][k]) for k in sorted(said["gram"])])
         score = np.zeros(len(bodies), np.int64)
+        place = pd.Index(keys)
         for first, last, found in _slices(heads, bodies, depth):
-            of, own = pd.factorize(found)
             starts = np.cumsum(lengths[first:last]) - lengths[first:last]
-            score[first:last] = np.add.reduceat(log[np.searchsorted(keys, own)][of], starts)
-        listed = block_words(bodies, [False] * len(bodies), buckets)
-        number = {w: i for i, w in enumerate(w for part in listed for w, _ in part)}
+            score[first:last] = np.add.reduceat(log[place.get_indexer(found)], starts)
+        _, _, number, many = numbered_words(bodies, buckets)
         count = np.concatenate([unpacked(said["word"][k]) for k in sorted(said["word"])])
         base = np.log10((count + EXTRA) / whole)
-        of_word = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in map(words_of, bodies)]
+        of_word = np.split(number, np.cumsum(many)[:-1])
         return pa.table(
             {
                 "row": texts.column("row"),

@@ -117,6 +117,25 @@ def test_scores_equal_plain_context_trees(spark, monkeypatch, depth, block, piec
     same_scores(scored(docs, depth=depth, block_bytes=block, piece_bytes=piece, bucket_bytes=bucket), plain_scores(rows, depth))
 
 
+@pytest.mark.parametrize("depth", range(7))
+def test_words_and_grams_of_a_block_equal_plain_loops(depth):
+    r = random.Random(depth)
+    texts = [b" ".join(r.choices([b"a", b"\xc3\xa9", b"bc", b"q" * 50], k=r.randrange(9))) + context_tree.END for _ in range(60)]
+    heads, bodies = zip(*[x for t in texts for x in context_tree.pieces(t, depth, 20)], strict=True)
+    learnt = [r.random() < 0.5 for _ in bodies]
+    words, begin, number, many = context_tree.numbered_words(list(bodies), 3)
+    plain = [(b[:-1].split() + [b""]) if b.endswith(context_tree.END) else b.split() for b in bodies]
+    assert [words[i] for i in number] == [w for part in plain for w in part] and many.tolist() == [len(part) for part in plain]
+    for k in range(3):
+        assert words[begin[k] : begin[k + 1]] == sorted({w for part in plain for w in part if context_tree.word_bucket(w, 3) == k})
+    counts = Counter()
+    for head, body, own in zip(heads, bodies, learnt, strict=True):
+        for i in range(len(body)):
+            counts[int.from_bytes((head + body)[i : i + depth + 1], "big")] += own
+    keys, n = context_tree.block_grams(list(heads), list(bodies), learnt, depth)
+    assert list(zip(keys.tolist(), n.tolist(), strict=True)) == sorted(counts.items())
+
+
 def test_scores_of_a_very_long_text_do_not_depend_on_its_pieces(spark):
     r = random.Random(8)
     rows = [(1, " ".join(f"w{r.randrange(3000)}" for _ in range(400_000))), (2, "w1 w2 unknown"), (3, "y" * 300_000)]
