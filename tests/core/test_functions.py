@@ -1,5 +1,8 @@
 """Known values of scores, rounding, URLs and text rules."""
 
+import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +27,14 @@ def test_rounding_by_sample(spark, sample, value, expected):
     assert one(spark, L.round_for(F.lit(sample), F.lit(value))) == expected
 
 
+def test_round_even_is_that_of_sql(spark):
+    values = [(sign * f(tie / 10 ** (n + 1)), n) for n in (0, 1, 3) for tie in range(5, 6000, 70) for f in (float, lambda x: math.nextafter(x, 9e9), lambda x: math.nextafter(x, 0.0)) for sign in (1, -1)] + [(31.0 * 0.85, 1), (None, 1)]
+    got = spark.createDataFrame(values, "v double, n int").select("v", "n", *[L.round_even(F.col("v"), n).alias(str(n)) for n in (0, 1, 3)]).collect()
+    sql = duckdb.connect()
+    for r in got:
+        assert r[str(r.n)] == sql.execute("SELECT round_even(CAST(? AS DOUBLE), ?)", [r.v, r.n]).fetchone()[0], r
+
+
 def test_unavailable_is_null_and_not_zero(spark):
     null = F.lit(None).cast("double")
     assert one(spark, L.available_mean({"a": (null, 25.0), "b": (F.lit(40.0), 75.0)})) == 40.0

@@ -27,6 +27,13 @@ def test_gap_types_in_order(spark):
     assert [r.got for r in df.collect()] == [r[-1] for r in rows]
 
 
+def test_recommendations_round_beside_a_tie_as_sql_does(spark):
+    schema = "project_id int, domain string, domain_type string, gap_type string, confidence string, score double, source_relevance double, brand_citations int, competitor_citations int, responses int, prompts int, commercial_prompts int"
+    rows = [(1, "a.example", "media", "brand_absent", "medium", 31.0, 50.0, 0, 3, 9, 4, 4)]
+    got = {r.domain: (r.priority_score, r.business_relevance) for r in gaps.recommendations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a.example": (26.4, 1.0)}  # 31 * 0.85 is 26.349999999999998 as a double
+
+
 def test_merge_keeps_what_people_decided_and_is_idempotent(spark):
     existing = spark.createDataFrame([("a", None, 1, "new"), ("b", None, 2, "dismissed"), ("c", "p", 3, "new")], "domain string, page string, score int, status string")
     fresh = spark.createDataFrame([("a", None, 10), ("c", "q", 30)], "domain string, page string, score int")
