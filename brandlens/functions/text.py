@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,10 +75,25 @@ def classify_prompt(text: Column) -> dict[str, Column]:
     return {"category": category, "intent": F.when(text.rlike(R.NAVIGATIONAL), "navigational").otherwise(intent), "stage": F.when(text.rlike(R.RETENTION), "retention").otherwise(stage)}
 
 
-def judge(sentence: Column) -> dict[str, Column]:
-    """sentiment and recommendation strength of a sentence about a name."""
-    bad, good = sentence.rlike(R.NEGATIVE), sentence.rlike(R.POSITIVE)
-    strength = F.when(bad & ~good, "none").when(sentence.rlike(R.STRONG), "strong").when(sentence.rlike(R.MODERATE), "moderate").when(sentence.rlike(R.WEAK), "weak").otherwise("unknown")
+def as_sql_text(text: Column) -> Column:
+    r"""Text on which ``as_sql_pattern`` finds on every JVM what SQL's engine (RE2) finds in the original, whose words and spaces are ASCII.
+
+    Before Java 19 ``\b`` takes every letter for part of a word. What is not ASCII becomes a control character, and so does the
+    vertical tab, which is a space of Java's alone; the long s and the Kelvin sign get characters of their own.
+    """
+    return F.regexp_replace(F.translate(text, "\u017f\u212a\x02\x03\x0b", "\x02\x03\x01\x01\x01"), r"[^\x00-\x7f]", "\x01")
+
+
+def as_sql_pattern(pattern: str) -> str:
+    """A pattern without regard to case for ``as_sql_text``: the long s is an s and the Kelvin sign a k, and neither belongs to a word."""
+    return re.sub(r"\\.|[sk]", lambda m: {"s": "[s\x02]", "k": "[k\x03]"}.get(m[0], m[0]), pattern)
+
+
+def judge(sentence: Column, read: Callable[[str], str] = str) -> dict[str, Column]:
+    """sentiment and recommendation strength of a sentence about a name; ``read`` gives a pattern the form that the text has."""
+    has = lambda pattern: sentence.rlike(read(pattern))
+    bad, good = has(R.NEGATIVE), has(R.POSITIVE)
+    strength = F.when(bad & ~good, "none").when(has(R.STRONG), "strong").when(has(R.MODERATE), "moderate").when(has(R.WEAK), "weak").otherwise("unknown")
     return {"sentiment": F.when(bad & good, "mixed").when(bad, "negative").when(good, "positive").otherwise("neutral"), "strength": strength}
 
 

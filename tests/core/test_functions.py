@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from brandlens.functions import ladders as L
 from brandlens.functions import text as T
 from brandlens.functions import urls as U
+from brandlens.plans import registry
+from brandlens.sources import registry as R
 
 
 def one(spark, column, **values):
@@ -125,3 +127,18 @@ def test_fold_and_tokens(spark):
     rows = df.select(T.content_tokens(T.normalize_prompt(F.col("t"))).alias("x")).collect()
     assert rows[0].x == ["best", "crm", "party", "tool", "zoe"]
     assert rows[1].x is None
+
+
+ODD = ["enöbest one", "bestß", "best́", "Ǽtop pick", "It iſ the beſt.", "weaK", "lacKs", "a#\u000b1", "a# 1x", "a#\t1 ", "a#11", "#1", "can't x", "cannot é", "can not.", "çavoid", "_avoid", "9poor", "user‑friendly", "ΩPOOR Ω", "TİPıC best", "x​top", "é. É", "", "well—suited great. pricey"]
+
+
+def test_sentences_are_judged_as_by_sql(spark, tmp_path):
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(ODD)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    whole = lambda rows: sorted(tuple(r) for r in rows)
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    assert whole(registry.QUERIES["sentiment_judge"](spark, str(tmp_path)).collect()) == whole(sql.execute(registry.ORACLE_SQL["sentiment_judge"]).fetchall())
+    patterns = (R.NEGATIVE, R.POSITIVE, R.STRONG, R.MODERATE, R.WEAK)
+    for r in spark.createDataFrame([(t,) for t in ODD], "t string").select("t", *[T.as_sql_text(F.col("t")).rlike(T.as_sql_pattern(p)).alias(str(i)) for i, p in enumerate(patterns)]).collect():
+        assert list(r[1:]) == [sql.execute("SELECT regexp_matches(?, ?)", [r.t, p]).fetchone()[0] for p in patterns], repr(r.t)
