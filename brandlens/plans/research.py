@@ -9,7 +9,7 @@ from brandlens.operators import entities, evidence, research, signals
 from brandlens.plans.analytics import ORACLE_SQL, STATED, WITH, _GAPS, _advantages, _entities, _gap_rows, _window, query, stated_claims
 from brandlens.plans.rules import _discovery, _gaps_by_topic, _insights
 from brandlens.plans.sites import _blocks
-from brandlens.sources.projection import Projection
+from brandlens.sources.projection import Gathered, Projection
 
 
 def _profiles(p: Projection) -> DataFrame:
@@ -66,6 +66,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER B
 
 @query("research_findings", _SQL)
 def _findings(p: Projection) -> DataFrame:
+    p = Gathered.of(p)
     samples = _entities(p).where("entity = 'brand'").select("project_id", "sample_size")
     claims = stated_claims(p).select("project_id", F.lower(F.regexp_extract("subject", "COMP[0-9]", 0)).alias("competitor"), F.concat(F.lower("predicate"), F.lit(" "), F.lower("object")).alias("claim")).where("competitor <> ''")
     candidates = [

@@ -10,7 +10,7 @@ from brandlens.operators import competitive, operations, signals, verification
 from brandlens.operators.visibility import with_period
 from brandlens.plans.names import _TOPIC_SQL, prompt_texts, topic_coverage
 from brandlens.plans.analytics import ORACLE_SQL, _BOTH, _CITED, _COMMERCIAL, _NOW, LONG, STATED, WITH, _entity_ctes, _observed, _seen, _window, _windowed, query, stated_claims
-from brandlens.sources.projection import COMPETITORS, Projection
+from brandlens.sources.projection import COMPETITORS, Gathered, Projection
 
 # ---- insights ---------------------------------------------------------------------------------------------------
 
@@ -228,17 +228,26 @@ SELECT *, CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'm
 def _discovery(p: Projection) -> DataFrame:
     from brandlens.operators.gaps import is_commercial
 
-    c = _window(p).withColumn("name", F.concat(F.lit("part"), (F.col("page_id") % 200).cast("string")))
-    g = c.groupBy("project_id", "name").agg(
-        F.countDistinct("run_id").alias("responses"),
-        F.countDistinct(F.when(F.col("is_competitor"), F.col("run_id"))).alias("co_occurring"),
-        F.countDistinct(F.when(is_commercial(), F.col("prompt_id"))).alias("commercial_prompts"),
-        F.countDistinct("prompt_id").alias("prompts"),
-        F.bool_or("is_brand").alias("has_domain"),
-        F.count("*").alias("observations"),
-        F.count_if(F.col("strength") == "strong").alias("language_hits"),
-        F.countDistinct("provider").alias("providers"),
-    )
+    name = lambda page: F.concat(F.lit("part"), (page % 200).cast("string"))
+    if not isinstance(p, Gathered):
+        g = _window(p).withColumn("name", name(F.col("page_id"))).groupBy("project_id", "name").agg(
+            F.countDistinct("run_id").alias("responses"),
+            F.countDistinct(F.when(F.col("is_competitor"), F.col("run_id"))).alias("co_occurring"),
+            F.countDistinct(F.when(is_commercial(), F.col("prompt_id"))).alias("commercial_prompts"),
+            F.countDistinct("prompt_id").alias("prompts"),
+            F.bool_or("is_brand").alias("has_domain"),
+            F.count("*").alias("observations"),
+            F.count_if(F.col("strength") == "strong").alias("language_hits"),
+            F.countDistinct("provider").alias("providers"),
+        )
+        return signals.candidate_scores(g, F.lit(5.0))
+    # responses are counted by their first citation of a name, prompts as groups; providers are few
+    c = p.cited(p.ago(LONG), p.now(), first=lambda c: F.struct(name(c["page_id"])), beside=lambda c: F.when(c["is_competitor"], F.struct(name(c["page_id"])))).withColumn("name", name(F.col("page_id")))
+    counts = {"responses": F.count_if("first"), "co_occurring": F.count_if("beside"), "observations": F.count("*"), "language_hits": F.count_if(F.col("strength") == "strong")}
+    by_prompt = c.groupBy("project_id", "name", "prompt_id").agg(*[x.alias(k) for k, x in counts.items()], F.bool_or("is_brand").alias("has_domain"), F.bool_or(is_commercial()).alias("commercial"))
+    g = by_prompt.groupBy("project_id", "name").agg(*[F.sum(k).alias(k) for k in counts], F.bool_or("has_domain").alias("has_domain"), F.count("*").alias("prompts"), F.count_if("commercial").alias("commercial_prompts"))
+    seen = c.groupBy(F.col("project_id").alias("_project"), F.col("name").alias("_name")).agg(F.countDistinct("provider").alias("providers"))
+    g = g.join(seen, F.col("project_id").eqNullSafe(F.col("_project")) & F.col("name").eqNullSafe(F.col("_name"))).drop("_project", "_name")
     return signals.candidate_scores(g, F.lit(5.0))
 
 

@@ -1,6 +1,12 @@
 """Seven generators, their limits and scores, and the strongest seven of a project."""
 
+import datetime
+
+import pytest
+
 from brandlens.operators import research as R
+from brandlens.plans import analytics, registry, rules
+from brandlens.sources.projection import Gathered, Projection
 
 
 def test_every_generator_scores_and_the_seven_strongest_stay(spark):
@@ -37,3 +43,51 @@ def test_every_generator_scores_and_the_seven_strongest_stay(spark):
 def test_ties_go_to_the_title(spark):
     claims = R.repeated_claims(spark.createDataFrame([("p", n, "is big") for n in ("B", "A") for _ in range(3)], "project_id string, competitor string, claim string"), spark.createDataFrame([], "project_id string, sample_size int"))
     assert [r.key for r in R.findings([claims], spark.createDataFrame([("p", 30)], "project_id string, sample_size int")).orderBy("rank").collect()] == ["claim:A:is big", "claim:B:is big"]
+
+
+#: Responses without citations or none that counts, citations of nothing known or without a key, places beyond the sixth.
+ORDERS = [(i, (None, 1, 2, 3, 4, 99)[i % 6], "P" if i % 11 == 5 else "F", datetime.datetime(1999 + i % 4, 1 + i % 7, 1 + i % 28) if i % 13 else None, ("1-URGENT", "5-LOW", None)[i % 3]) for i in range(1, 160)]
+LINES = [(None if i % 41 == 0 else i * 7 % 170, None if i % 37 == 0 else i * i % 23, None if i % 29 == 0 else i * 5 % 31, i % 9, ("A", "R", "N", None)[i * 3 % 4]) for i in range(900)]
+
+
+def small(spark, folder, orders, lines):
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": (lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_returnflag string"),
+        "customer": ([(i, i % 25, ("BUILDING", "FURNITURE", "MACHINERY")[i % 3]) for i in range(1, 5)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "nation": ([(i, i % 5) for i in range(25)], "n_nationkey int, n_regionkey int"),
+        "supplier": ([(i, f"Supplier#{i:09}", i % 25) for i in range(20)] + [(7, "Supplier#twice", 3)], "s_suppkey long, s_name string, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
+    return Projection(spark, str(folder))
+
+
+def rows_of(df, columns=None):
+    return sorted((tuple(r) for r in df.select(*(columns or sorted(df.columns))).collect()), key=str)
+
+
+@pytest.mark.parametrize("lines", [LINES, []])
+def test_gathered_tables_equal_the_plain_ones(spark, tmp_path, lines):
+    plain = small(spark, tmp_path, ORDERS, lines)
+    gathered = Gathered.of(plain)
+    assert isinstance(gathered, Gathered)
+    start, end = plain.ago(730), plain.now()
+    for table in (lambda p: p.cited(), lambda p: p.cited(start, end), lambda p: p.observations, lambda p: p.entity_views, lambda p: p.eligible_between(start, end)):
+        columns = sorted(set(table(plain).columns) - {"status", "model", "parser_version"})
+        assert rows_of(table(plain), columns) == rows_of(table(gathered), columns)
+    for made in (analytics._gap_rows, analytics._relevance, rules._discovery, rules._insights, rules._topics):
+        want = rows_of(made(plain))
+        assert want == rows_of(made(gathered)) and (want or made is rules._insights or not lines)
+
+
+def test_repeated_run_ids_and_long_responses_stay_plain(spark, tmp_path):
+    plain = small(spark, tmp_path / "a", [*ORDERS, ORDERS[1]], LINES)
+    assert Gathered.of(plain) is plain
+    plain = small(spark, tmp_path / "b", ORDERS, [*LINES, *[(2, 1, 1, i, "A") for i in range(1000)]])
+    assert Gathered.of(plain) is plain
+
+
+def test_findings_shuffle_citations_once(spark):
+    plan = registry.QUERIES["research_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
