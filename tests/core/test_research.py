@@ -89,5 +89,8 @@ def test_repeated_run_ids_and_long_responses_stay_plain(spark, tmp_path):
 
 
 def test_findings_shuffle_citations_once(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
     plan = registry.QUERIES["research_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    assert spark.conf.get(key) == before
