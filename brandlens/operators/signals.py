@@ -278,7 +278,8 @@ def match_pages(topics: DataFrame, pages: DataFrame, scope: Sequence[str] = ())
     if scope:
         hits = hits.join(pages.select(*scope, "page_id"), "page_id")
     needed = F.when(F.col("n") > 1, F.floor((F.col("n") + 1) / 2)).otherwise(1)
-    matched = wanted.join(hits, [*scope, "keyword"]).groupBy(*scope, "topic_id", "page_id", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed)
+    # dealt by page, so that pairs of topics and pages are counted where they arise, if topics are sent to all tasks
+    matched = wanted.join(hits.repartition("page_id"), [*scope, "keyword"]).groupBy(*scope, "topic_id", "page_id", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed)
     points = F.when(F.coalesce("word_count", F.lit(0)) >= 300, 1.0).otherwise(0.4)
     found = matched.join(facts, [*scope, "page_id"]).groupBy(*scope, "topic_id").agg(F.count("*").alias("pages"), F.least(F.lit(1.0), F.sum(points)).alias("coverage"), *[F.bool_or(c).alias(c) for c in NEEDED_PAGES.values()])
     has = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in NEEDED_PAGES.values()]))
